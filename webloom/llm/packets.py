@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from webloom.llm.common import maybe_broadcast, row_keys, spool, utf8
 
 #: Bytes of strings that a task gathers before it sends its packets.
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 24 << 20
 #: Bytes of text that one round of array work takes.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Raw bytes of strings meant for one bucket.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 40 << 20
 #: Longest run of windows in one string.
 MAX_RUN = 2048
 
@@ -160,7 +160,7 @@ def send(chunk: Chunk, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
     cut = np.flatnonzero(np.diff(bucket[at], prepend=-1))
     for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(at)], strict=True):
         one = at[a:b]
-        tag = (least[one] >> np.uint64(32)).astype(np.int64)
+        tag = (least[one] >> np.uint64(40)).astype(np.int64)
         rows.append((int(bucket[one[0]]), _STRINGS, pack([doc[one], digest[one], start[one], windows[one], tag], [strings[i] for i in one.tolist()])))
     known = np.flatnonzero(repeats)
     if len(known):
@@ -186,10 +186,30 @@ def mapper(cut: Callable[[Iterable[tuple[int, int, bytes]], Chunk], Iterator[Chu
     return run
 
 
-SPANS = "doc long, digest int, spans binary"
+def part_of(doc: int, digest: int, parts: int) -> int:
+    return (doc * 1_000_003 + digest) % parts
 
 
-def reducer(covered: Callable[..., tuple[np.ndarray, np.ndarray]], width: int):
+def gathered(rows: Iterable[tuple[int, int, np.ndarray, np.ndarray]], parts: int) -> pa.Table:
+    """Spans of documents as a packed row for each part that documents are dealt to."""
+    by_part: dict[int, list] = {}
+    for row in rows:
+        by_part.setdefault(part_of(row[0], row[1], parts), []).append(row)
+    packed = []
+    for found in by_part.values():
+        counts = [len(x[2]) for x in found]
+        packed.append(pack([np.repeat(np.array([x[i] for x in found], np.int64), counts) for i in (0, 1)] + [np.concatenate([x[i] for x in found]) for i in (2, 3)]))
+    return pa.table({"part": pa.array(list(by_part), pa.int32()), "packet": pa.array(packed, pa.binary())})
+
+
+def merge_part(table: pa.Table) -> pa.Table:
+    """For applyInArrow over the rows of a part: the merged spans of each document."""
+    got = [unpack(x.as_py(), False)[0] for x in table.column("packet")]
+    rows = list(spans_by_document(*(np.concatenate(x) for x in zip(*got, strict=True))))
+    return pa.table({"doc": pa.array([x[0] for x in rows], pa.int64()), "digest": pa.array([x[1] for x in rows], pa.int32()), "spans": pa.array([np.concatenate([x[2], x[3]]).astype("<i8").tobytes() for x in rows], pa.binary())})
+
+
+def reducer(covered: Callable[..., tuple[np.ndarray, np.ndarray]], width: int, parts: int):
     """For applyInArrow over the packets of a bucket.
 
     covered: (strings, document, windows of each) to (string, window) arrays of those whose
@@ -225,6 +245,10 @@ def reducer(covered: Callable[..., tuple[np.ndarray, np.ndarray]], width: int):
             whole = np.flatnonzero(doc > smallest[same])
             out.append((doc[whole], digest[whole], start[whole], start[whole] + windows[whole] + width - 1))
             only = np.flatnonzero(same == np.arange(n))
+            if len(only):  # a string that is alone with its minimiser has been dealt with
+                first = np.flatnonzero(np.diff(tag[only], prepend=-1))
+                several = np.minimum.reduceat(smallest[only], first) != np.maximum.reduceat(smallest[only], first)
+                only = only[np.repeat(several, np.diff(np.append(first, len(only))))]
             rest = np.flatnonzero(doc == smallest[same])
             rest = rest[np.argsort(same[rest], kind="stable")]
             for part in tag_groups(tag[only], np.fromiter((len(strings[i]) for i in only.tolist()), np.int64, len(only))):
@@ -238,10 +262,7 @@ def reducer(covered: Callable[..., tuple[np.ndarray, np.ndarray]], width: int):
                 row = rest[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
                 begin = start[row] + np.repeat(window, times)
                 out.append((doc[row], digest[row], begin, begin + width))
-        if not out:
-            return pa.table({"doc": pa.array([], pa.int64()), "digest": pa.array([], pa.int32()), "spans": pa.array([], pa.binary())})
-        rows = list(spans_by_document(*(np.concatenate(x) for x in zip(*out, strict=True))))
-        return pa.table({"doc": pa.array([x[0] for x in rows], pa.int64()), "digest": pa.array([x[1] for x in rows], pa.int32()), "spans": pa.array([np.concatenate([x[2], x[3]]).astype("<i8").tobytes() for x in rows], pa.binary())})
+        return gathered(spans_by_document(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else (), parts)
 
     return run
 
@@ -260,15 +281,15 @@ def tag_groups(tag: np.ndarray, size: np.ndarray, most: int = BLOCK_BYTES) -> It
 
 
 def find_spans(docs: DataFrame, doc_id: str, text: str, cut, covered, width: int, growth: float) -> DataFrame:
-    """(doc, digest, spans: list of binary) of rows with repeated windows. growth: bytes of strings for each byte of text."""
+    """(doc, digest, spans) of rows with repeated windows. growth: bytes of strings for each byte of text."""
     spark = docs.sparkSession
     key, digest = row_keys(doc_id, text)
     slim = docs.select(key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-int(total * growth) // BUCKET_BYTES))
     packets = slim.mapInArrow(mapper(cut, buckets, width), "bucket int, kind int, packet binary")
-    spans = packets.groupBy("bucket").applyInArrow(reducer(covered, width), SPANS)
-    return spool(spans.groupBy("doc", "digest").agg(F.collect_list("spans").alias("spans")), "spans")
+    parts = packets.groupBy("bucket").applyInArrow(reducer(covered, width, buckets), "part int, packet binary")
+    return spool(parts.groupBy("part").applyInArrow(merge_part, "doc long, digest int, spans binary"), "spans")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -278,8 +299,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> Dat
     return rows.join(maybe_broadcast(spans), ["doc", "digest"], "left").select("doc_id", "body", "spans")
 
 
-def union_of(spans: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Merged spans from the values that the reducer wrote."""
-    halves = [np.frombuffer(x, "<i8").reshape(2, -1) for x in spans or ()]
-    both = np.concatenate(halves, axis=1) if halves else np.empty((2, 0), np.int64)
-    return merged(both[0], both[1])
+def union_of(spans: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The spans that merge_part wrote."""
+    both = np.frombuffer(spans or b"", "<i8").reshape(2, -1)
+    return both[0], both[1]
