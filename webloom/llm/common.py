@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: A null document id stands for the largest id.
 NULL_ID = 2**63 - 1
-#: A table is broadcast only when the bytes it was written with are at most this.
-BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,22 +41,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage is cut, and the planner knows its size."""
+    """Write df to the shared folder and read it again: lineage is cut, and the planner knows its size.
+
+    So a join with it is a broadcast only if it is under spark.sql.autoBroadcastJoinThreshold.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_bytes(df: DataFrame) -> int:
-    """The planner's size of df; exact for a spooled table."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def maybe_broadcast(spooled: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast a spooled table if it is small enough in memory (four times what it takes as Parquet)."""
-    return F.broadcast(spooled) if 4 * written_bytes(spooled) <= limit else spooled
-
-
 def utf8(text: str | Column) -> Column:
     """UTF-8 bytes of a text column; null is empty. Python then gets bytes and decodes nothing it need not."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

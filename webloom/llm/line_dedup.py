@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import maybe_broadcast, row_keys, spool
+from webloom.llm.common import row_keys, spool
 
 MIN_SITES = 10
 #: 2 ** LG_K registers: a standard error of 3.3 %.
@@ -36,7 +36,7 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
     seen = spool(spread.where(F.col("sites") >= min_sites / NEAR), "spread")
     sure = seen.where(F.col("sites") > min_sites * NEAR).select("h1", "h2")
     near = spool(seen.where(F.col("sites") <= min_sites * NEAR).select("h1", "h2"), "near")
-    exact = lines.join(maybe_broadcast(near), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"))
+    exact = lines.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"))
     return spool(sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2")), "boilerplate")
 
 
@@ -58,10 +58,10 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     one, two, at, n, gone = (_free(x, columns) for x in ("_one", "_two", "_at", "n_lines", "n_removed"))
     key, digest = row_keys(doc_id, text)
     lines = _lines(docs, text, key.alias("doc"), digest.alias("digest")).select("doc", "digest", "pos", *_line_keys("line"))
-    found = lines.join(maybe_broadcast(boilerplate(docs, text, site, min_sites)), ["h1", "h2"])
+    found = lines.join(boilerplate(docs, text, site, min_sites), ["h1", "h2"])
     found = spool(found.groupBy("doc", "digest").agg(F.collect_set("pos").alias("pos")), "hits")
     hits = found.select(F.col("doc").alias(one), F.col("digest").alias(two), F.col("pos").alias(at))
-    rows = docs.withColumns({one: key, two: digest}).join(maybe_broadcast(hits), [one, two], "left")
+    rows = docs.withColumns({one: key, two: digest}).join(hits, [one, two], "left")
     parts = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(at))
     rows = rows.withColumns({

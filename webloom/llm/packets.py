@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import maybe_broadcast, row_keys, spool, utf8
+from webloom.llm.common import row_keys, spool, utf8
 
 #: Bytes of strings that a task gathers before it sends its packets.
 CHUNK_BYTES = 24 << 20
@@ -296,7 +296,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> Dat
     """(doc_id, body, spans) of every row."""
     key, digest = row_keys(doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"))
-    return rows.join(maybe_broadcast(spans), ["doc", "digest"], "left").select("doc_id", "body", "spans")
+    return rows.join(spans, ["doc", "digest"], "left").select("doc_id", "body", "spans")
 
 
 def union_of(spans: bytes | None) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import maybe_broadcast, shared_path, spool, utf8
+from webloom.llm.common import shared_path, spool, utf8
 
 #: Archives are closed at this size.
 ARCHIVE_BYTES = 64 << 20
@@ -183,7 +183,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload")})
     groups = rows.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("page").alias("top"), F.count("*").alias("n"))
     groups = spool(groups.where((F.col("n") > 1) & F.col("top").isNotNull()).select("sha1", "size", "top"), "payloads")
-    rows = rows.join(maybe_broadcast(groups), ["sha1", "size"], "left")
+    rows = rows.join(groups, ["sha1", "size"], "left")
     revisit = F.col("top").isNotNull() & ~F.col("page").eqNullSafe(F.col("top"))
     rows = rows.select("page", "url", "payload", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit"))
     return spool(rows.mapInArrow(_writer(folder), "path string, records long, bytes long"), "archives")
