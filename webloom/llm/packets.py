@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import row_keys, spool, utf8
+from webloom.llm.common import release, row_keys, spool, utf8
 
 #: Bytes of strings that a task gathers before it sends its packets.
 CHUNK_BYTES = 24 << 20
@@ -109,27 +109,21 @@ def unpack(value: bytes, with_strings: bool) -> tuple[list[np.ndarray], list[byt
     return arrays, [raw[a:b] for a, b in zip([at, *ends.tolist()[:-1]], ends.tolist(), strict=True)] if n else []
 
 
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of half-open spans, in order."""
-    if not len(start):
-        return start, end
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.ones(len(start), bool)
-    new[1:] = start[1:] > end[:-1]
-    first = np.flatnonzero(new)
-    return start[first], end[np.append(first[1:], len(start)) - 1]
-
-
-def spans_by_document(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Merged spans of each (document, digest)."""
+def merged(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Union of the half-open spans of each (document, digest), in order."""
+    if not len(doc):
+        return doc, digest, start, end
     order = np.lexsort((start, digest, doc))
     doc, digest, start, end = doc[order], digest[order], start[order], end[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
+    other = np.ones(len(doc), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
+    shift = np.cumsum(other) << 40  # documents one after the other on one line
+    reach = np.maximum.accumulate(end + shift)
+    new = other.copy()
+    new[1:] |= (start + shift)[1:] > reach[:-1]
     first = np.flatnonzero(new)
-    for a, b in zip(first.tolist(), np.append(first[1:], len(doc)).tolist(), strict=True):
-        yield int(doc[a]), int(digest[a]), *merged(start[a:b], end[a:b])
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], digest[first], start[first], reach[last] - shift[last]
 
 
 def send(chunk: Chunk, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -164,9 +158,7 @@ def send(chunk: Chunk, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
         rows.append((int(bucket[one[0]]), _STRINGS, pack([doc[one], digest[one], start[one], windows[one], tag], [strings[i] for i in one.tolist()])))
     known = np.flatnonzero(repeats)
     if len(known):
-        found = list(spans_by_document(doc[known], digest[known], start[known], start[known] + windows[known] + width - 1))
-        counts = [len(x[2]) for x in found]
-        rows.append((int(doc[known[0]] % buckets), _SPANS, pack([np.repeat([x[0] for x in found], counts), np.repeat([x[1] for x in found], counts), np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])])))
+        rows.append((int(doc[known[0]] % buckets), _SPANS, pack(list(merged(doc[known], digest[known], start[known], start[known] + windows[known] + width - 1)))))
     for row in rows:
         yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.binary())], ["bucket", "kind", "packet"])
 
@@ -186,34 +178,32 @@ def mapper(cut: Callable[[Iterable[tuple[int, int, bytes]], Chunk], Iterator[Chu
     return run
 
 
-def part_of(doc: int, digest: int, parts: int) -> int:
-    return (doc * 1_000_003 + digest) % parts
-
-
-def gathered(rows: Iterable[tuple[int, int, np.ndarray, np.ndarray]], parts: int) -> pa.Table:
+def gathered(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> pa.Table:
     """Spans of documents as a packed row for each part that documents are dealt to."""
-    by_part: dict[int, list] = {}
-    for row in rows:
-        by_part.setdefault(part_of(row[0], row[1], parts), []).append(row)
-    packed = []
-    for found in by_part.values():
-        counts = [len(x[2]) for x in found]
-        packed.append(pack([np.repeat(np.array([x[i] for x in found], np.int64), counts) for i in (0, 1)] + [np.concatenate([x[i] for x in found]) for i in (2, 3)]))
-    return pa.table({"part": pa.array(list(by_part), pa.int32()), "packet": pa.array(packed, pa.binary())})
+    part = (mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + digest.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    slices = [order[a:b] for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(order)], strict=True)]
+    return pa.table({"part": pa.array([int(part[x[0]]) for x in slices], pa.int32()), "packet": pa.array([pack([doc[x], digest[x], start[x], end[x]]) for x in slices], pa.binary())})
 
 
 def merge_part(table: pa.Table) -> pa.Table:
     """For applyInArrow over the rows of a part: the merged spans of each document."""
     got = [unpack(x.as_py(), False)[0] for x in table.column("packet")]
-    rows = list(spans_by_document(*(np.concatenate(x) for x in zip(*got, strict=True))))
-    return pa.table({"doc": pa.array([x[0] for x in rows], pa.int64()), "digest": pa.array([x[1] for x in rows], pa.int32()), "spans": pa.array([np.concatenate([x[2], x[3]]).astype("<i8").tobytes() for x in rows], pa.binary())})
+    doc, digest, start, end = merged(*(np.concatenate(x) for x in zip(*got, strict=True)))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
+    first = np.flatnonzero(new)
+    spans = [np.concatenate([start[a:b], end[a:b]]).astype("<i8").tobytes() for a, b in zip(first.tolist(), [*first.tolist()[1:], len(doc)], strict=True)]
+    return pa.table({"doc": pa.array(doc[first], pa.int64()), "digest": pa.array(digest[first], pa.int32()), "spans": pa.array(spans, pa.binary())})
 
 
-def reducer(covered: Callable[..., tuple[np.ndarray, np.ndarray]], width: int, parts: int):
+def reducer(covered: Callable[..., tuple[np.ndarray, np.ndarray]], near: Callable[..., np.ndarray] | None, width: int, parts: int):
     """For applyInArrow over the packets of a bucket.
 
     covered: (strings, document, windows of each) to (string, window) arrays of those whose
     content also starts in a smaller document; strings are distinct and share minimisers.
+    near: (strings, documents) to those that can share a window with another document's; None: all.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -253,6 +243,10 @@ def reducer(covered: Callable[..., tuple[np.ndarray, np.ndarray]], width: int, p
             rest = rest[np.argsort(same[rest], kind="stable")]
             for part in tag_groups(tag[only], np.fromiter((len(strings[i]) for i in only.tolist()), np.int64, len(only))):
                 one = only[part]
+                if near:
+                    one = one[near([strings[i] for i in one.tolist()], smallest[one])]
+                if not len(one):
+                    continue
                 which, window = covered([strings[i] for i in one.tolist()], smallest[one], windows[one])
                 if not len(which):
                     continue
@@ -262,7 +256,8 @@ def reducer(covered: Callable[..., tuple[np.ndarray, np.ndarray]], width: int, p
                 row = rest[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
                 begin = start[row] + np.repeat(window, times)
                 out.append((doc[row], digest[row], begin, begin + width))
-        return gathered(spans_by_document(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else (), parts)
+        empty = (np.empty(0, np.int64),) * 4
+        return gathered(*merged(*(np.concatenate(x).astype(np.int64) for x in zip(*out, empty, strict=True))), parts)
 
     return run
 
@@ -280,7 +275,7 @@ def tag_groups(tag: np.ndarray, size: np.ndarray, most: int = BLOCK_BYTES) -> It
         a = b
 
 
-def find_spans(docs: DataFrame, doc_id: str, text: str, cut, covered, width: int, growth: float) -> DataFrame:
+def find_spans(docs: DataFrame, doc_id: str, text: str, cut, covered, near, width: int, growth: float) -> DataFrame:
     """(doc, digest, spans) of rows with repeated windows. growth: bytes of strings for each byte of text."""
     spark = docs.sparkSession
     key, digest = row_keys(doc_id, text)
@@ -288,8 +283,11 @@ def find_spans(docs: DataFrame, doc_id: str, text: str, cut, covered, width: int
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-int(total * growth) // BUCKET_BYTES))
     packets = slim.mapInArrow(mapper(cut, buckets, width), "bucket int, kind int, packet binary")
-    parts = packets.groupBy("bucket").applyInArrow(reducer(covered, width, buckets), "part int, packet binary")
-    return spool(parts.groupBy("part").applyInArrow(merge_part, "doc long, digest int, spans binary"), "spans")
+    parts = packets.groupBy("bucket").applyInArrow(reducer(covered, near, width, buckets), "part int, packet binary")
+    spans = spool(parts.groupBy("part").applyInArrow(merge_part, "doc long, digest int, spans binary"), "spans")
+    del packets, parts
+    release(spark)
+    return spans
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:

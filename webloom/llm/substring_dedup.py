@@ -138,5 +138,5 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
     has no words.  A null id counts as the largest; rows with the same id take nothing from each
     other.  Texts under 13 words stay.  Other columns are not read, whatever their names.
     """
-    spans = packets.find_spans(docs, doc_id, text, cut, covered, WIDTH, growth=3.0)
+    spans = packets.find_spans(docs, doc_id, text, cut, covered, None, WIDTH, growth=3.0)
     return packets.with_spans(docs, spans, doc_id, text).mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
