@@ -71,3 +71,67 @@ def op2(docs, bench):
                     items |= found
         out.append((d, len(w), len(hit), len(items), sha(",".join(sorted(items)).encode()), bool(hit)))
     return out
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def op4(text):
+    """Base spans as (start, end, kind)."""
+    out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+    out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(digits) <= 19 and luhn(digits):
+            out.append((m.start(), m.end(), "card"))
+    for m in PHONE.finditer(text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), m.end(), "phone"))
+    order = ("email", "ip", "card", "phone")
+    return sorted(out, key=lambda s: (s[0], order.index(s[2])))
+
+
+def op5(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen = defaultdict(list)
+    for i in range(len(words) - 4):
+        seen[tuple(words[i : i + 5])].append(i)
+    again = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(5)}
+    n = len(words)
+    return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(again), n < 10 or 100 * len(again) > 20 * n)
+
+
+def fingerprint(text):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    parts = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def op6(rows):
+    prints = [fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), key(None)), key(d))
+    return [(d, f"{p:016x}", None if least[find(i)] == key(None) else least[find(i)]) for i, ((d, _), p) in enumerate(zip(rows, prints))]
