@@ -188,7 +188,7 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_words, list of spans, list of items) to the result."""
     for batch in batches:
         rows = []
-        for doc, n_words, spans, items in zip(*batch.columns, strict=True):
+        for doc, n_words, spans, items in zip(*batch.columns[:4], strict=True):
             pairs = sorted(tuple(x) for s in spans.as_py() or () for x in np.frombuffer(s or b"", "<i8").reshape(-1, 2).tolist())
             hit, end = 0, 0
             for a, b in pairs:
@@ -199,17 +199,17 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*rows, strict=True)) or [()] * 7
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()))
         names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[4:]], [*names, "doc", "digest"])
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, doc long, digest int"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Which words of each document lie in an occurrence of an item's window of 10 words.
 
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items (sorted), a row for
-    each input row.  An item of under 10 words is one window; one with none has none.  Null text has
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted), doc and digest (the
+    row's key), a row for each input row.  An item of under 10 words is one window; one with none has none.  Null text has
     no words; a null item id is written as an empty string.  Repeated items count once.  What is sent
     to each task is at most about index_bytes of items; a larger benchmark is searched for in parts, each in
     a pass over the documents, and the parts' finds are merged by document.
@@ -230,7 +230,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                 counts[slot] = n
         found.append(rows.select("doc", "digest", "body").mapInArrow(_searcher(index, index.prefixes(counts), parts == 1), _FOUND))
     if parts == 1:
-        one = found[0].select(F.when(F.col("doc") == 2**63 - 1, None).otherwise(F.col("doc")).alias("doc_id"), "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
+        one = found[0].select(F.when(F.col("doc") == 2**63 - 1, None).otherwise(F.col("doc")).alias("doc_id"), "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"), "doc", "digest")
         return one.mapInArrow(_result, RESULT)
     hits = found[0]
     for more in found[1:]:
@@ -238,7 +238,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     hits = hits.groupBy("doc", "digest").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
     hits = spool(hits, "hits")
     words = rows.select("doc", "digest", "body", "doc_id").mapInArrow(_word_counts, "doc long, digest int, doc_id long, n_words long")
-    return words.join(hits, ["doc", "digest"], "left").select("doc_id", "n_words", "spans", "items").mapInArrow(_result, RESULT)
+    return words.join(hits, ["doc", "digest"], "left").select("doc_id", "n_words", "spans", "items", "doc", "digest").mapInArrow(_result, RESULT)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of `documents` in occurrences of windows of `benchmark` items."""
-    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "doc", "digest")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
