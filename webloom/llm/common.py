@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +53,16 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; it waits for the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark's cleaner waits for the driver's garbage collection.  The first one frees what Python has let
+    go of, the second what that held.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def utf8(text: str | Column) -> Column:
