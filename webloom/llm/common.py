@@ -45,7 +45,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, and the planner knows its size.
 
-    So a join with it is a broadcast only if it is under spark.sql.autoBroadcastJoinThreshold.
+    So a join with it is a broadcast only if it is under spark.sql.autoBroadcastJoinThreshold.  Where
+    a table grows with the rows it is joined to, a merge hint has the join done alike at every size.
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -61,7 +61,7 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = lines.join(boilerplate(docs, text, site, min_sites), ["h1", "h2"])
     found = spool(found.groupBy("doc", "digest").agg(F.collect_set("pos").alias("pos")), "hits")
     hits = found.select(F.col("doc").alias(one), F.col("digest").alias(two), F.col("pos").alias(at))
-    rows = docs.withColumns({one: key, two: digest}).join(hits, [one, two], "left")
+    rows = docs.withColumns({one: key, two: digest}).join(hits.hint("merge"), [one, two], "left")
     parts = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(at))
     rows = rows.withColumns({

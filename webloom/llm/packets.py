@@ -294,7 +294,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> Dat
     """(doc_id, body, spans) of every row."""
     key, digest = row_keys(doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"))
-    return rows.join(spans, ["doc", "digest"], "left").select("doc_id", "body", "spans")
+    return rows.join(spans.hint("merge"), ["doc", "digest"], "left").select("doc_id", "body", "spans")
 
 
 def union_of(spans: bytes | None) -> tuple[np.ndarray, np.ndarray]:
