@@ -34,7 +34,7 @@ def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """docs with or without the rows that have a (doc, digest) of keys."""
     rows, one, two = _keyed(docs)
     keys = spool(keys.select(F.col("doc").alias(one), F.col("digest").alias(two)).distinct(), "keys")
-    return rows.join(keys, [one, two], how).select(*docs.columns)
+    return rows.join(keys.hint("merge"), [one, two], how).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
