@@ -13,6 +13,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,64 +36,88 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Ids of each word, by merges over all words in rank order."""
-    token: list[bytes] = []
-    after: list[int] = []
-    before: list[int] = []
-    starts: list[int] = []
-    places: dict[int, list[int]] = {}
-    whole: dict[int, int] = {}
-    for k, word in enumerate(words):
-        starts.append(len(token))
-        if word in ranks:
-            whole[k] = ranks[word]
-            continue
-        base = len(token)
-        for i in range(len(word)):
-            token.append(word[i : i + 1])
-            before.append(base + i - 1 if i else -1)
-            after.append(base + i + 1 if i + 1 < len(word) else -1)
-            if i + 1 < len(word) and (rank := ranks.get(word[i : i + 2])) is not None:
-                places.setdefault(rank, []).append(base + i)
-    heap = list(places)
-    heapq.heapify(heap)
-
-    def note(left: int, right: int) -> int | None:
-        rank = ranks.get(token[left] + token[right])
-        if rank is not None:
-            if rank not in places:
-                places[rank] = []
-                heapq.heappush(heap, rank)
-            places[rank].append(left)
-        return rank
+#: Stand for the gap between words and for a token that has become part of the one before it; no token has such an id.
+_GAP, _GONE = (1 << 20) - 1, (1 << 20) - 2
+
+
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of each pair of tokens that together are a token; a pair is one number."""
+    out = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                out[left << 20 | right] = rank
+    return out
 
+
+def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -> list[bytes]:
+    """Ids of each word (unsigned 32-bit, little-endian), by merges over all words in rank order."""
+    out = [b""] * len(words)
+    rest = []
+    for k, word in enumerate(words):
+        if (rank := ranks.get(word)) is not None:
+            out[k] = rank.to_bytes(4, "little")
+        elif word:
+            rest.append(k)
+    if not rest:
+        return out
+    # one line of tokens: a gap, the bytes of a word, a gap, the next word ...
+    size = np.fromiter((len(words[k]) for k in rest), np.int64, len(rest))
+    first = np.cumsum(size + 1) - size
+    line = np.full(int(first[-1] + size[-1]) + 1, _GAP, np.int64)
+    inside = np.ones(len(line), bool)
+    inside[0] = inside[-1] = inside[first - 1] = False
+    line[inside] = np.array([ranks[bytes([i])] for i in range(256)])[np.frombuffer(b"".join(words[k] for k in rest), np.uint8)]
+    token = line.tolist()
+    after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
+    # the inverted index: from the rank of a pair to where it stands
+    get = pairs.get
+    places: dict[int, list[int]] = {}
+    heap: list[int] = []
+    codes = line[:-1] << 20 | line[1:]
+    kinds, which = np.unique(codes, return_inverse=True)
+    found = np.array([get(c, -1) for c in kinds.tolist()], np.int64)[which]
+    at = np.flatnonzero(found >= 0)
+    at = at[np.argsort(found[at], kind="stable")]
+    cut = np.flatnonzero(np.diff(found[at], prepend=-1)).tolist()
+    for i, j in zip(cut, [*cut[1:], len(at)][: len(cut)], strict=True):
+        places[int(found[at[i]])] = at[i:j].tolist()
+    heap = sorted(places)
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
-        rank = heapq.heappop(heap)
-        at = sorted(set(places.pop(rank)))
-        for k, left in enumerate(at):
-            right = after[left]
-            if right < 0 or not token[left] or ranks.get(token[left] + token[right]) != rank:
+        rank = pop(heap)
+        todo = places.pop(rank)
+        todo.sort()
+        for k, p in enumerate(todo):
+            q = after[p]
+            if get(token[p] << 20 | token[q]) != rank:
                 continue  # a neighbour has changed since
-            token[left] += token[right]
-            token[right] = b""
-            after[left] = after[right]
+            n, m = after[q], before[p]
+            token[p], token[q] = rank, _GONE
+            after[p], before[n] = n, p
             lower = False
-            if after[right] >= 0:
-                before[after[right]] = left
-                found = note(left, after[right])
-                lower = found is not None and found <= rank
-            if before[left] >= 0:
-                found = note(before[left], left)
-                lower = lower or found is not None and found <= rank
+            for key, left in ((token[m] << 20 | rank, m), (rank << 20 | token[n], p)):
+                new = get(key)
+                if new is not None:
+                    if new in places:
+                        places[new].append(left)
+                    else:
+                        places[new] = [left]
+                        push(heap, new)
+                    lower |= new < rank
             if lower:  # a pair that comes first: what is left of this rank waits
-                if rank not in places:
-                    places[rank] = []
-                    heapq.heappush(heap, rank)
-                places[rank] += at[k + 1 :]
+                if k + 1 < len(todo):
+                    places[rank] = todo[k + 1 :]
+                    push(heap, rank)
                 break
-    starts.append(len(token))
-    return [[whole[k]] if k in whole else [ranks[t] for t in token[starts[k] : starts[k + 1]] if t] for k in range(len(words))]
+    line = np.array(token, np.int64)
+    stay = line < _GONE
+    ids = line[stay].astype("<u4").tobytes()
+    ends = np.cumsum(stay)[first + size - 1] * 4
+    for k, i, j in zip(rest, [0, *ends.tolist()[:-1]], ends.tolist(), strict=True):
+        out[k] = ids[i:j]
+    return out
 
 
 class Encoder:
@@ -100,6 +125,7 @@ class Encoder:
 
     def __init__(self, content: bytes, pattern: str):
         self.ranks = parse_ranks(content)
+        self.pairs = pair_ranks(self.ranks)
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -119,8 +145,7 @@ class Encoder:
         if len(self.ids) + len(pieces) > _CACHED:
             self.ids.clear()
         new = [p for p in pieces if p not in self.ids]
-        for piece, ids in zip(new, replay([p.encode() for p in new], self.ranks), strict=True):
-            self.ids[piece] = b"".join(i.to_bytes(4, "little") for i in ids)
+        self.ids.update(zip(new, replay([p.encode() for p in new], self.ranks, self.pairs), strict=True))
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
