@@ -66,8 +66,8 @@ def absolute_url(base: Column | str, link: Column | str) -> Column:
     (relative paths, dots, queries alone) go through one Arrow function.
     """
     base, link = _col(base), _col(link)
-    has_scheme = link.rlike(r"^(?i:https?)://[^/?#]+(/(?!\.)[^?#]*)?([?#].*)?$") & ~link.rlike(r"/\.\.?(/|\?|#|$)")
-    from_root = link.rlike(r"^/(?!/)[A-Za-z0-9_~%,!$&'()*+;=:@.\-/]*$") & ~link.rlike(r"/\.\.?(/|$)") & base.rlike(r"^(?i:https?)://")
+    has_scheme = link.rlike(r"^https?://[^/?#\[\]\s;]+(/[^?#\s;]*)?([?#][^\s;]*)?\z") & ~link.rlike(r"/\.\.?(/|\?|#|$)|[?#]$|\?#")
+    from_root = link.rlike(r"^/(?!/)[A-Za-z0-9_~%,!$&'()*+=:@.\-/]*\z") & ~link.rlike(r"/\.\.?(/|$)") & base.rlike(r"^https?://[^/?#\[\]\s;]+([/?#]|$)")
     slow = ~F.coalesce(has_scheme, F.lit(False)) & ~F.coalesce(from_root, F.lit(False))
     return F.when(F.coalesce(has_scheme, F.lit(False)), link).when(F.coalesce(from_root, F.lit(False)), F.concat(origin(base), link)).otherwise(_joined(F.when(slow, base), F.when(slow, link)))
 

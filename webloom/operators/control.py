@@ -53,9 +53,10 @@ def after_attempt(tasks: DataFrame, now: float, max_tries: int = MAX_TRIES) -> D
     return tasks.withColumns({"next_exetime": when, "tries": F.when(again, 0).otherwise(F.col("tries"))})
 
 
-def executions(outcomes: Column | str, ignore_exception: Column | str = F.lit(False), max_tries: int = MAX_TRIES) -> Column:
+def executions(outcomes: Column | str, ignore_exception: Column | str | None = None, max_tries: int = MAX_TRIES) -> Column:
     """How often a task runs, if its attempts end as the array of signals says (attempts beyond the array succeed)."""
-    limit = F.when(F.coalesce(_col(ignore_exception), F.lit(False)), 1).otherwise(max_tries + 1)
+    ignored = F.lit(False) if ignore_exception is None else F.coalesce(_col(ignore_exception), F.lit(False))
+    limit = F.when(ignored, 1).otherwise(max_tries + 1)
     state = F.struct(F.lit(0).alias("runs"), F.lit(0).alias("tries"), F.lit(False).alias("over"))
 
     def step(a: Column, signal: Column) -> Column:
