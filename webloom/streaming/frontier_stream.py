@@ -41,8 +41,8 @@ class Gate(StatefulProcessor):
         self.handle = handle
         self.held = handle.getListState("held", "due_ms long, task string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = timers.getCurrentProcessingTimeInMs()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
         for part in rows:
             due = (part["exetime"] * 1000).astype("int64")
             ready = part[due <= now]
@@ -54,8 +54,8 @@ class Gate(StatefulProcessor):
             for at in sorted(set(due[due > now].tolist())):
                 self.handle.registerTimer(at)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = expired.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
         held = list(self.held.get())
         ready = [t for at, t in held if at <= now]
         rest = [(at, t) for at, t in held if at > now]
@@ -90,7 +90,7 @@ class Debounce(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "ts double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for part in rows:
             passed = []
             last = self.last.get()[0] if self.last.exists() else None
