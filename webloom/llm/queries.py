@@ -14,6 +14,7 @@ from webloom.llm.pii import find_personal_data
 from webloom.llm.quality import assess
 from webloom.llm.sharding import assign_shards
 from webloom.llm.simhash import near_duplicates
+from webloom.llm.sql import ORACLES
 from webloom.llm.substring_dedup import remove_repeated_windows
 from webloom.llm.suffix_dedup import remove_repeated_bytes
 from webloom.llm.warc import read_archives, write_archives
@@ -86,6 +87,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_substring_dedup, op4_pii, op5_quality_rules, op6_simhash, op7_bpe, op8_sharding, op9_warc, op10_line_dedup)}
 
-ORACLES: dict[str, str] = {
-    "op10_line_dedup": line_dedup.SQL,
-}
+__all__ = ["ORACLES", "QUERIES"]
