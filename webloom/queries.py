@@ -494,7 +494,7 @@ def crawl_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.reachable(edges, spark.createDataFrame([("http://graph.example/?id=0#y",)], "url string"), 200).select("url")
 
 
-@query("SELECT " + CANONICAL + " AS url, 0 AS hop, 200 AS status, page_id % 2 = 0 AS even FROM pages")
+@query("SELECT " + CANONICAL + " AS url, 0 AS hop, 200 AS status, min(page_id) % 2 = 0 AS even FROM pages GROUP BY 1")
 def crawl_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl of the archive: seeds are all pages, links lead nowhere, and every visit is recorded."""
     pages = table(spark, sf_dir, "pages")
