@@ -59,6 +59,16 @@ def test_links_in_text():
     assert 'href=""' in got and 'href="#f"' in got and "javascript:x" in got and "mailto:a@b" in got and got.endswith('href="/plain"')
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "<a ", "href=", "src=", '"', "'", "x", "/y", "#f", "javascript:1", " ", "\n", "<img src='/i'>"]), max_size=25).map("".join))
+def test_links_like_the_expression(text):
+    def rewritten(m):
+        skip = not m[4] or m[4].startswith(urls.SKIPPED_PREFIXES)
+        return m[0] if skip else f"<{m[1]}{m[2]}={m[3]}{urljoin('http://h/p', m[4])}{m[5]}{m[6]}>"
+
+    assert urls.with_absolute_links(text, "http://h/p") == re.sub(urls.LINK_PATTERN, rewritten, text, flags=re.DOTALL)
+
+
 def test_lenient_decoding(spark):
     df = spark.createDataFrame([(b"caf\xc3\xa9", "utf-8"), (b"caf\xe9", "latin-1"), (b"a\xffb", "utf-8"), (b"a\xffb", "nonsense"), (None, "utf-8"), (b"x", None)], "body binary, encoding string").coalesce(1)
     from webloom.sources.archive import text_of

@@ -72,22 +72,27 @@ def absolute_url(base: Column | str, link: Column | str) -> Column:
     return F.when(F.coalesce(has_scheme, F.lit(False)), link).when(F.coalesce(from_root, F.lit(False)), F.concat(origin(base), link)).otherwise(_joined(F.when(slow, base), F.when(slow, link)))
 
 
-#: Fixed value: a tag, its first src or href, the quoted value, and the rest.
+#: Fixed value: what a rewritten link is: from a tag's start to its first src or href, the quoted value, and on to the tag's end.
 LINK_PATTERN = r"""<(.*?)(src|href)=("|')(.*?)("|')(.*?)>"""
-_LINK = re.compile(LINK_PATTERN, re.DOTALL)
+_ATTRIBUTE, _QUOTE = re.compile(r"""(?:src|href)=["']"""), re.compile("[\"']")
 
 
 def with_absolute_links(text: str, base: str) -> str:
-    """Rewrite the first src or href of each match to an absolute url."""
+    """Rewrite the first src or href of each match of LINK_PATTERN (dots match all) to an absolute url.
 
-    def rewritten(m: re.Match) -> str:
-        link = m[4]
-        if not link or link.startswith(SKIPPED_PREFIXES):
-            return m[0]
-        at = m.start(4) - m.start()
-        return m[0][:at] + urljoin(base, link) + m[0][at + len(link) :]
-
-    return _LINK.sub(rewritten, text)
+    The text is gone through once, where the expression itself would start anew at each tag.
+    """
+    out, done, at = [], 0, text.find("<")
+    while at >= 0 and (name := _ATTRIBUTE.search(text, at + 1)) and (quote := _QUOTE.search(text, name.end())):
+        end = text.find(">", quote.end())
+        if end < 0:
+            break
+        link = text[name.end() : quote.start()]
+        if link and not link.startswith(SKIPPED_PREFIXES):
+            out += [text[done : name.end()], urljoin(base, link)]
+            done = quote.start()
+        at = text.find("<", end + 1)
+    return "".join([*out, text[done:]])
 
 
 @F.pandas_udf(StringType())
