@@ -87,6 +87,7 @@ def test_recrawl_and_reschedule(spark):
     df = spark.createDataFrame([(1, 3, 100.0, 60, 0.0, False), (2, 1, 100.0, None, 0.0, False), (3, 1, 100.0, 0, 0.0, False)], "seq long, tries int, last_crawl_time double, recrawl int, exetime double, dont_filter boolean")
     again = frontier.recrawls(df).collect()
     assert [(r.seq, r.tries, r.exetime, r.dont_filter) for r in again] == [(1, 0, 160.0, True)]
+    assert {(r.tries, r.dont_filter) for r in frontier.put_back(df).collect()} == {(2, True), (0, True)}
     put = frontier.reschedule(df, 10.0, 5.0, F.lit(9)).collect()
     assert {(r.exetime, r.dont_filter, r.recrawl) for r in put} == {(15.0, True, 9)}
 

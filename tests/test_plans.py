@@ -1,4 +1,8 @@
 import json
+import threading
+import urllib.error
+import urllib.request
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from webloom.operators.middleware import Handler, Middleware
 from webloom.plans import crawl
 from webloom.plans.chain import ChainCrawler, ChainItem, ChainRequest
 from webloom.plans.settings import Settings
-from webloom.sources import archive, shared, sinks
+from webloom.sources import archive, live, shared, sinks
 
 
 def quote(n, following=None):
@@ -102,8 +106,20 @@ def test_chain(spark, pages, tmp_path):
     assert sorted((r.text, r.site, r.label) for r in rows) == [("Q1", "q", "L"), ("Q2", "q", "L"), ("Q3", "q", "L")]
     assert spark.read.text(f"{tmp_path}/lines").count() == 3
     assert sorted(r.item.links[0] for r in result.items_of("links array<string>", "Tag").collect()) == ["/missing", "/page/1/"]
-    web = ChainCrawler().use(ChainRequest("http://unused/").spawn(tag)).web(spark, pages, ["http://q.example/tag/t0"])
-    assert [r.url for r in web.collect()] == ["http://q.example/tag/t0"]
+    service = ChainCrawler().use(ChainRequest("http://unused/").spawn(tag)).web(pages, port=0)
+    try:
+        def ask(path):
+            try:
+                with urllib.request.urlopen(f"http://127.0.0.1:{service.port}{path}", timeout=120) as r:
+                    return r.status, json.load(r)
+            except urllib.error.HTTPError as e:
+                with e:
+                    return e.code, json.load(e)
+
+        assert ask("/add?url=http%3A%2F%2Fq.example%2Ftag%2Ft0") == (200, {"items": [{"links": ["/page/1/"]}]})
+        assert ask("/add?url=http%3A%2F%2Fq.example%2Fnowhere")[0] == 400 and ask("/add")[0] == 400 and ask("/else")[0] == 404
+    finally:
+        service.stop()
     with pytest.raises(ValueError):
         ChainCrawler().run(pages)
 
@@ -156,3 +172,41 @@ def test_items_can_be_logged(spark, caplog):
     with caplog.at_level("INFO", "webloom.items"):
         sinks.log_items(spark.createDataFrame([(1,)], "a int"))
     assert "'a': 1" in caplog.text
+
+
+def test_nested_rules(spark, pages):
+    spec = ItemSpec.nested({"text": ".quote .text::text", "links": ["//a/@href"], "all": [{"divider": ".quote", "t": "span::text"}], "one": {"t": "span::text"}})
+    from webloom.operators.items import spawn
+
+    item = spawn(pages.where("page_id = 1"), spec).first().item
+    assert item.text == " Q1 " and item.links == ["/tag/t1#top", "/page/2/"] and item["all"][0].t == " Q1 " and item.one.t == " Q1 "
+    assert spawn(pages.where("page_id = 4"), ItemSpec.nested("a::text")).first().item["item"] == "back"
+    assert ChainItem("X").rule({"a": "a::text"}).css("b", "b::text").spec.css == {"a": "a::text", "b": "b::text"}
+    with pytest.raises(ValueError):
+        ItemSpec.nested({"a": [{"b": "c"}]})
+
+
+def test_live_requests(spark):
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/ok" else 404)
+            self.send_header("Content-Type", "text/html; charset=latin-1")
+            self.end_headers()
+            self.wfile.write(b"caf\xe9" + self.headers.get("X-Own", "").encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        df = spark.createDataFrame([(1, f"{base}/ok", {"X-Own": "!"}), (2, f"{base}/no", None), (3, "http://127.0.0.1:1/", None), (4, "nonsense", None)], "n int, url string, headers map<string,string>")
+        got = {r.n: r for r in live.fetch_live(df, 2, delay=0.01, timeout=5).collect()}
+        assert got[1].response_status == 200 and bytes(got[1].response_body) == b"caf\xe9!" and got[1].response_encoding == "latin-1"
+        assert got[2].response_status == 404 and got[3].response_status is None and got[3].response_error and got[4].response_error
+        text = live.fetch_live(df.where("n = 1"), 1).select(archive.text_of("response_body", "response_encoding")).first()[0]
+        assert text == "café!" or text == "café"
+        assert live.fetch_live(df.where("n = 1"), 1, max_bytes=2).first().response_error == "body is too large"
+    finally:
+        server.shutdown()

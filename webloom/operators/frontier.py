@@ -136,3 +136,8 @@ def reschedule(tasks: DataFrame, now: float, defer: Column | float = 0.0, recraw
     defer = F.lit(float(defer)) if isinstance(defer, int | float) else defer
     out = tasks.withColumns({"exetime": F.lit(float(now)) + defer, "dont_filter": F.lit(True)})
     return out if recrawl is None else out.withColumn("recrawl", F.coalesce(recrawl, F.col("recrawl")))
+
+
+def put_back(cancelled: DataFrame) -> DataFrame:
+    """Tasks that were cancelled while they ran: the attempt doesn't count, and they pass the dedupe."""
+    return cancelled.withColumns({"tries": F.col("tries") - 1, "dont_filter": F.lit(True)})

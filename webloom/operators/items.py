@@ -50,6 +50,28 @@ class ItemSpec:
 
         return put
 
+    @classmethod
+    def nested(cls, rule: Any, name: str = "Item", divider: str | None = None) -> ItemSpec:
+        """A spec from one nested rule.
+
+        A text is a rule (a path where it begins with / or ./, css otherwise), a list of one text gives all matches,
+        a dict gives fields, a list of one dict with a "divider" gives an array of items.  What isn't a dict goes to the field `item`.
+        """
+        spec = cls(name=name, divider=divider)
+        for key, value in (rule if isinstance(rule, dict) else {"item": rule}).items():
+            many = isinstance(value, list)
+            value = value[0] if many else value
+            if isinstance(value, dict):
+                inner = dict(value)
+                at = inner.pop("divider", None)
+                if many and not at:
+                    raise ValueError(f"the items of {key!r} need a divider")
+                spec.inline[key] = cls.nested(inner, key, at if many else None)
+            else:
+                kind = spec.xpath if value.startswith(("/", "./")) else spec.css
+                kind[key] = f"[{value}]" if many else value
+        return spec
+
     def steps(self) -> dict[str, list[str | Processor]]:
         """Processors by field."""
         found = {k: list(r[1:]) for rules in (self.css, self.xpath, self.re) for k, r in rules.items() if isinstance(r, list) and len(r) > 1}

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.operators.items import ItemSpec, Rule, spawn
 from webloom.operators.links import page_links
 from webloom.plans.crawl import Crawl, Result, seeds
+from webloom.plans.service import Service
 from webloom.plans.settings import Settings
 from webloom.sources import sinks
 
@@ -51,6 +54,13 @@ class ChainItem:
         getattr(self.spec, kind)[field] = value
         return self
 
+    def rule(self, rule: Any) -> ChainItem:
+        """A nested rule for the whole item; see ItemSpec.nested."""
+        nested = ItemSpec.nested(rule, self.spec.name)
+        for part in ("css", "xpath", "inline"):
+            getattr(self.spec, part).update(getattr(nested, part))
+        return self
+
     def inline(self, field: str, item: ChainItem, divider: str | None = None) -> ChainItem:
         self.spec.inline[field] = item.spec
         item.spec.divider = divider
@@ -199,12 +209,15 @@ class ChainCrawler:
                 sink(rows.select("item.*", F.struct("hop", "page_seq").alias("_order")))
         return result
 
-    def web(self, spark: SparkSession, archive: DataFrame, urls: list[str]) -> DataFrame:
-        """Answer a query: crawl these urls with the first stage's steps and give their visits, as one lineage."""
+    def query(self, archive: DataFrame, urls: list[str]) -> Result:
+        """Crawl these urls with the first stage's steps, past the dedupe, as one lineage of their own."""
         crawl, _, _ = self.lowered(archive)
         first = next(iter(crawl.stages.values()))[0]
-        ancestor = "web@" + ",".join(sorted(urls))
-        return crawl.run(seeds(spark, urls, callback=first, ancestor=ancestor, dont_filter=True)).lineage(ancestor)
+        return crawl.run(seeds(archive.sparkSession, urls, callback=first, ancestor="web@" + uuid.uuid4().hex, dont_filter=True))
+
+    def web(self, archive: DataFrame, port: int = 8079) -> Service:
+        """A service that answers GET /add?url=... with the items of such a crawl. An answer is meant to be small: it goes through the driver."""
+        return Service(lambda urls: [json.loads(r.item) for r in self.query(archive, urls).items.toLocalIterator()], port).start()
 
 
 class _StagedCrawl(Crawl):
