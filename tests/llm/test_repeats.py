@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
 from tests.llm import brute
-from webloom.llm import packets
+from webloom.llm import packets, substring_dedup, suffix_dedup
 from webloom.llm.substring_dedup import remove_repeated_windows
 from webloom.llm.suffix_dedup import remove_repeated_bytes, suffix_order
 
@@ -46,8 +47,7 @@ def run(spark, rows, f, columns):
     return sorted((tuple(x) for x in f(df).select(*columns).collect()), key=repr)
 
 
-@pytest.mark.parametrize("block", [None, 300])
-def test_repeated_bytes(spark, block, monkeypatch):
+def test_repeated_bytes(spark):
     rows = fixture_rows()
     got = run(spark, rows, remove_repeated_bytes, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     assert got == sorted(brute.op1(rows), key=repr)
@@ -59,6 +59,32 @@ def test_repeated_windows(spark):
     assert got == sorted(brute.op3(rows), key=repr)
 
 
+@pytest.mark.parametrize(("module", "width", "plain"), [(suffix_dedup, 50, brute.op1), (substring_dedup, 13, brute.op3)])
+@pytest.mark.parametrize("most", [10**9, 500])
+def test_small_blocks_and_large_buckets(monkeypatch, module, width, plain, most):
+    """The steps without Spark: texts in small pieces, chunks of a few strings, one bucket divided on disk."""
+    monkeypatch.setattr(module, "BLOCK_BYTES", 120)
+    monkeypatch.setattr(packets, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(packets, "MOST_CHUNK_BYTES", 900)
+    monkeypatch.setattr(packets, "MAX_RUN", 7)
+    if module is substring_dedup:
+        monkeypatch.setattr(module, "_PIECE", 29)
+    rows = [(d, t) for i, (d, t) in enumerate(fixture_rows(7)) if d is not None and d not in [x for x, _ in fixture_rows(7)[:i]]]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([7] * len(rows), pa.int32()), pa.array([(t or "").encode() for _, t in rows], pa.binary())], ["doc", "digest", "body"])
+    sent = list(packets.mapper(module.cut, 1, width)(iter([batch])))
+    parts = list(packets.reducer(module.covered, getattr(module, "near", None), width, 3, most)(iter(sent)))
+    found = {}
+    by_part = {}
+    for b in parts:
+        for r in b.to_pylist():
+            by_part.setdefault(r["part"], []).append(r["packet"])
+    for values in by_part.values():
+        for r in packets.merge_part(pa.table({"packet": pa.array(values, pa.binary())})).to_pylist():
+            a, b = packets.union_of(r["spans"])
+            found[r["doc"]] = int((b - a).sum())
+    assert found == {r[0]: r[2] for r in plain(rows) if r[2]}
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert remove_repeated_bytes(df).collect() == []

@@ -9,8 +9,11 @@ smallest document travel: the others are known to repeat it.
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +23,13 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import release, row_keys, spool, utf8
 
-#: Bytes of strings that a task gathers before it sends its packets.
-CHUNK_BYTES = 24 << 20
+#: Bytes of strings that a task gathers before it sends its packets: at least the first, and as many for each bucket as
+#: a packet should have, up to the second.
+CHUNK_BYTES, PACKET_BYTES, MOST_CHUNK_BYTES = 24 << 20, 8 << 10, 128 << 20
 #: Bytes of text that one round of array work takes.
 BLOCK_BYTES = 1 << 20
-#: Raw bytes of strings meant for one bucket.
-BUCKET_BYTES = 40 << 20
+#: Raw bytes of strings meant for one bucket, and most buckets; larger buckets are divided on local disks.
+BUCKET_BYTES, MOST_BUCKETS = 40 << 20, 1 << 14
 #: Longest run of windows in one string.
 MAX_RUN = 2048
 
@@ -163,8 +167,9 @@ def send(chunk: Chunk, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.binary())], ["bucket", "kind", "packet"])
 
 
-def mapper(cut: Callable[[Iterable[tuple[int, int, bytes]], Chunk], Iterator[Chunk]], buckets: int, width: int):
-    """For mapInArrow over (doc, digest, body). cut: documents to chunks of strings."""
+def mapper(cut: Callable[[Iterable[tuple[int, int, bytes]], int], Iterator[Chunk]], buckets: int, width: int):
+    """For mapInArrow over (doc, digest, body). cut: (documents, bytes of a chunk) to chunks of strings."""
+    size = min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, buckets * PACKET_BYTES))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
         for batch in batches:
@@ -172,7 +177,7 @@ def mapper(cut: Callable[[Iterable[tuple[int, int, bytes]], Chunk], Iterator[Chu
                 yield doc.as_py(), digest.as_py(), body.as_py()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in cut(documents(batches), Chunk()):
+        for chunk in cut(documents(batches), size):
             yield from send(chunk, buckets, width)
 
     return run
@@ -183,7 +188,7 @@ def gathered(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, end: np.nda
     part = (mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + digest.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cut = np.flatnonzero(np.diff(part[order], prepend=-1))
-    slices = [order[a:b] for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(order)], strict=True)]
+    slices = [order[a:b] for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(order)][: len(cut)], strict=True)]
     return pa.table({"part": pa.array([int(part[x[0]]) for x in slices], pa.int32()), "packet": pa.array([pack([doc[x], digest[x], start[x], end[x]]) for x in slices], pa.binary())})
 
 
@@ -198,66 +203,124 @@ def merge_part(table: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array(doc[first], pa.int64()), "digest": pa.array(digest[first], pa.int32()), "spans": pa.array(spans, pa.binary())})
 
 
-def reducer(covered: Callable[..., tuple[np.ndarray, np.ndarray]], near: Callable[..., np.ndarray] | None, width: int, parts: int):
-    """For applyInArrow over the packets of a bucket.
+Covered = Callable[..., tuple[np.ndarray, np.ndarray]]
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def resolved(arrays: list[np.ndarray], strings: list[bytes], covered: Covered, near: Callable[..., np.ndarray] | None, width: int) -> list[Spans]:
+    """Spans (doc, digest, start, end) of what a smaller document has too, among strings that one bucket holds."""
+    doc, digest, start, windows, tag = arrays
+    order = np.lexsort((doc, tag))
+    first = np.flatnonzero(np.diff(tag[order], prepend=-1))
+    several = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+    order = order[np.repeat(several, np.diff(np.append(first, len(order))))]
+    doc, digest, start, windows, tag = doc[order], digest[order], start[order], windows[order], tag[order]
+    strings = [strings[i] for i in order.tolist()]
+    n, seen = len(strings), {}
+    same = np.fromiter(map(seen.setdefault, strings, range(n)), np.int64, n)
+    del seen
+    smallest = doc.copy()
+    np.minimum.at(smallest, same, doc)
+    whole = np.flatnonzero(doc > smallest[same])
+    out = [(doc[whole], digest[whole], start[whole], start[whole] + windows[whole] + width - 1)]
+    only = np.flatnonzero(same == np.arange(n))
+    if len(only):  # a string that is alone with its minimiser has been dealt with
+        first = np.flatnonzero(np.diff(tag[only], prepend=-1))
+        several = np.minimum.reduceat(smallest[only], first) != np.maximum.reduceat(smallest[only], first)
+        only = only[np.repeat(several, np.diff(np.append(first, len(only))))]
+    rest = np.flatnonzero(doc == smallest[same])
+    rest = rest[np.argsort(same[rest], kind="stable")]
+    for part in tag_groups(tag[only], np.fromiter((len(strings[i]) for i in only.tolist()), np.int64, len(only))):
+        one = only[part]
+        if near:
+            one = one[near([strings[i] for i in one.tolist()], smallest[one])]
+        if not len(one):
+            continue
+        which, window = covered([strings[i] for i in one.tolist()], smallest[one], windows[one])
+        if not len(which):
+            continue
+        # every row of the smallest document that has the string gets its spans
+        a = np.searchsorted(same[rest], one[which], "left")
+        times = np.searchsorted(same[rest], one[which], "right") - a
+        row = rest[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        begin = start[row] + np.repeat(window, times)
+        out.append((doc[row], digest[row], begin, begin + width))
+    return out
+
+
+#: Bits of a tag that one level of local division goes by, and its levels.
+_DIVIDE, _LEVELS = 6, 4
+
+
+def settled(packets: Iterator[bytes], resolve: Callable[[list[np.ndarray], list[bytes]], list[Spans]], most: int, level: int = 0) -> Iterator[list[Spans]]:
+    """Resolve packets together if they fit into `most` bytes, else divide them by tags into local files and go on with each.
+
+    The files are in the task's own temporary folder and go when it ends; a lost task starts anew.
+    """
+    held: list[list[np.ndarray]] = []
+    strings: list[bytes] = []
+    size = 0
+    for packet in packets:
+        arrays, found = unpack(packet, True)
+        held.append(arrays)
+        strings += found
+        size += sum(map(len, found))
+        if size > most and level < _LEVELS:
+            break
+    else:
+        if strings:
+            yield resolve([np.concatenate(x) for x in zip(*held, strict=True)], strings)
+        return
+    with tempfile.TemporaryDirectory() as folder, contextlib.ExitStack() as files:
+        slots: dict[int, BinaryIO] = {}
+
+        def put(arrays: list[np.ndarray], strings: list[bytes]) -> None:
+            slot = (arrays[4] >> (_DIVIDE * level)) & ((1 << _DIVIDE) - 1)
+            for k in np.unique(slot).tolist():
+                at = np.flatnonzero(slot == k)
+                value = pack([x[at] for x in arrays], [strings[i] for i in at.tolist()])
+                if k not in slots:
+                    slots[k] = files.enter_context(open(f"{folder}/{k}", "wb"))
+                slots[k].write(len(value).to_bytes(8, "little") + value)
+
+        put([np.concatenate(x) for x in zip(*held, strict=True)], strings)
+        held, strings = [], []
+        for packet in packets:
+            put(*unpack(packet, True))
+        files.close()
+        for k in slots:
+            with open(f"{folder}/{k}", "rb") as file:
+                yield from settled((file.read(int.from_bytes(n, "little")) for n in iter(lambda f=file: f.read(8), b"")), resolve, most, level + 1)
+
+
+def reducer(covered: Covered, near: Callable[..., np.ndarray] | None, width: int, parts: int, most: int | None = None):
+    """For applyInArrow over the packets of a bucket, as a stream.
 
     covered: (strings, document, windows of each) to (string, window) arrays of those whose
     content also starts in a smaller document; strings are distinct and share minimisers.
     near: (strings, documents) to those that can share a window with another document's; None: all.
+    most: bytes of strings that are held at once.
     """
+    limit = 2 * BUCKET_BYTES if most is None else most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[Spans] = []
+
+        def packets() -> Iterator[bytes]:
+            for batch in batches:
+                for kind, packet in zip(batch.column("kind"), batch.column("packet"), strict=True):
+                    if kind.as_py() == _STRINGS:
+                        yield packet.as_py()
+                    else:
+                        known.append(tuple(unpack(packet.as_py(), False)[0]))
+
+        def batch_of(found: list[Spans]) -> Iterator[pa.RecordBatch]:
+            if found:
+                yield from gathered(*merged(*(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))), parts).to_batches()
 
-    def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        got: list[list[np.ndarray]] = []
-        strings: list[bytes] = []
-        for kind, packet in zip(table.column("kind"), table.column("packet"), strict=True):
-            arrays, found = unpack(packet.as_py(), kind.as_py() == _STRINGS)
-            if kind.as_py() == _SPANS:
-                out.append(tuple(arrays))
-            else:
-                order = np.argsort(arrays[4], kind="stable")
-                got.append([a[order] for a in arrays])
-                strings += [found[i] for i in order.tolist()]
-        if got:
-            doc, digest, start, windows, tag = (np.concatenate(x) for x in zip(*got, strict=True))
-            got.clear()
-            order = np.lexsort((doc, tag))
-            first = np.flatnonzero(np.diff(tag[order], prepend=-1))
-            several = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
-            order = order[np.repeat(several, np.diff(np.append(first, len(order))))]
-            doc, digest, start, windows, tag = doc[order], digest[order], start[order], windows[order], tag[order]
-            strings = [strings[i] for i in order.tolist()]
-            n, seen = len(strings), {}
-            same = np.fromiter(map(seen.setdefault, strings, range(n)), np.int64, n)
-            del seen
-            smallest = doc.copy()
-            np.minimum.at(smallest, same, doc)
-            whole = np.flatnonzero(doc > smallest[same])
-            out.append((doc[whole], digest[whole], start[whole], start[whole] + windows[whole] + width - 1))
-            only = np.flatnonzero(same == np.arange(n))
-            if len(only):  # a string that is alone with its minimiser has been dealt with
-                first = np.flatnonzero(np.diff(tag[only], prepend=-1))
-                several = np.minimum.reduceat(smallest[only], first) != np.maximum.reduceat(smallest[only], first)
-                only = only[np.repeat(several, np.diff(np.append(first, len(only))))]
-            rest = np.flatnonzero(doc == smallest[same])
-            rest = rest[np.argsort(same[rest], kind="stable")]
-            for part in tag_groups(tag[only], np.fromiter((len(strings[i]) for i in only.tolist()), np.int64, len(only))):
-                one = only[part]
-                if near:
-                    one = one[near([strings[i] for i in one.tolist()], smallest[one])]
-                if not len(one):
-                    continue
-                which, window = covered([strings[i] for i in one.tolist()], smallest[one], windows[one])
-                if not len(which):
-                    continue
-                # every row of the smallest document that has the string gets its spans
-                a = np.searchsorted(same[rest], one[which], "left")
-                times = np.searchsorted(same[rest], one[which], "right") - a
-                row = rest[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                begin = start[row] + np.repeat(window, times)
-                out.append((doc[row], digest[row], begin, begin + width))
-        empty = (np.empty(0, np.int64),) * 4
-        return gathered(*merged(*(np.concatenate(x).astype(np.int64) for x in zip(*out, empty, strict=True))), parts)
+        for found in settled(packets(), lambda arrays, strings: resolved(arrays, strings, covered, near, width), limit):
+            yield from batch_of(found)
+        yield from batch_of(known)
 
     return run
 
@@ -281,7 +344,7 @@ def find_spans(docs: DataFrame, doc_id: str, text: str, cut, covered, near, widt
     key, digest = row_keys(doc_id, text)
     slim = docs.select(key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-int(total * growth) // BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, min(MOST_BUCKETS, -(-int(total * growth) // BUCKET_BYTES)))
     packets = slim.mapInArrow(mapper(cut, buckets, width), "bucket int, kind int, packet binary")
     parts = packets.groupBy("bucket").applyInArrow(reducer(covered, near, width, buckets), "part int, packet binary")
     spans = spool(parts.groupBy("part").applyInArrow(merge_part, "doc long, digest int, spans binary"), "spans")

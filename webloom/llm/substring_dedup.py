@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from webloom.llm import packets
-from webloom.llm.packets import BLOCK_BYTES, CHUNK_BYTES, Chunk, mix, runs, sliding_min
+from webloom.llm.packets import BLOCK_BYTES, Chunk, mix, runs, sliding_min
 
 WIDTH = 13
 KMER = 3
@@ -60,9 +60,9 @@ def _block(texts: list[tuple[int, int, int, list[bytes]]], hashes: _Hashes, chun
 _PIECE = 200_000
 
 
-def cut(documents: Iterable[tuple[int, int, bytes]], chunk: Chunk) -> Iterator[Chunk]:
+def cut(documents: Iterable[tuple[int, int, bytes]], most: int) -> Iterator[Chunk]:
     """Documents to chunks of strings."""
-    hashes, texts, size = _Hashes(), [], 0
+    hashes, chunk, texts, size = _Hashes(), Chunk(), [], 0
     for doc, digest, body in documents:
         words = body.split()
         for at in range(0, max(0, len(words) - WIDTH + 1), _PIECE):
@@ -72,7 +72,7 @@ def cut(documents: Iterable[tuple[int, int, bytes]], chunk: Chunk) -> Iterator[C
             if size >= BLOCK_BYTES:
                 _block(texts, hashes, chunk)
                 texts, size = [], 0
-                if chunk.size >= CHUNK_BYTES:
+                if chunk.size >= most:
                     yield chunk
                     chunk = Chunk()
     if texts:
