@@ -6,7 +6,7 @@ return the columns of documents, whatever these are beside doc_id, text, lang an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm.bpe import encode
@@ -55,9 +55,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keepers = near_duplicates(docs).where("keeper")
     rows, one, two = _keyed(_joined(docs, keepers, "left_semi"))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    nth = _free("_nth", rows.columns)
-    order = [F.col(c) for c in others] or [F.col(one)]
-    return rows.withColumn(nth, F.row_number().over(Window.partitionBy(one, two).orderBy(*order))).where(F.col(nth) == 1).select(*docs.columns)
+    # an aggregate, so that rows which repeat a keeper are combined before they meet; texts of any kind of column compare
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    kept = rows.groupBy(one, two).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
