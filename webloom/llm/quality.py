@@ -1,9 +1,10 @@
 """Quality rules with robust multivariate outliers (operator 5).
 
 Counts of each text give a base verdict and a vector of transformed statistics.
-For each language and source, means and covariances with a small determinant are
-estimated by concentration steps over all rows: distances, the three quarters of rows
-that are nearest, their means and covariances, again.  Texts far from the estimate go.
+For each language and source, means and covariances are estimated by concentration
+steps over all rows: distances, the three quarters of rows that are nearest, their
+means and covariances, again.  Of three starts the one that ends with the least
+determinant counts.  Texts far from the estimate go.
 """
 
 from __future__ import annotations
@@ -172,16 +173,25 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
         sums = rows.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(f) for f in FEATURES)).alias("sums"), F.array(*(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in _PAIRS)).alias("products"))
         return spool(sums.mapInArrow(_estimates, _ESTIMATE), "estimates")
 
-    # a first ordering by medians and deviations from them, feature by feature
+    # medians and deviations from them, feature by feature, give a first ordering by each of three norms
     middle = spool(grouped.groupBy("g").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"m_{f}") for f in FEATURES)), "medians")
     first = grouped.join(middle, "g")
     off = spool(first.groupBy("g").agg(*(F.first(f"m_{f}").alias(f"m_{f}") for f in FEATURES), *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 1000).alias(f"d_{f}") for f in FEATURES)), "deviations")
-    terms = [F.pow((F.col(f) - F.col(f"m_{f}")) / F.greatest(1.4826 * F.col(f"d_{f}"), F.lit(floor)), 2) for f, floor in zip(FEATURES, FLOORS, strict=True)]
-    measured = grouped.join(off, "g").withColumn("d2", sum(terms[1:], terms[0])).select("g", *FEATURES, "d2", _bin())
-    for _ in range(STEPS):
+    terms = [F.abs(F.col(f) - F.col(f"m_{f}")) / F.greatest(1.4826 * F.col(f"d_{f}"), F.lit(floor)) for f, floor in zip(FEATURES, FLOORS, strict=True)]
+    norms = F.array(sum((t * t for t in terms[1:]), terms[0] * terms[0]), F.greatest(*terms), sum(terms[1:], terms[0]))
+    measured = grouped.join(off, "g").select(F.col("g").alias("name"), *FEATURES, F.posexplode(norms).alias("start", "d2"))
+    measured = measured.withColumn("g", F.concat_ws("#", "start", "name")).select("g", *FEATURES, "d2", _bin())
+    starts = grouped.select(F.col("g").alias("name"), *FEATURES, F.explode(F.array(*map(F.lit, range(3)))).alias("start"))
+    starts = starts.withColumn("g", F.concat_ws("#", "start", "name")).select("g", *FEATURES)
+    for step in range(STEPS):
         limit = spool(_quantile(measured, SHARE), "limit")
         estimate = estimated(measured.join(limit, "g").where(F.col("bin") <= F.col("limit")))
-        measured = grouped.join(estimate, "g").withColumn("d2", _distance()).select("g", *FEATURES, "d2", _bin())
+        if step + 1 < STEPS:
+            measured = starts.join(estimate, "g").withColumn("d2", _distance()).select("g", *FEATURES, "d2", _bin())
+    # of the three estimates of a group that with the least determinant counts
+    best = estimate.groupBy(F.expr("substr(g, 3)").alias("g")).agg(F.min_by(F.struct("mean", "inverse"), "determinant").alias("e"))
+    estimate = spool(best.select("g", "e.mean", "e.inverse"), "estimate")
+    measured = grouped.join(estimate, "g").withColumn("d2", _distance()).select("g", "d2", _bin())
     half = spool(_quantile(measured, 0.5).select("g", F.exp((F.col("limit") + 1) / _BINS).alias("half")).join(estimate, "g"), "final")
     scored = _with_groups(stats, groups, "left").join(half, "g", "left")
     d2 = _distance() / F.col("half") * MEDIAN * F.col("n_words") / (F.col("n_words") + SHORT)
