@@ -138,10 +138,10 @@ def _groups(stats: DataFrame) -> DataFrame:
     each = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
     each = spool(each, "groups")
     small = each.where(F.col("n") < LEAST_ROWS).groupBy("lang").agg(F.sum("n").alias("rest"))
-    all_small = small.where(F.col("rest") < LEAST_ROWS).agg(F.coalesce(F.sum("rest"), F.lit(0)).alias("others"))
-    joined = each.join(small.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").crossJoin(F.broadcast(all_small))  # one row
+    others = small.where(F.col("rest") < LEAST_ROWS).agg(F.sum("rest")).first()[0] or 0
+    joined = each.join(small.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
     name = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-    g = F.when(F.col("n") >= LEAST_ROWS, name).when(F.col("rest") >= LEAST_ROWS, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).when(F.col("others") >= LEAST_ROWS, F.lit("others"))
+    g = F.when(F.col("n") >= LEAST_ROWS, name).when(F.col("rest") >= LEAST_ROWS, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).when(F.lit(others >= LEAST_ROWS), F.lit("others"))
     return spool(joined.select("lang", "source", g.alias("g")), "names")
 
 
