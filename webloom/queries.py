@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,7 +185,7 @@ def frontier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ranked.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % F.lit(1 << 33)})
     parts = crawl.append(parts, f"{shared_dir(spark)}/webloom-order-{uuid.uuid4().hex}")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
     return parts.join(F.broadcast(before), "_part").select("seq", "priority", (F.col("_before") + F.col("_at") + 1).alias("place"))
 
 
