@@ -529,7 +529,11 @@ def debounce_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier_stream.debounce_batch(s, 0.0).groupBy("token").agg(F.count_if("ok").alias("n_ok"), F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id AS token, epoch_us(ts) / 1e6 AS ts, event_type <> 'error' AS ok FROM events),
+good(token, ts) AS (SELECT token, min(ts) FROM s WHERE ok GROUP BY token
+  UNION ALL SELECT g.token, min(s.ts) FROM good g JOIN s ON s.token = g.token AND s.ok AND s.ts - g.ts >= 86400 GROUP BY g.token)
+SELECT token, ts, true AS ok FROM good
+UNION ALL SELECT token, ts, ok FROM s WHERE NOT ok AND NOT EXISTS (SELECT 1 FROM good g WHERE g.token = s.token AND g.ts < s.ts AND s.ts - g.ts < 86400)""")
 def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals at least a day after the last that was handled with success."""
     s = table(spark, sf_dir, "events").select(F.col("user_id").alias("token"), epoch().alias("ts"), (F.col("event_type") != "error").alias("ok"))
