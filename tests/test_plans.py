@@ -37,6 +37,7 @@ def test_crawl_by_parsers(spark, pages):
     result = crawl.Crawl(pages, parsers=parsers).run(crawl.seeds(spark, ["http://q.example/page/1/"], meta={"from": "start"}, ancestor="a"))
     assert visits(result) == [("http://q.example/missing", 2, 404), ("http://q.example/page/1/", 0, 200), ("http://q.example/page/2/", 1, 200), ("http://q.example/page/3/#x", 2, 200), ("http://q.example/tag/t0#top", 2, 200), ("http://q.example/tag/t1#top", 1, 200)]
     assert sorted(r.item.text for r in result.items_of("text string", "Quote").collect()) == ["Q1", "Q2", "Q3"]
+    assert {(r.family, r.n_fail, r.n_success) for r in result.counts().collect()} == {("Request", 1, 5), ("Response", 0, 9), ("Quote", 0, 3)}
     assert {(r.meta["from"], r.ancestor) for r in result.visited.collect()} == {("start", "a")}
     assert result.lineage("a").count() == 6 and result.lineage("b").count() == 0
 
@@ -97,7 +98,7 @@ def test_settings():
 
 
 def test_chain(spark, pages, tmp_path):
-    item = ChainItem("Quote").css("text", "span.text::text", "strip").extra(site="q", label="").extra_from_meta().to_table(f"{tmp_path}/quotes", key="text").to_json(f"{tmp_path}/lines")
+    item = ChainItem("Quote").css("text", "span.text::text", "strip").extra(site="q").extra_from_meta("label", "text").to_table(f"{tmp_path}/quotes", key="text").to_json(f"{tmp_path}/lines")
     tag = ChainItem("Tag").css("links", "[a::attr(href)]")
     first = ChainRequest("http://q.example/page/1/").meta(label="L").spawn(item, ".quote").paginate("li.next a::attr(href)", pass_meta=True)
     first.follow(".quote > a::attr(href)").spawn(tag)
@@ -207,6 +208,11 @@ def test_live_requests(spark):
         assert got[2].response_status == 404 and got[3].response_status is None and got[3].response_error and got[4].response_error
         text = live.fetch_live(df.where("n = 1"), 1).select(archive.text_of("response_body", "response_encoding")).first()[0]
         assert text == "café!" or text == "café"
+        assert live.fetch_live(df.where("n = 2"), 1, tries=4).first().response_tries == 4
+        assert live.fetch_live(df.where("n = 2"), 1, tries=4, allowed=[404]).first().response_tries == 1
+        settings = Settings(max_tries=1, download_delay=0.01)
+        got = crawl.Crawl(None, settings=settings, fetcher=live.fetcher(2, settings)).run(crawl.seeds(spark, [f"{base}/ok", f"{base}/no"]))
+        assert sorted((r.status, r.tries, r.accepted) for r in got.visited.collect()) == [(200, 1, True), (404, 2, False)]
         assert live.fetch_live(df.where("n = 1"), 1, max_bytes=2).first().response_error == "body is too large"
     finally:
         server.shutdown()

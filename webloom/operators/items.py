@@ -25,7 +25,11 @@ Rule = str | list
 
 @dataclass
 class ItemSpec:
-    """Rules by field. inline: field to another spec, whose divider makes it an array."""
+    """Rules by field.
+
+    inline: field to another spec, whose divider makes it an array.  extra_from_meta: keys of the page's meta that
+    replace extra fields or are added to them as texts; True: those that extra has.
+    """
 
     name: str = "Item"
     css: dict[str, Rule] = field(default_factory=dict)
@@ -34,7 +38,7 @@ class ItemSpec:
     inline: dict[str, ItemSpec] = field(default_factory=dict)
     default: dict[str, Any] = field(default_factory=dict)
     extra: dict[str, Any] = field(default_factory=dict)
-    extra_from_meta: bool = False
+    extra_from_meta: bool | list[str] = False
     divider: str | None = None
     store: bool = False
     custom: Callable[[DataFrame], DataFrame] | None = None
@@ -82,9 +86,15 @@ class ItemSpec:
         rules = {kind: {k: r[0] if isinstance(r, list) else r for k, r in getattr(self, kind).items()} for kind in ("css", "xpath", "re")}
         return rules | {"inline": {k: s.plain() for k, s in self.inline.items()}, "default": self.default, "extra": self.extra, "divider": self.divider}
 
+    def from_meta(self) -> list[str]:
+        """Keys that come from meta: a rule for the same field would overwrite them."""
+        keys = list(self.extra) if self.extra_from_meta is True else list(self.extra_from_meta or [])
+        return [k for k in keys if not any(k in rules for rules in (self.css, self.xpath, self.re, self.inline))]
+
     def schema(self) -> T.StructType:
         """Fields in the order in which they are first assigned."""
         types: dict[str, T.DataType] = {k: _type_of(v) for k, v in self.extra.items()}
+        types |= {k: T.StringType() for k in self.from_meta() if k not in types}
         for k, s in self.inline.items():
             types[k] = T.ArrayType(s.schema()) if s.divider else s.schema()
         types |= {k: _type_of(v) for k, v in self.default.items() if k not in self.extra}
@@ -173,10 +183,9 @@ def spawn(pages: DataFrame, spec: ItemSpec, divider: str | None = None, html: st
     keep = [c for c in pages.columns if c != html] if keep is None else keep
     items = pages.select(*keep, taker(spec, divider)(F.col(html)).alias("_items"))
     rows = items.select(*keep, F.posexplode("_items").alias("item_pos", "item"))
-    if spec.extra_from_meta and meta:
-        known = [k for k in spec.extra if k in spec.schema().names]
-        for k in known:
-            rows = rows.withColumn("item", F.col("item").withField(k, F.coalesce(F.col(meta)[k].cast(spec.schema()[k].dataType), F.col("item")[k])))
+    if meta:
+        for k in spec.from_meta():
+            rows = rows.withColumn("item", F.col("item").withField(k, F.coalesce(F.col(meta)[k].try_cast(spec.schema()[k].dataType), F.col("item")[k])))
     rows = process(rows, spec.steps()).withColumn("family", F.lit(spec.name))
     return spec.custom(rows) if spec.custom else rows
 

@@ -32,8 +32,8 @@ class ChainItem:
         self.spec.extra |= values
         return self
 
-    def extra_from_meta(self) -> ChainItem:
-        self.spec.extra_from_meta = True
+    def extra_from_meta(self, *keys: str) -> ChainItem:
+        self.spec.extra_from_meta = list(keys) or True
         return self
 
     def store(self) -> ChainItem:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from webloom.functions.urls import canonical_url, fingerprint, host
 from webloom.operators import frontier
-from webloom.operators.control import response_ok
+from webloom.operators.control import response_ok, status_accepted
 from webloom.operators.links import Parser
 from webloom.operators.middleware import AFTER, BEFORE, Middleware, merge_maps
 from webloom.plans.settings import Settings
@@ -25,7 +25,7 @@ from webloom.sources.archive import fetch
 from webloom.sources.shared import append, exists, read_if_there, shared_dir
 
 FRONTIER = "url string, method string, fingerprint string, priority int, exetime double, seq long, dont_filter boolean, callback string, meta map<string,string>, ancestor string, status_allowed array<int>, hop int"
-VISITED = "url string, fingerprint string, hop int, status int, ok boolean, callback string, meta map<string,string>, ancestor string, seq long"
+VISITED = "url string, fingerprint string, hop int, status int, tries int, accepted boolean, ok boolean, callback string, meta map<string,string>, ancestor string, seq long"
 
 
 def seeds(spark: SparkSession, urls: list[str] | DataFrame, callback: str = "parse", priority: int = 0, meta: dict[str, str] | None = None, ancestor: str | None = None, dont_filter: bool = False, status_allowed: list[int] | None = None) -> DataFrame:
@@ -58,17 +58,18 @@ Callback = Callable[[DataFrame], dict[str, DataFrame]]
 
 @dataclass
 class Crawl:
-    """What a crawl does with responses.
+    """What a crawl does with responses, which come from an archive or from a fetcher (see sources.live).
 
     callbacks: by name; each takes responses and returns {"requests": ..., "items": ...}.  Requests need url
     and page_seq (the seq of the response that made them), items page_seq and item.
     """
 
-    archive: DataFrame
+    archive: DataFrame | None
     callbacks: dict[str, Callback] = field(default_factory=dict)
     parsers: list[Parser] = field(default_factory=list)
     middleware: Middleware = field(default_factory=Middleware)
     settings: Settings = field(default_factory=Settings)
+    fetcher: Callable[[DataFrame], DataFrame] | None = None
 
     def run(self, start: DataFrame, folder: str | None = None) -> Result:
         """Go on until no request is left, or for max_hops hops. A folder with an earlier run is taken up where it stopped."""
@@ -121,8 +122,12 @@ class Crawl:
 
     def _responses(self, batch: DataFrame, path: str) -> DataFrame:
         batch = self.middleware.run(batch.withColumn("families", F.array(F.lit("Request"), F.lit("Task"))), BEFORE).drop("families")
-        fetched = fetch(batch, self.archive)
-        return append(fetched.withColumn("ok", response_ok("status", "status_allowed")), path)
+        fetched = self.fetcher(batch) if self.fetcher else fetch(batch, self.archive)
+        allowed = F.lit(None).cast("array<int>") if self.settings.status_allowed is None else F.array(*map(F.lit, self.settings.status_allowed)).cast("array<int>")
+        accepted = status_accepted("status", allowed, "status_allowed")
+        if "tries" not in fetched.columns:  # an archive answers each attempt alike
+            fetched = fetched.withColumn("tries", F.when(accepted, 1).otherwise(self.settings.max_tries + 1))
+        return append(fetched.withColumns({"ok": response_ok("status", "status_allowed"), "accepted": accepted}), path)
 
     def _outputs(self, responses: DataFrame):
         good = responses.where("ok")
@@ -170,6 +175,14 @@ class Result:
         rows = self.items if family is None else self.items.where(F.col("family") == family)
         return rows.select("page_seq", "hop", "family", F.from_json("item", schema).alias("item"))
 
+    def counts(self) -> DataFrame:
+        """(family, n_fail, n_success). Each attempt at a request gives a response that succeeds, also where the request fails in the end."""
+        visited = self.visited
+        requests = visited.agg(F.count_if(~F.col("accepted")).alias("n_fail"), F.count_if("accepted").alias("n_success")).withColumn("family", F.lit("Request"))
+        responses = visited.agg(F.coalesce(F.sum("tries"), F.lit(0)).alias("n_success")).select(F.lit(0).cast("long").alias("n_fail"), "n_success", F.lit("Response").alias("family"))
+        items = self.items.groupBy("family").agg(F.lit(0).cast("long").alias("n_fail"), F.count("*").alias("n_success"))
+        return requests.unionByName(responses).unionByName(items).select("family", "n_fail", "n_success")
+
     def lineage(self, ancestor: str) -> DataFrame:
         """What a request and its descendants visited."""
         return self.visited.where(F.col("ancestor") == ancestor)
