@@ -25,7 +25,8 @@ def _line_keys(line: str) -> list[Column]:
 
 def _lines(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     """A row for each line that isn't white space."""
-    lines = docs.select(*more, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    # outer, as the plain form has the optimizer split texts twice, to leave out null ones before
+    lines = docs.select(*more, F.posexplode_outer(F.split(text, "\n", -1)).alias("pos", "line"))
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
