@@ -77,16 +77,19 @@ def host_cap(tasks: DataFrame, limit: int | None, host: str = "host", special: d
     """At most `limit` tasks of each host, the first in order; `special` limits count for hosts that contain the key.
 
     Several keys may be part of a host: the least of their limits holds, instead of the general one.  limit
-    None: no general limit.  Hosts are salted by arrival first and capped twice, so that one host with a
-    third of all tasks is ranked in many tasks before its best few meet.
+    None: no general limit.  The rank is also compared with the largest limit, a constant, so that each task keeps
+    that many tasks of a host at most before the shuffle: a host with a third of all tasks does no harm.
     """
-    cap = special_limit(host, special or {}, limit)
-    tasks = tasks.withColumn("_cap", cap)
-    free, capped = tasks.where(F.col("_cap").isNull()), tasks.where(F.col("_cap").isNotNull())
-    salt = F.pmod(F.xxhash64("seq"), F.lit(32))
-    partly = capped.withColumn("_n", F.row_number().over(Window.partitionBy(host, salt).orderBy(*pop_order()))).where(F.col("_n") <= F.col("_cap"))
-    best = partly.withColumn("_n", F.row_number().over(Window.partitionBy(host).orderBy(*pop_order()))).where(F.col("_n") <= F.col("_cap"))
-    return best.drop("_n").unionByName(free.withColumn("_n", F.lit(0)).drop("_n")).drop("_cap")
+    special = special or {}
+    most = max([v for v in (limit, *special.values()) if v is not None], default=None)
+    if most is None:
+        return tasks
+    ranked = tasks.withColumn("_cap", special_limit(host, special, limit))
+    free = ranked.where(F.col("_cap").isNull()).drop("_cap") if limit is None else None
+    ranked = ranked.where(F.col("_cap").isNotNull()) if limit is None else ranked
+    ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(host).orderBy(*pop_order()))).where(F.col("_n") <= most)
+    best = ranked.where(F.col("_n") <= F.col("_cap")).drop("_n", "_cap")
+    return best if free is None else best.unionByName(free)
 
 
 def special_limit(host: str, special: dict[str, int], otherwise: int | None) -> Column:

@@ -182,7 +182,8 @@ def spawn(pages: DataFrame, spec: ItemSpec, divider: str | None = None, html: st
     """
     keep = [c for c in pages.columns if c != html] if keep is None else keep
     items = pages.select(*keep, taker(spec, divider)(F.col(html)).alias("_items"))
-    rows = items.select(*keep, F.posexplode("_items").alias("item_pos", "item"))
+    # outer, as the plain form has the optimizer parse pages twice, to leave out those without items before
+    rows = items.select(*keep, F.posexplode_outer("_items").alias("item_pos", "item")).where(F.col("item_pos").isNotNull())
     if meta:
         for k in spec.from_meta():
             rows = rows.withColumn("item", F.col("item").withField(k, F.coalesce(F.col(meta)[k].try_cast(spec.schema()[k].dataType), F.col("item")[k])))

@@ -38,7 +38,8 @@ def page_links(pages: DataFrame, rule: str = "a::attr(href)", limit: int = 0, ht
     found = F.filter(found, lambda x: F.length(x) > 0)
     rows = pages.select(*dict.fromkeys([*keep, url]), found.alias("_found"))
     rows = rows.withColumn("_found", F.slice("_found", 1, limit) if limit else F.col("_found"))
-    rows = rows.select(*dict.fromkeys([*keep, url]), F.posexplode("_found").alias("pos", "href"))
+    # outer, as the plain form has the optimizer look for links twice, to leave out pages without any before
+    rows = rows.select(*dict.fromkeys([*keep, url]), F.posexplode_outer("_found").alias("pos", "href")).where(F.col("pos").isNotNull())
     return rows.withColumn("dst", absolute_url(url, "href")).select(*keep, "pos", "href", "dst")
 
 
