@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     row.  Null text has no words; texts with none have fingerprint 0 and are linked like any other.  A null
     id counts as the largest, and a component with no other has a null component_id.  Rows that repeat the id
     and text of a keeper are keepers too.  Equal fingerprints are one before they are compared, so a group of
-    copies is a point.  The upper tree is fitted on about SAMPLE fingerprints (those with small hashes); it decides
+    copies is a point.  The upper tree is fitted on about SAMPLE fingerprints, a quarter of them at most (those with small hashes); it decides
     how work is divided, not what is found.
     """
     key, digest = row_keys(doc_id, text)
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = each.count()
     levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
     # chosen by hash: the same in every run, and no more rows from many tasks than from few
-    share = int(min(1.0, SAMPLE / max(1, n)) * 2**31)
+    share = int(min(0.25, SAMPLE / max(1, n)) * 2**31)
     sample = [r[0] for r in each.where(F.pmod(F.xxhash64("fp"), F.lit(2**31)) < share).select("fp").collect()] if levels else []
     tree = grow(np.sort(np.array(sample, np.int64)).view(np.uint64), levels, [])
     shards = each.select("fp").mapInArrow(_router(tree), "leaf int, points binary")
