@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import utf8
 
 #: Pieces that a task remembers, characters of text it encodes together, longest text it cuts at once.
-_CACHED, _TOGETHER, _LONGEST = 400_000, 2_000_000, 1_000_000
+_CACHED, _TOGETHER, _LONGEST = 400_000, 4_000_000, 1_000_000
 #: Letters and digits up to U+00FF, for the pattern in a form that the standard library knows.
 _LETTERS, _NUMBERS, _SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 
@@ -40,18 +40,117 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
 _GAP, _GONE = (1 << 20) - 1, (1 << 20) - 2
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """Rank of each pair of tokens that together are a token; a pair is one number."""
-    out = {}
-    for token, rank in ranks.items():
-        for i in range(1, len(token)):
-            left, right = ranks.get(token[:i]), ranks.get(token[i:])
-            if left is not None and right is not None:
-                out[left << 20 | right] = rank
-    return out
+class Pairs:
+    """Pairs of tokens that together are a token, and its rank: by the left token, and by the right one.
 
+    Each is a table in rows: of token t the other tokens (in order) and the ranks from start[t] to start[t + 1].
+    """
 
-def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -> list[bytes]:
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        found = []
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    found.append((left, right, rank))
+        left, right, rank = np.array(found, np.int64).reshape(-1, 3).T
+        most = max(ranks.values(), default=-1) + 1
+        self.with_right = self._rows(left, right, rank, most)
+        self.with_left = self._rows(right, left, rank, most)
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)])
+        self.first = np.full((257, 257), -1, np.int64)  # the gap is byte 256
+        of = {int(r): i for i, r in enumerate(self.bytes)}
+        for x, y, r in found:
+            if x in of and y in of:
+                self.first[of[x], of[y]] = r
+        # tokens in pairs that come before the token itself
+        self.early = {int(t) for t, r in [*zip(left, rank, strict=True), *zip(right, rank, strict=True)] if r < t}
+
+    @staticmethod
+    def _rows(one: np.ndarray, other: np.ndarray, rank: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((other, one))
+        return np.searchsorted(one[order], np.arange(most + 1)), other[order], rank[order]
+
+    @staticmethod
+    def look(rows: tuple[np.ndarray, np.ndarray, np.ndarray], token: int, others: np.ndarray) -> np.ndarray:
+        """Ranks of a token with each of the others, -1 where they are no token."""
+        a, b = rows[0][token], rows[0][token + 1]
+        if a == b:
+            return np.full(len(others), -1, np.int64)
+        keys = rows[1][a:b]
+        at = np.minimum(np.searchsorted(keys, others), b - a - 1)
+        return np.where(keys[at] == others, rows[2][a:b][at], -1)
+
+
+class _Line:
+    """Words one after the other, with gaps; linked neighbours; and the inverted index from a pair's rank to its places."""
+
+    def __init__(self, words: list[bytes], pairs: Pairs) -> None:
+        self.pairs = pairs
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        self.first = np.cumsum(size + 1) - size
+        self.last = self.first + size - 1
+        units = np.full(int(self.last[-1]) + 2, 256, np.int64)
+        inside = np.ones(len(units), bool)
+        inside[0] = inside[-1] = inside[self.first - 1] = False
+        units[inside] = np.frombuffer(b"".join(words), np.uint8)
+        self.token = np.append(pairs.bytes, _GAP)[units]
+        self.after, self.before = np.arange(1, len(units) + 1), np.arange(-1, len(units) - 1)
+        self.current = np.append(pairs.first[units[:-1], units[1:]], -1)  # rank of the pair that begins here
+        self.places: dict[int, list[np.ndarray]] = {}
+        self.heap: list[int] = []
+        at = np.flatnonzero(self.current >= 0)
+        self.note(self.current[at], at)
+
+    def note(self, ranks: np.ndarray, at: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, at = ranks[order], at[order]
+        cut = np.flatnonzero(np.diff(ranks, prepend=-1))
+        for rank, part in zip(ranks[cut].tolist(), np.split(at, cut[1:]), strict=True) if len(at) else ():
+            if rank in self.places:
+                self.places[rank].append(part)
+            else:
+                self.places[rank] = [part]
+                heapq.heappush(self.heap, rank)
+
+    def merge(self, rank: int, p: np.ndarray) -> None:
+        """Merge the pairs that begin at p, of which no two overlap, and look at the neighbours again."""
+        q = self.after[p]
+        n = self.after[q]
+        self.token[p], self.token[q] = rank, _GONE
+        self.current[q] = -1
+        self.after[p], self.before[n] = n, p
+        m = self.before[p]
+        self.current[p] = right = self.pairs.look(self.pairs.with_right, rank, self.token[n])
+        self.current[m] = left = self.pairs.look(self.pairs.with_left, rank, self.token[m])
+        keep, too = right >= 0, left >= 0
+        self.note(np.concatenate([right[keep], left[too]]), np.concatenate([p[keep], m[too]]))
+
+    def run(self) -> None:
+        while self.heap:
+            rank = heapq.heappop(self.heap)
+            p = np.unique(np.concatenate(self.places.pop(rank)))
+            p = p[self.current[p] == rank]
+            if not len(p):
+                continue
+            if rank in self.pairs.early:  # a new pair may come first: the first place of each word, then look again
+                word = np.searchsorted(self.first, p, "right")
+                lead = np.diff(word, prepend=-1) != 0
+                self.merge(rank, p[lead])
+                self.note(np.full((~lead).sum(), rank), p[~lead])
+                continue
+            # of overlapping pairs (one token three times or more) the first, the third and so on
+            nth = np.arange(len(p))
+            alone = np.append(True, self.after[p[:-1]] != p[1:])
+            self.merge(rank, p[(nth - np.maximum.accumulate(np.where(alone, nth, 0))) % 2 == 0])
+
+    def ids(self) -> tuple[bytes, list[int]]:
+        """All ids, and where each word's end."""
+        stay = self.token < _GONE
+        return self.token[stay].astype("<u4").tobytes(), (np.cumsum(stay)[self.last] * 4).tolist()
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> list[bytes]:
     """Ids of each word (unsigned 32-bit, little-endian), by merges over all words in rank order."""
     out = [b""] * len(words)
     rest = []
@@ -60,63 +159,12 @@ def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -
             out[k] = rank.to_bytes(4, "little")
         elif word:
             rest.append(k)
-    if not rest:
-        return out
-    # one line of tokens: a gap, the bytes of a word, a gap, the next word ...
-    size = np.fromiter((len(words[k]) for k in rest), np.int64, len(rest))
-    first = np.cumsum(size + 1) - size
-    line = np.full(int(first[-1] + size[-1]) + 1, _GAP, np.int64)
-    inside = np.ones(len(line), bool)
-    inside[0] = inside[-1] = inside[first - 1] = False
-    line[inside] = np.array([ranks[bytes([i])] for i in range(256)])[np.frombuffer(b"".join(words[k] for k in rest), np.uint8)]
-    token = line.tolist()
-    after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
-    # the inverted index: from the rank of a pair to where it stands
-    get = pairs.get
-    places: dict[int, list[int]] = {}
-    heap: list[int] = []
-    codes = line[:-1] << 20 | line[1:]
-    kinds, which = np.unique(codes, return_inverse=True)
-    found = np.array([get(c, -1) for c in kinds.tolist()], np.int64)[which]
-    at = np.flatnonzero(found >= 0)
-    at = at[np.argsort(found[at], kind="stable")]
-    cut = np.flatnonzero(np.diff(found[at], prepend=-1)).tolist()
-    for i, j in zip(cut, [*cut[1:], len(at)][: len(cut)], strict=True):
-        places[int(found[at[i]])] = at[i:j].tolist()
-    heap = sorted(places)
-    push, pop = heapq.heappush, heapq.heappop
-    while heap:
-        rank = pop(heap)
-        todo = places.pop(rank)
-        todo.sort()
-        for k, p in enumerate(todo):
-            q = after[p]
-            if get(token[p] << 20 | token[q]) != rank:
-                continue  # a neighbour has changed since
-            n, m = after[q], before[p]
-            token[p], token[q] = rank, _GONE
-            after[p], before[n] = n, p
-            lower = False
-            for key, left in ((token[m] << 20 | rank, m), (rank << 20 | token[n], p)):
-                new = get(key)
-                if new is not None:
-                    if new in places:
-                        places[new].append(left)
-                    else:
-                        places[new] = [left]
-                        push(heap, new)
-                    lower |= new < rank
-            if lower:  # a pair that comes first: what is left of this rank waits
-                if k + 1 < len(todo):
-                    places[rank] = todo[k + 1 :]
-                    push(heap, rank)
-                break
-    line = np.array(token, np.int64)
-    stay = line < _GONE
-    ids = line[stay].astype("<u4").tobytes()
-    ends = np.cumsum(stay)[first + size - 1] * 4
-    for k, i, j in zip(rest, [0, *ends.tolist()[:-1]], ends.tolist(), strict=True):
-        out[k] = ids[i:j]
+    if rest:
+        line = _Line([words[k] for k in rest], pairs)
+        line.run()
+        ids, ends = line.ids()
+        for k, i, j in zip(rest, [0, *ends[:-1]], ends, strict=True):
+            out[k] = ids[i:j]
     return out
 
 
@@ -125,7 +173,7 @@ class Encoder:
 
     def __init__(self, content: bytes, pattern: str):
         self.ranks = parse_ranks(content)
-        self.pairs = pair_ranks(self.ranks)
+        self.pairs = Pairs(self.ranks)
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -142,8 +190,8 @@ class Encoder:
         return self.narrow(text)
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.ids) + len(pieces) > _CACHED:
-            self.ids.clear()
+        if len(self.ids) + len(pieces) > _CACHED:  # pieces that come again and again are in any batch: these stay
+            self.ids = {p: self.ids[p] for p in pieces if p in self.ids}
         new = [p for p in pieces if p not in self.ids]
         self.ids.update(zip(new, replay([p.encode() for p in new], self.ranks, self.pairs), strict=True))
 
