@@ -8,7 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 
 def _col(c: Column | str) -> Column:
@@ -128,5 +128,3 @@ def hrefs(html: Column | str) -> Column:
     """All quoted href values of <a> tags, in order, found in the JVM."""
     return F.regexp_extract_all(_col(html), F.lit(HREF), F.lit(1))
 
-
-LINKS = ArrayType(StringType())
