@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import utf8
 
 #: Pieces that a task remembers, characters of text it encodes together, longest text it cuts at once.
-_CACHED, _TOGETHER, _LONGEST = 400_000, 4_000_000, 1_000_000
+_CACHED, _TOGETHER, _LONGEST = 150_000, 2_000_000, 1_000_000
 #: Letters and digits up to U+00FF, for the pattern in a form that the standard library knows.
 _LETTERS, _NUMBERS, _SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 
@@ -58,7 +58,7 @@ class Pairs:
         self.with_right = self._rows(left, right, rank, most)
         self.with_left = self._rows(right, left, rank, most)
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)])
-        self.first = np.full((257, 257), -1, np.int64)  # the gap is byte 256
+        self.first = np.full((257, 257), -1, np.int32)  # the gap is byte 256
         of = {int(r): i for i, r in enumerate(self.bytes)}
         for x, y, r in found:
             if x in of and y in of:
@@ -94,12 +94,13 @@ class _Line:
         inside = np.ones(len(units), bool)
         inside[0] = inside[-1] = inside[self.first - 1] = False
         units[inside] = np.frombuffer(b"".join(words), np.uint8)
-        self.token = np.append(pairs.bytes, _GAP)[units]
-        self.after, self.before = np.arange(1, len(units) + 1), np.arange(-1, len(units) - 1)
-        self.current = np.append(pairs.first[units[:-1], units[1:]], -1)  # rank of the pair that begins here
+        self.token = np.append(pairs.bytes, _GAP).astype(np.int32)[units]
+        self.after, self.before = np.arange(1, len(units) + 1, dtype=np.int32), np.arange(-1, len(units) - 1, dtype=np.int32)
+        self.current = np.append(pairs.first[units[:-1], units[1:]], np.int32(-1))  # rank of the pair that begins here
+        del units, inside
         self.places: dict[int, list[np.ndarray]] = {}
         self.heap: list[int] = []
-        at = np.flatnonzero(self.current >= 0)
+        at = np.flatnonzero(self.current >= 0).astype(np.int32)
         self.note(self.current[at], at)
 
     def note(self, ranks: np.ndarray, at: np.ndarray) -> None:
