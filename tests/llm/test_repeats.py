@@ -95,3 +95,20 @@ def test_long_runs_are_divided():
     least = np.zeros(5000, np.uint64)
     first, length = packets.runs(least, np.zeros(5000, int), np.ones(5000, bool))
     assert length.sum() == 5000 and length.max() <= packets.MAX_RUN and first.tolist() == [0, 2048, 4096]
+
+
+@pytest.mark.parametrize("period", [17, 23, 29, 35])
+def test_windows_over_a_later_place_of_a_repeated_minimiser(period):
+    """One text has a phrase several times, the other only the end of it and what follows."""
+    r = random.Random(period)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(60):
+        phrase, rest = letters(period), letters(60)
+        pair = [letters(30) + phrase * r.randrange(2, 5) + rest, letters(40) + (phrase * 2)[-r.randrange(16, 35) :] + rest[: r.randrange(34, 61)] + letters(30)]
+        rows += [(2 * i + j, t) for j, t in enumerate(r.sample(pair, 2))]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([7] * len(rows), pa.int32()), pa.array([t.encode() for _, t in rows], pa.binary())], ["doc", "digest", "body"])
+    sent = list(packets.mapper(suffix_dedup.cut, 1, 50)(iter([batch])))
+    packed = [r["packet"] for b in packets.reducer(suffix_dedup.covered, suffix_dedup.near, 50, 1)(iter(sent)) for r in b.to_pylist()]
+    spans = {r["doc"]: packets.union_of(r["spans"]) for r in packets.merge_part(pa.table({"packet": pa.array(packed, pa.binary())})).to_pylist()}
+    assert {d: int((b - a).sum()) for d, (a, b) in spans.items()} == {r[0]: r[2] for r in brute.op1(rows) if r[2]}
