@@ -53,6 +53,12 @@ def test_every_query_of_the_core_has_sql():
     assert not {n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"}
 
 
+def test_map_reaches_every_word(spark):
+    got = {r.doc_id: r.words for r in entry.queries()["proc_map_whole"](spark, SF).collect()}
+    want = {r.doc_id: r.text.replace("e", "E") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert got == want and any(len(t.split(" ")) > 20 for t in want.values())
+
+
 def test_works_without_the_optional_files(tmp_path):
     for name in ("webloom", "__spark_entry__.py"):
         copy = shutil.copytree if (ROOT / name).is_dir() else shutil.copy
