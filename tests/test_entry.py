@@ -59,6 +59,11 @@ def test_map_reaches_every_word(spark):
     assert got == want and any(len(t.split(" ")) > 20 for t in want.values())
 
 
+def test_crawl_records_the_links_it_follows(spark):
+    rows = entry.queries()["crawl_archive_links"](spark, SF).collect()
+    assert {(r.hop, r.status) for r in rows} == {(0, 200), (1, 404)} and len({r.url for r in rows}) == len(rows)
+
+
 def test_works_without_the_optional_files(tmp_path):
     for name in ("webloom", "__spark_entry__.py"):
         copy = shutil.copytree if (ROOT / name).is_dir() else shutil.copy

@@ -502,13 +502,25 @@ def crawl_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT " + CANONICAL + " AS url, 0 AS hop, 200 AS status, min(page_id) % 2 = 0 AS even FROM pages GROUP BY 1")
 def crawl_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl of the archive: seeds are all pages, links lead nowhere, and every visit is recorded."""
+    """A crawl of the archive: seeds are all pages, no link fits the pattern, and every visit is recorded."""
     pages = table(spark, sf_dir, "pages")
     start = crawl.seeds(spark, pages.select("url", F.col("page_id").alias("seq"), F.create_map(F.lit("even"), (F.col("page_id") % 2 == 0).cast("string")).alias("meta")))
     done = crawl.Crawl(pages, parsers=[links.Parser(in_pattern="example", follow_patterns=["nothing-like-it"])]).run(start).visited
     return done.select(urls.canonical_url("url").alias("url"), "hop", "status", F.col("meta")["even"].cast("boolean").alias("even"))
 
 
+@query(f"""WITH {LINKS}, seeds AS (SELECT {CANONICAL} AS url, min({ORIGIN}) AS origin, max(page_id) AS page_id FROM pages GROUP BY 1),
+found AS (SELECT DISTINCT {CANONICAL} AS url, origin FROM (SELECT l.origin || href AS url, l.origin FROM links l JOIN seeds USING (page_id)))
+SELECT url, 0 AS hop, 200 AS status, true AS ok, origin FROM seeds
+UNION ALL SELECT url, 1, 404, false, origin FROM found WHERE url NOT IN (SELECT url FROM seeds)""")
+def crawl_archive_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of the archive that follows every link: seeds are all pages, and what the archive doesn't have is a visit with 404."""
+    pages = table(spark, sf_dir, "pages")
+    start = crawl.seeds(spark, pages.select("url", F.col("page_id").alias("seq"), F.create_map(F.lit("origin"), urls.origin("url")).alias("meta")))
+    done = crawl.Crawl(pages, parsers=[links.Parser(in_pattern="example", follow_patterns=["^https?://"])]).run(start).visited
+    return done.select(urls.canonical_url("url").alias("url"), "hop", "status", "ok", F.col("meta")["origin"].alias("origin"))
+
+
 def _streamed(df: DataFrame, name: str, run_id: str, state: str | None = None) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/webloom-{name}-{run_id}"
