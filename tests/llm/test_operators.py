@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -90,6 +91,26 @@ def test_more_spans():
     assert [s for s in pii.spans("the token economy, an account of ibanez, ssn unknown, http://plain.example/") if not s[3]] == []
 
 
+def test_accounts_are_marked_to_their_end():
+    r = random.Random(4)
+    for size, country in ((22, "DE"), (27, "FR"), (31, "MT"), (20, "ZZ")):
+        for _ in range(300):
+            own = "".join(r.choice("0123456789") for _ in range(size - 4))
+            check = 98 - int(own + "".join(str(int(c, 36)) for c in country) + "00") % 97
+            number = f"{country}{check:02}{own}"
+            for form in (number, " ".join(number[i : i + 4] for i in range(0, size, 4))):
+                text = f"IBAN: {form}, as above"
+                assert [text[a:b] for a, b, k, _ in pii.spans(text) if k == "iban"] == [form]
+
+
+def test_long_addresses_are_marked_to_their_end():
+    text = "x ftp://joe:pw@host.example/" + "a" * 9000 + " y"
+    assert [(a, b) for a, b, k, _ in pii.spans(text) if k == "url"] == [(2, len(text) - 2)]
+    begin = time.process_time()
+    assert [s for s in pii.spans("http://" * 60000) if s[2] == "url"] == []
+    assert time.process_time() - begin < 10
+
+
 def test_personal_data(spark):
     rows = [(1, "mail joe.x@mail.example.com or +1 (743) 555-3824"), (None, None), (2, ""), (3, "4111 1111 1111 1111 at 10.0.0.1" + " 1" * 5000), (1, "mail joe.x@mail.example.com or +1 (743) 555-3824")]
     found = got(pii.find_personal_data(docs(spark, rows)), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")

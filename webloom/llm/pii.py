@@ -30,6 +30,9 @@ _URL_END = frozenset(" \t\n\x0b\x0c\r\"'<>|\\^`{}")
 _CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
 _ACCOUNT_CUES = ("iban", "ssn", "account")
 KINDS = ("email", "ip", "card", "phone", "url", "secret", "iban", "ssn")
+#: Fixed value: letters and digits in an account number, by country.
+_IBAN_SIZES = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+_IBAN_SIZE = {x[:2]: int(x[2:]) for x in _IBAN_SIZES.split()}
 _RANK = {k: i for i, k in enumerate(KINDS)}
 _SIGNS = ("@", "://", "+", *_DIGITS)
 
@@ -156,17 +159,21 @@ def secret(text: str, at: int) -> tuple[int, int] | None:
 
 
 def iban(text: str, at: int) -> tuple[int, int] | None:
-    """An account number with two letters, two digits and 11 to 30 more, whose remainder by 97 is 1."""
+    """An account number with two letters, two digits and 11 to 30 more, whose remainder by 97 is 1.
+
+    It is as long as its country has it; for other letters, the longest that no letter or digit follows.
+    """
     start = _after_cue(text, at)
-    kept, end, last = "", start, start
+    kept, end, last = "", start, None
     while end < len(text) and len(kept) < 34 and (text[end] in _ALNUM or text[end] == " " and end + 1 < len(text) and text[end + 1] in _ALNUM):
         if text[end] != " ":
-            kept, last = kept + text[end].upper(), end + 1
-            if 15 <= len(kept) and kept[:2].isalpha() and kept[2:4].isdigit():
-                if int("".join(str(int(c, 36)) for c in kept[4:] + kept[:4])) % 97 == 1:
-                    return start, last
+            kept += text[end].upper()
+            size = _IBAN_SIZE.get(kept[:2])
+            whole = len(kept) == size if size else len(kept) >= 15 and (end + 1 == len(text) or text[end + 1] not in _ALNUM)
+            if whole and kept[:2].isalpha() and kept[2:4].isdigit() and int("".join(str(int(c, 36)) for c in kept[4:] + kept[:4])) % 97 == 1:
+                last = end + 1
         end += 1
-    return None
+    return (start, last) if last else None
 
 
 def ssn(text: str, at: int) -> tuple[int, int] | None:
@@ -179,22 +186,27 @@ def ssn(text: str, at: int) -> tuple[int, int] | None:
     return (start, found[-1][1]) if a not in ("000", "666") and a < "900" and b != "00" and c != "0000" else None
 
 
-def url_with_user(text: str, at: int, size: int) -> tuple[int, int] | None:
-    """An address with a user name or password before its host."""
+def _address_end(text: str, at: int) -> int:
+    n = len(text)
+    while at < n and text[at] not in _URL_END:
+        at += 1
+    return at
+
+
+def url_with_user(text: str, at: int, size: int, end: int) -> tuple[int, int] | None:
+    """An address with a user name or password before its host; it goes on to `end`."""
     start = at - size
     while start > 0 and text[start - 1] in _ALNUM and at - start < 20:
         start -= 1
-    end = at
-    while end < len(text) and text[end] not in _URL_END and end - at < 4096:
-        end += 1
-    host = text[at:end].split("/", 1)[0]
-    return (start, end) if start < at - size and 0 < host.rfind("@") < len(host) - 1 else None
+    slash = text.find("/", at, end)
+    stop = end if slash < 0 else slash
+    return (start, end) if start < at - size and at < text.rfind("@", at, stop) < stop - 1 else None
 
 
 def spans(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, base) of what is found; base ones by the plain rules of email, ip, card and phone."""
     out: list[tuple[int, int, str, bool]] = []
-    mail = runs = plus = 0
+    mail = runs = plus = address = 0
     for end, kind, size in anchors(text):
         at = end - size
         if kind == "@":
@@ -211,7 +223,9 @@ def spans(text: str) -> list[tuple[int, int, str, bool]]:
                 if 9 <= found[2] <= 15:
                     out.append((found[0], found[1], "phone", True))
         elif kind == "://":
-            if found := url_with_user(text, end, size):
+            if end > address:  # signs in one address have one end
+                address = _address_end(text, end)
+            if found := url_with_user(text, end, size, address):
                 out.append((*found, "url", False))
         elif found := {"secret": secret, "iban": iban, "account": iban, "ssn": ssn}[kind](text, end):
             out.append((*found, "iban" if kind == "account" else kind, False))
