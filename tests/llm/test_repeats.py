@@ -3,10 +3,13 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import types as T
 
 from tests.llm import brute
 from webloom.llm import packets, substring_dedup, suffix_dedup
+from webloom.llm.common import row_keys
+from webloom.llm.line_dedup import remove_boilerplate
 from webloom.llm.substring_dedup import remove_repeated_windows
 from webloom.llm.suffix_dedup import remove_repeated_bytes, suffix_order
 
@@ -112,3 +115,18 @@ def test_windows_over_a_later_place_of_a_repeated_minimiser(period):
     packed = [r["packet"] for b in packets.reducer(suffix_dedup.covered, suffix_dedup.near, 50, 1)(iter(sent)) for r in b.to_pylist()]
     spans = {r["doc"]: packets.union_of(r["spans"]) for r in packets.merge_part(pa.table({"packet": pa.array(packed, pa.binary())})).to_pylist()}
     assert {d: int((b - a).sum()) for d, (a, b) in spans.items()} == {r[0]: r[2] for r in brute.op1(rows) if r[2]}
+
+
+def test_rows_without_ids_whose_hashes_agree_in_31_bits(spark):
+    passage, other = "".join(map(chr, range(65, 125))), "".join(map(chr, range(124, 64, -1)))
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & 0x7FFFFFFF
+    by_hash = {low(t): t for t in (f"{passage}\n{i}" for i in range(200_000))}
+    b = next(t for t in (f"{other}\n{i}" for i in range(200_000)) if low(t) in by_hash)
+    a = by_hash[low(b)]
+    rows = [(1, passage), (None, a), (None, b)]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    assert df.select(*row_keys()).distinct().count() == 3
+    assert run(spark, rows, remove_repeated_bytes, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == sorted(brute.op1(rows), key=repr)
+    sites = spark.createDataFrame([(d, t, s) for s, (d, t) in [(f"s{i}", (i, passage)) for i in range(12)] + [("s0", (None, a)), ("s0", (None, b))]], "doc_id long, text string, source string")
+    cleaned, _, gone = remove_boilerplate(sites)
+    assert sorted(r[gone] for r in cleaned.where("doc_id IS NULL").collect()) == [0, 1]

@@ -72,5 +72,5 @@ def utf8(text: str | Column) -> Column:
 
 
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
-    """(id, digest): rows that share both hold the same id and text, and so the same result."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), (F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF))).cast("int")
+    """(id, digest): rows that share both hold the same id and text, and so the same result. The digest has 64 bits, as all null ids are one."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))

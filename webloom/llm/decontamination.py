@@ -143,7 +143,7 @@ def _expanded(first: np.ndarray, times: np.ndarray) -> np.ndarray:
     return np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
 
-_FOUND = "doc long, digest int, n_words long, spans binary, items array<string>"
+_FOUND = "doc long, digest long, n_words long, spans binary, items array<string>"
 
 
 def _searcher(index: Index, prefixes: list, everyone: bool):
@@ -173,7 +173,7 @@ def _searcher(index: Index, prefixes: list, everyone: bool):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([keys[i][0] for i in rows], pa.int64()),
-                    pa.array([keys[i][1] for i in rows], pa.int32()),
+                    pa.array([keys[i][1] for i in rows], pa.int64()),
                     pa.array([int(counts[i]) for i in rows], pa.int64()),
                     pa.array([np.array(sorted(set(spans.get(i, ()))), "<i8").tobytes() for i in rows], pa.binary()),
                     pa.array([sorted(items.get(i, ())) for i in rows], pa.list_(pa.string())),
@@ -202,7 +202,7 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[4:]], [*names, "doc", "digest"])
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, doc long, digest int"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, doc long, digest long"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -237,7 +237,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         hits = hits.unionByName(more)
     hits = hits.groupBy("doc", "digest").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
     hits = spool(hits, "hits")
-    words = rows.select("doc", "digest", "body", "doc_id").mapInArrow(_word_counts, "doc long, digest int, doc_id long, n_words long")
+    words = rows.select("doc", "digest", "body", "doc_id").mapInArrow(_word_counts, "doc long, digest long, doc_id long, n_words long")
     return words.join(hits, ["doc", "digest"], "left").select("doc_id", "n_words", "spans", "items", "doc", "digest").mapInArrow(_result, RESULT)
 
 

@@ -200,7 +200,7 @@ def merge_part(table: pa.Table) -> pa.Table:
     new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
     first = np.flatnonzero(new)
     spans = [np.concatenate([start[a:b], end[a:b]]).astype("<i8").tobytes() for a, b in zip(first.tolist(), [*first.tolist()[1:], len(doc)], strict=True)]
-    return pa.table({"doc": pa.array(doc[first], pa.int64()), "digest": pa.array(digest[first], pa.int32()), "spans": pa.array(spans, pa.binary())})
+    return pa.table({"doc": pa.array(doc[first], pa.int64()), "digest": pa.array(digest[first], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
 
 Covered = Callable[..., tuple[np.ndarray, np.ndarray]]
@@ -347,7 +347,7 @@ def find_spans(docs: DataFrame, doc_id: str, text: str, cut, covered, near, widt
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, min(MOST_BUCKETS, -(-int(total * growth) // BUCKET_BYTES)))
     packets = slim.mapInArrow(mapper(cut, buckets, width), "bucket int, kind int, packet binary")
     parts = packets.groupBy("bucket").applyInArrow(reducer(covered, near, width, buckets), "part int, packet binary")
-    spans = spool(parts.groupBy("part").applyInArrow(merge_part, "doc long, digest int, spans binary"), "spans")
+    spans = spool(parts.groupBy("part").applyInArrow(merge_part, "doc long, digest long, spans binary"), "spans")
     del packets, parts
     release(spark)
     return spans

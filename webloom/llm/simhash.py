@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     key, digest = row_keys(doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"))
-    prints = spool(rows.mapInArrow(_fingerprint, "doc_id long, doc long, digest int, fp long"), "fingerprints")
+    prints = spool(rows.mapInArrow(_fingerprint, "doc_id long, doc long, digest long, fp long"), "fingerprints")
     each = spool(prints.groupBy("fp").agg(F.min(F.struct("doc", "digest")).alias("first")), "points")
     n = each.count()
     levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
