@@ -59,11 +59,15 @@ def contamination_tables():
     return rows + [(None, items[20][1]), (None, None), (5, items[21][1]), (99, ("w1 " * 3000))], items
 
 
-@pytest.mark.parametrize("index_bytes", [10**6, 200])
-def test_contamination(spark, index_bytes):
+@pytest.mark.parametrize("bits", [decontamination.MOST_BITS, 6])
+def test_contamination(spark, monkeypatch, bits):
+    """Also with a filter that lets all through."""
+    monkeypatch.setattr(decontamination, "MOST_BITS", bits)
+    monkeypatch.setattr(decontamination, "_BLOCK_WORDS", 300)
     rows, items = contamination_tables()
+    rows += [(2**63 - 1, rows[3][1]), (2**63 - 1, "q " + rows[3][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    df = decontamination.find_contamination(docs(spark, rows), bench, index_bytes=index_bytes)
+    df = decontamination.find_contamination(docs(spark, rows), bench)
     want = brute.op2(rows, [("" if i is None else i, t) for i, t in items])
     assert got(df, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=repr)
     assert any(w[2] for w in want)

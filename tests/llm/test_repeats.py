@@ -62,10 +62,27 @@ def test_repeated_windows(spark):
     assert got == sorted(brute.op3(rows), key=repr)
 
 
+def found_by_packets(module, rows, width, most):
+    """Bytes or words removed by document, by the steps without Spark; levels as find_spans takes them."""
+    digest = [bytes(15) + bytes([1])] * len(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(digest, pa.binary()), pa.array([(t or "").encode() for _, t in rows], pa.binary())], ["doc", "digest", "body"])
+    sent = list(packets.mapper(module.cut, 1, width)(iter([batch])))
+    levels, spans = 0, []
+    for cut_again in [*map(module.cutter, module.LONGER), None]:
+        out = [r for b in packets.reducer(module.covered, None if levels else getattr(module, "near", None), cut_again, width, 1, most)(iter(sent)) for r in b.to_pylist()]
+        spans += [r["packet"] for r in out if r["kind"] == packets._SPANS]
+        sent = [packets._row(**r) for r in out if r["kind"] == packets._STRINGS]
+        levels += 1
+        if not sent:
+            break
+    found = packets.merge_part(pa.table({"packet": pa.array(spans, pa.binary())})).to_pylist() if spans else []
+    return {r["doc"]: int(np.subtract(*packets.union_of(r["spans"])[::-1]).sum()) for r in found}, levels
+
+
 @pytest.mark.parametrize(("module", "width", "plain"), [(suffix_dedup, 50, brute.op1), (substring_dedup, 13, brute.op3)])
-@pytest.mark.parametrize("most", [10**9, 500])
+@pytest.mark.parametrize("most", [10**9, 3000, 500])
 def test_small_blocks_and_large_buckets(monkeypatch, module, width, plain, most):
-    """The steps without Spark: texts in small pieces, chunks of a few strings, one bucket divided on disk."""
+    """The steps without Spark: texts in small pieces, chunks of a few strings, one bucket that is cut again."""
     monkeypatch.setattr(module, "BLOCK_BYTES", 120)
     monkeypatch.setattr(packets, "CHUNK_BYTES", 900)
     monkeypatch.setattr(packets, "MOST_CHUNK_BYTES", 900)
@@ -73,19 +90,27 @@ def test_small_blocks_and_large_buckets(monkeypatch, module, width, plain, most)
     if module is substring_dedup:
         monkeypatch.setattr(module, "_PIECE", 29)
     rows = [(d, t) for i, (d, t) in enumerate(fixture_rows(7)) if d is not None and d not in [x for x, _ in fixture_rows(7)[:i]]]
-    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([7] * len(rows), pa.int32()), pa.array([(t or "").encode() for _, t in rows], pa.binary())], ["doc", "digest", "body"])
-    sent = list(packets.mapper(module.cut, 1, width)(iter([batch])))
-    parts = list(packets.reducer(module.covered, getattr(module, "near", None), width, 3, most)(iter(sent)))
-    found = {}
-    by_part = {}
-    for b in parts:
-        for r in b.to_pylist():
-            by_part.setdefault(r["part"], []).append(r["packet"])
-    for values in by_part.values():
-        for r in packets.merge_part(pa.table({"packet": pa.array(values, pa.binary())})).to_pylist():
-            a, b = packets.union_of(r["spans"])
-            found[r["doc"]] = int((b - a).sum())
+    found, levels = found_by_packets(module, rows, width, most)
     assert found == {r[0]: r[2] for r in plain(rows) if r[2]}
+    assert levels == (1 if most > 10**6 else 3)
+
+
+@pytest.mark.parametrize(("f", "plain", "columns"), [(remove_repeated_bytes, brute.op1, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]), (remove_repeated_windows, brute.op3, ["doc_id", "n_words", "n_removed", "kept_sha256"])])
+def test_a_frequent_minimiser_with_different_neighbours(spark, f, plain, columns):
+    """Half the rows have one phrase between words of their own, so their strings differ and meet in one bucket."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = [(i, " ".join([*(word() for _ in range(9)), *(["under the terms of this licence you may"] if i % 2 else []), *(word() for _ in range(9))])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 300, 29)]
+    assert run(spark, rows, lambda df: f(df, most=2000), columns) == sorted(plain(rows), key=repr)
+
+
+def test_null_ids_and_the_largest_id(spark):
+    text = "the same text of more than fifty bytes, and of more than thirteen words in all, stands here"
+    rows = [(2**63 - 1, text), (None, text), (None, text + " x"), (4, text), (2**63 - 1, "y " + text)]
+    assert run(spark, rows, remove_repeated_windows, ["doc_id", "n_words", "n_removed", "kept_sha256"]) == sorted(brute.op3(rows), key=repr)
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    assert df.select(*row_keys()).distinct().count() == 5
 
 
 def test_empty_tables(spark):
@@ -110,11 +135,7 @@ def test_windows_over_a_later_place_of_a_repeated_minimiser(period):
         phrase, rest = letters(period), letters(60)
         pair = [letters(30) + phrase * r.randrange(2, 5) + rest, letters(40) + (phrase * 2)[-r.randrange(16, 35) :] + rest[: r.randrange(34, 61)] + letters(30)]
         rows += [(2 * i + j, t) for j, t in enumerate(r.sample(pair, 2))]
-    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([7] * len(rows), pa.int32()), pa.array([t.encode() for _, t in rows], pa.binary())], ["doc", "digest", "body"])
-    sent = list(packets.mapper(suffix_dedup.cut, 1, 50)(iter([batch])))
-    packed = [r["packet"] for b in packets.reducer(suffix_dedup.covered, suffix_dedup.near, 50, 1)(iter(sent)) for r in b.to_pylist()]
-    spans = {r["doc"]: packets.union_of(r["spans"]) for r in packets.merge_part(pa.table({"packet": pa.array(packed, pa.binary())})).to_pylist()}
-    assert {d: int((b - a).sum()) for d, (a, b) in spans.items()} == {r[0]: r[2] for r in brute.op1(rows) if r[2]}
+    assert found_by_packets(suffix_dedup, rows, 50, None)[0] == {r[0]: r[2] for r in brute.op1(rows) if r[2]}
 
 
 def test_rows_without_ids_whose_hashes_agree_in_31_bits(spark):

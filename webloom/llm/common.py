@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A null document id stands for the largest id.
+#: A null document id counts as the largest id; digests keep it apart from a real one.
 NULL_ID = 2**63 - 1
 
 
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         if checkpoint.isDefined():
             return checkpoint.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="webloom-")
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
@@ -72,5 +74,10 @@ def utf8(text: str | Column) -> Column:
 
 
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
-    """(id, digest): rows that share both hold the same id and text, and so the same result. The digest has 64 bits, as all null ids are one."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    """(id, digest): rows that share both hold the same id and text, and so the same result.
+
+    The digest is 128 bits of the SHA-256 of the text and of whether the id is null; a null text is empty.
+    """
+    number = F.col(doc_id).cast("long")
+    marked = F.concat(F.when(number.isNull(), "-").otherwise("+"), F.coalesce(F.col(text), F.lit("")))
+    return F.coalesce(number, F.lit(NULL_ID)), F.substring(F.unhex(F.sha2(marked, 256)), 1, 16)

@@ -2,198 +2,204 @@
 
 An item's windows are sets of shingles ordered by rarity over all documents.  As
 a window must be contained whole, one prefix token is necessary: its rarest
-shingle.  Documents are searched for prefix tokens; where one stands, the window
-must fit into the document around it (length and position), and is then compared
-word by word.
+shingle.  Documents' shingles are joined with prefix tokens; where one meets, the
+window must fit into the document around it (length and position), and its words
+are then compared.  What documents send is thinned out by a Bloom filter of
+bounded size, so the plan is the same for a benchmark of any size.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import row_keys, spool, utf8
+from webloom.llm.packets import mix
 
 WINDOW = 10
 SHINGLE = 3
-#: Bytes of benchmark text that are searched for at once; a larger benchmark takes several passes.
-INDEX_BYTES = 4 << 20
-_BLOCK_BYTES = 2 << 20
+#: Bits of a filter for each token, and in all: between 8 KB and 32 MB. A fuller filter lets more through to the join.
+TOKEN_BITS, LEAST_BITS, MOST_BITS = 16, 16, 28
+_PAGE = 1 << 13
+_BLOCK_WORDS = 250_000
+_CACHED = 1_000_000
 #: Lower-cases A-Z; whatever else is ASCII but no digit or letter ends a word.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_BITS = 21
+_ODD = (np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_PROBES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 def words_of(body: bytes) -> list[bytes]:
     return body.translate(_FOLD).split()
 
 
-class _Known(dict):
+class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        return 0
-
-
-@dataclass
-class Index:
-    """Windows of items as arrays of word numbers, and where their shingles stand in them."""
-
-    known: _Known
-    windows: list[list[np.ndarray]]  # by words in the window: (windows, words)
-    items: list[list[list[str]]]
-    codes: list[np.ndarray]  # by words in a shingle, sorted
-
-    @classmethod
-    def of(cls, rows: list[tuple[str, bytes]]) -> Index:
-        known, found = _Known(), {}
-        for item, body in rows:
-            ids = [known.setdefault(w, len(known) + 1) for w in words_of(body)]
-            for i in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + WINDOW]), set()).add(item)
-        if len(known) >= 1 << _BITS:
-            raise ValueError("too many different words in one part of the benchmark")
-        sizes = [sorted(w for w in found if len(w) == n) for n in range(WINDOW + 1)]
-        windows = [np.array(w, np.int64).reshape(len(w), n) for n, w in enumerate(sizes)]
-        codes = [np.unique(np.concatenate([np.empty(0, np.int64), *(shingles(w, s).ravel() for n, w in enumerate(windows) if len(w) and min(n, SHINGLE) == s)])) for s in range(SHINGLE + 1)]
-        return cls(known, windows, [[sorted(found[x]) for x in w] for w in sizes], codes)
-
-    def slot(self, size: int) -> int:
-        """Where the codes of shingles of this size begin among all."""
-        return sum(len(c) for c in self.codes[:size])
-
-    def prefixes(self, counts: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each window size: (size, code of the rarest shingle, its offset, window), in code order."""
-        out = []
-        for n, w in enumerate(self.windows):
-            if not len(w):
-                continue
-            s = min(n, SHINGLE)
-            each = shingles(w, s)
-            often = counts[self.slot(s) + np.searchsorted(self.codes[s], each)]
-            offset = np.argmin(often, axis=1)  # the first of the rarest
-            code = each[np.arange(len(w)), offset]
-            order = np.argsort(code, kind="stable")
-            out.append((n, code[order], offset[order], order))
-        return out
-
-
-def shingles(ids: np.ndarray, size: int) -> np.ndarray:
-    """Codes of `size` neighbours along the last axis; exact, as word numbers have 21 bits."""
-    n = ids.shape[-1] - size + 1
-    code = np.zeros((*ids.shape[:-1], max(0, n)), np.int64)
+        if len(self) >= _CACHED:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def tokens(h: np.ndarray, size: int) -> np.ndarray:
+    """Tokens of `size` neighbouring words, from their hashes."""
+    n = max(0, len(h) - size + 1)
+    out = np.full(n, size, np.uint64)
     for k in range(size):
-        code = (code << _BITS) | ids[..., k : k + n]
-    return code
+        out = mix((out ^ h[k : k + n]) * _ODD[k])
+    return out
+
+
+def probes(token: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(token * p) >> np.uint64(64 - bits) for p in _PROBES]
+
+
+def passes(token: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the filter may hold each token."""
+    out = np.ones(len(token), bool)
+    for at in probes(token, bits):
+        out &= (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _bloom(rows: DataFrame) -> tuple[Broadcast, int]:
+    """A filter of the column token; its pages are put together by an aggregation, and it has at most 2 ** MOST_BITS bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(rows.count() * TOKEN_BITS).bit_length()))
+
+    def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            for at in probes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
+                np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        pages = table.reshape(-1, min(_PAGE, len(table)))
+        used = np.flatnonzero(pages.any(axis=1))
+        for a in range(0, len(used), 64):
+            some = used[a : a + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pages[i].tobytes() for i in some], pa.binary())], ["page", "bits"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
+        return pa.table({"page": table.column("page").slice(0, 1).cast(pa.int32()), "bits": pa.array([both.tobytes()], pa.binary())})
 
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    pages = rows.select("token").mapInArrow(paged, "page int, bits binary").groupBy("page").applyInArrow(joined, "page int, bits binary")
+    for page, found in pages.toLocalIterator():
+        table[page * _PAGE : page * _PAGE + len(found)] = np.frombuffer(bytes(found), np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(table), bits
 
-def _blocks(batches: Iterator[pa.RecordBatch], known: _Known) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
-    """((doc, digest) of each, words of each, word numbers of all)."""
-    keys, counts, ids, size = [], [], [], 0
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, body) to windows with all their tokens: (item, words, size, tokens)."""
+    hashes = _Hashes()
     for batch in batches:
-        for doc, digest, body in zip(*batch.columns[:3], strict=True):
+        rows = []
+        for item, body in zip(*batch.columns[:2], strict=True):
             words = words_of(body.as_py())
-            keys.append((doc.as_py(), digest.as_py()))
-            counts.append(len(words))
-            ids.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            size += len(words) * 8
-            if size >= _BLOCK_BYTES:
-                yield keys, np.array(counts, np.int64), np.concatenate(ids)
-                keys, counts, ids, size = [], [], [], 0
-    if keys:
-        yield keys, np.array(counts, np.int64), np.concatenate(ids)
-
-
-def _hits(ids: np.ndarray, owner: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, index into codes) of shingles inside one document that are among the codes."""
-    n = len(ids) - size + 1
-    if n <= 0 or not len(codes):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    full = owner[:n] == owner[size - 1 :]
-    for k in range(size):
-        full &= ids[k : k + n] > 0
-    at = np.flatnonzero(full)
-    code = np.zeros(len(at), np.int64)
-    for k in range(size):
-        code = (code << _BITS) | ids[at + k]
-    place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-    same = codes[place] == code
-    return at[same], place[same]
+            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            for a in range(max(1, len(words) - WINDOW + 1) if words else 0):
+                own = words[a : a + WINDOW]
+                rows.append((item.as_py(), b" ".join(own), len(own), tokens(h[a : a + WINDOW], min(SHINGLE, len(own))).view(np.int64).tolist()))
+                if len(rows) >= 4000:
+                    yield _window_batch(rows)
+                    rows = []
+        if rows:
+            yield _window_batch(rows)
+
 
+def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    kinds = (pa.string(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item", "words", "size", "tokens"])
 
-def _counter(index: Index):
+
+Texts = list[tuple[int, tuple, list[bytes]]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], body: int) -> Iterator[tuple[list[tuple], list[bytes], np.ndarray, np.ndarray]]:
+    """(other columns of each row, all words, words of each, hashes of all) of some rows at a time."""
+    hashes = _Hashes()
+    rows, words, counts = [], [], []
+    for batch in batches:
+        rest = [c for i, c in enumerate(batch.columns) if i != body]
+        for k, text in enumerate(batch.column(body)):
+            own = words_of(text.as_py())
+            rows.append(tuple(c[k].as_py() for c in rest))
+            words += own
+            counts.append(len(own))
+            if len(words) >= _BLOCK_WORDS:
+                yield rows, words, np.array(counts, np.int64), np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                rows, words, counts = [], [], []
+    if rows:
+        yield rows, words, np.array(counts, np.int64), np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def _candidates(h: np.ndarray, counts: np.ndarray, sizes: list[int], table: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, position, row, token) of shingles inside one row that the filter lets through."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for size in sizes:
+        found = tokens(h, size)
+        at = np.flatnonzero((owner[: len(found)] == owner[size - 1 :]) & passes(found, table, bits))
+        yield size, at, owner[at], found[at]
+
+
+def _counter(sizes: list[int], bloom: Broadcast, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(index.slot(SHINGLE + 1), np.int64)
-        for _, counts, ids in _blocks(batches, index.known):
-            owner = np.repeat(np.arange(len(counts)), counts)
-            for s in range(1, SHINGLE + 1):
-                np.add.at(total, index.slot(s) + _hits(ids, owner, index.codes[s], s)[1], 1)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["slot", "n"])
+        for _, _, counts, h in _blocks(batches, 0):
+            for _, _, _, found in _candidates(h, counts, sizes, bloom.value, bits):
+                token, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
 
     return run
 
 
-def _expanded(first: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... for each, `times` of them."""
-    return np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+_SENT = "row long, doc_id long, doc long, digest binary, n_words long, token long, at int, lead int, context binary"
 
 
-_FOUND = "doc long, digest long, n_words long, spans binary, items array<string>"
+def _sender(sizes: list[int], bloom: Broadcast, bits: int) -> Callable:
+    """A row for each document, and one for each shingle that may be a prefix token, with the words around it."""
+    names = [x.strip().split()[0] for x in _SENT.split(",")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-def _searcher(index: Index, prefixes: list, everyone: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, counts, ids in _blocks(batches, index.known):
-            owner = np.repeat(np.arange(len(counts)), counts)
+        number = TaskContext.get().partitionId() << 36
+        for rows, words, counts, h in _blocks(batches, 3):
+            yield batch_of([(number + i, *row, int(n), None, None, None, None) for i, (row, n) in enumerate(zip(rows, counts.tolist(), strict=True))])
             begin = np.cumsum(counts) - counts
-            spans: dict[int, list[tuple[int, int]]] = {}
-            items: dict[int, set[str]] = {}
-            for n, code, offset, window in prefixes:
-                tokens = np.unique(code)
-                at, which = _hits(ids, owner, tokens, min(n, SHINGLE))
-                low = np.searchsorted(code, tokens[which], "left")
-                times = np.searchsorted(code, tokens[which], "right") - low
-                one = _expanded(low, times)
-                at = np.repeat(at, times)
-                doc, start = owner[at], at - offset[one]
-                fits = (start >= begin[doc]) & (start + n <= begin[doc] + counts[doc])
-                doc, start, one = doc[fits], start[fits], window[one[fits]]
-                same = np.ones(len(one), bool)
-                for k in range(n):
-                    same[same] = ids[start[same] + k] == index.windows[n][one[same], k]
-                for d, a, w in zip(doc[same].tolist(), (start - begin[doc])[same].tolist(), one[same].tolist(), strict=True):
-                    spans.setdefault(d, []).append((a, a + n))
-                    items.setdefault(d, set()).update(index.items[n][w])
-            rows = range(len(keys)) if everyone else sorted(spans)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([keys[i][0] for i in rows], pa.int64()),
-                    pa.array([keys[i][1] for i in rows], pa.int64()),
-                    pa.array([int(counts[i]) for i in rows], pa.int64()),
-                    pa.array([np.array(sorted(set(spans.get(i, ()))), "<i8").tobytes() for i in rows], pa.binary()),
-                    pa.array([sorted(items.get(i, ())) for i in rows], pa.list_(pa.string())),
-                ],
-                ["doc", "digest", "n_words", "spans", "items"],
-            )
+            for size, at, row, token in _candidates(h, counts, sizes, bloom.value, bits):
+                low = np.maximum(begin[row], at - (WINDOW - size))
+                high = np.minimum((begin + counts)[row], at + WINDOW)
+                out = []
+                for a, k, t, lo, hi in zip(at.tolist(), row.tolist(), token.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True):
+                    out.append((number + k, None, None, None, None, t, a - int(begin[k]), a - lo, b" ".join(words[lo:hi])))
+                    if len(out) >= 10_000:
+                        yield batch_of(out)
+                        out = []
+                if out:
+                    yield batch_of(out)
+            number += len(rows)
 
     return run
 
 
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_words, list of spans, list of items) to the result."""
+    """(doc_id, n_words, spans, items, doc, digest) to the result."""
     for batch in batches:
         rows = []
         for doc, n_words, spans, items in zip(*batch.columns[:4], strict=True):
-            pairs = sorted(tuple(x) for s in spans.as_py() or () for x in np.frombuffer(s or b"", "<i8").reshape(-1, 2).tolist())
             hit, end = 0, 0
-            for a, b in pairs:
-                hit += max(0, b - max(a, end))
-                end = max(end, b)
+            for span in sorted((s["start"], s["start"] + s["size"]) for s in spans.as_py() or ()):
+                hit += max(0, span[1] - max(span[0], end))
+                end = max(end, span[1])
             found = sorted({i for s in items.as_py() or () for i in s or ()})
             rows.append((doc.as_py(), n_words.as_py(), hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0, found))
         columns = list(zip(*rows, strict=True)) or [()] * 7
@@ -202,46 +208,39 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[4:]], [*names, "doc", "digest"])
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, doc long, digest long"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, doc long, digest binary"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Which words of each document lie in an occurrence of an item's window of 10 words.
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted), doc and digest (the
     row's key), a row for each input row.  An item of under 10 words is one window; one with none has none.  Null text has
-    no words; a null item id is written as an empty string.  Repeated items count once.  What is sent
-    to each task is at most about index_bytes of items; a larger benchmark is searched for in parts, each in
-    a pass over the documents, and the parts' finds are merged by document.
+    no words; a null item id is written as an empty string.  Repeated items count once.  Tables may be empty.
     """
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), utf8(item_text).alias("body")).distinct()
-    items = spool(items, "items")
-    parts = max(1, -(-int(items.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // index_bytes))
+    windows = items.mapInArrow(_windows, "item string, words binary, size int, tokens array<long>")
+    windows = spool(windows.groupBy("words").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.collect_set("item").alias("items")), "windows")
+    sizes = sorted(min(SHINGLE, r[0]) for r in windows.select(F.least("size", F.lit(SHINGLE))).distinct().collect())
+    known = spool(windows.select(F.explode("tokens").alias("token")).distinct(), "tokens")
     key, digest = row_keys(doc_id, text)
-    rows = docs.select(key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"), F.col(doc_id).cast("long").alias("doc_id"))
-    found = []
-    for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == part)
-        index = Index.of([(r[0], bytes(r[1])) for r in mine.toLocalIterator()])
-        counts = np.zeros(index.slot(SHINGLE + 1), np.int64)
-        if len(counts):
-            counted = rows.select("doc", "digest", "body").mapInArrow(_counter(index), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-            for slot, n in counted.toLocalIterator():
-                counts[slot] = n
-        found.append(rows.select("doc", "digest", "body").mapInArrow(_searcher(index, index.prefixes(counts), parts == 1), _FOUND))
-    if parts == 1:
-        one = found[0].select(F.when(F.col("doc") == 2**63 - 1, None).otherwise(F.col("doc")).alias("doc_id"), "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"), "doc", "digest")
-        return one.mapInArrow(_result, RESULT)
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    hits = hits.groupBy("doc", "digest").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
-    hits = spool(hits, "hits")
-    words = rows.select("doc", "digest", "body", "doc_id").mapInArrow(_word_counts, "doc long, digest long, doc_id long, n_words long")
-    return words.join(hits, ["doc", "digest"], "left").select("doc_id", "n_words", "spans", "items", "doc", "digest").mapInArrow(_result, RESULT)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = pa.array([len(words_of(x.as_py())) for x in batch.column(2)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), n], ["doc", "digest", "doc_id", "n_words"])
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"))
+
+    # how often each token stands in all documents; windows with one that never does are in none
+    counted = rows.select("body").mapInArrow(_counter(sizes, *_bloom(known)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = spool(counted, "counts")
+    places = windows.select("words", F.posexplode("tokens").alias("offset", "token"))
+    rarest = places.join(counts, "token", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("least")).where(F.col("least.n") > 0)
+    prefixes = windows.join(rarest, "words").select(F.col("least.token").alias("token"), F.col("least.offset").alias("offset"), F.decode("words", "UTF-8").alias("words"), "size", "items")
+    prefixes = spool(prefixes, "prefixes")
+
+    sent = spool(rows.mapInArrow(_sender(sizes, *_bloom(prefixes.select("token").distinct())), _SENT), "shingles")
+    hits = sent.where(F.col("token").isNotNull()).select("row", "token", "at", "lead", F.split(F.decode("context", "UTF-8"), " ").alias("context"))
+    first = F.col("lead") - F.col("offset")
+    fits = (first >= 0) & (first + F.col("size") <= F.size("context"))
+    same = F.array_join(F.slice("context", F.greatest(first, F.lit(0)) + 1, F.col("size")), " ") == F.col("words")
+    # rows of a frequent token are many on the side of documents alone; the planner divides such partitions
+    found = hits.join(prefixes, "token").where(fits & same).select("row", F.struct((F.col("at") - F.col("offset")).alias("start"), "size").alias("span"), "items")
+    found = spool(found.groupBy("row").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items")), "found")
+    each = sent.where(F.col("token").isNull()).select("row", "doc_id", "n_words", "doc", "digest")
+    return each.join(found.hint("merge"), "row", "left").select("doc_id", "n_words", "spans", "items", "doc", "digest").mapInArrow(_result, RESULT)

@@ -4,19 +4,18 @@ Consecutive windows with the same minimiser (the least hash among the k-mers of
 a window) travel as one string.  Equal windows have equal minimisers, so they
 meet in the bucket that the minimiser names.  A task packs what it has for a
 bucket into one compressed row.  Of equal strings in a chunk only those of the
-smallest document travel: the others are known to repeat it.
+smallest document travel: the others are known to repeat it.  A bucket that is
+too large is cut again with a longer k-mer, up to the window itself, and dealt anew.
 """
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +27,8 @@ from webloom.llm.common import release, row_keys, spool, utf8
 CHUNK_BYTES, PACKET_BYTES, MOST_CHUNK_BYTES = 24 << 20, 8 << 10, 128 << 20
 #: Bytes of text that one round of array work takes.
 BLOCK_BYTES = 1 << 20
-#: Raw bytes of strings meant for one bucket, and most buckets; larger buckets are divided on local disks.
-BUCKET_BYTES, MOST_BUCKETS = 40 << 20, 1 << 14
+#: Raw bytes of strings meant for one bucket; one with over twice as many is cut again.
+BUCKET_BYTES = 40 << 20
 #: Longest run of windows in one string.
 MAX_RUN = 2048
 
@@ -71,22 +70,24 @@ def runs(least: np.ndarray, owner: np.ndarray, valid: np.ndarray) -> tuple[np.nd
 
 @dataclass
 class Chunk:
-    """Strings that one task has gathered: whose, from which window on, how many windows, minimiser."""
+    """Strings that one task has gathered: whose (id, digest in two halves), from which window on, how many windows, minimiser."""
 
     strings: list[bytes] = field(default_factory=list)
-    doc: list[np.ndarray] = field(default_factory=list)
-    digest: list[np.ndarray] = field(default_factory=list)
-    start: list[np.ndarray] = field(default_factory=list)
-    windows: list[np.ndarray] = field(default_factory=list)
-    least: list[np.ndarray] = field(default_factory=list)
+    columns: list[list[np.ndarray]] = field(default_factory=list)
     size: int = 0
 
-    def add(self, strings: list[bytes], doc: np.ndarray, digest: np.ndarray, start: np.ndarray, windows: np.ndarray, least: np.ndarray) -> None:
+    def add(self, strings: list[bytes], *columns: np.ndarray) -> None:
         self.strings += strings
-        for to, what in ((self.doc, doc), (self.digest, digest), (self.start, start), (self.windows, windows), (self.least, least)):
-            to.append(what)
+        self.columns.append(list(columns))
         self.size += sum(map(len, strings))
 
+    def arrays(self) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*self.columns, strict=True)]
+
+
+def halves(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
 
 def pack(arrays: list[np.ndarray], strings: list[bytes] | None = None) -> bytes:
     """Arrays (differences of neighbours compress better) and strings as one compressed value."""
@@ -113,30 +114,36 @@ def unpack(value: bytes, with_strings: bool) -> tuple[list[np.ndarray], list[byt
     return arrays, [raw[a:b] for a, b in zip([at, *ends.tolist()[:-1]], ends.tolist(), strict=True)] if n else []
 
 
-def merged(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Union of the half-open spans of each (document, digest), in order."""
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _others(*keys: np.ndarray) -> np.ndarray:
+    """Where a sorted sequence of keys begins a new one."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def merged(doc: np.ndarray, one: np.ndarray, two: np.ndarray, start: np.ndarray, end: np.ndarray) -> Spans:
+    """Union of the half-open spans of each row (document and digest), in order."""
     if not len(doc):
-        return doc, digest, start, end
-    order = np.lexsort((start, digest, doc))
-    doc, digest, start, end = doc[order], digest[order], start[order], end[order]
-    other = np.ones(len(doc), bool)
-    other[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
+        return doc, one, two, start, end
+    order = np.lexsort((start, two, one, doc))
+    doc, one, two, start, end = doc[order], one[order], two[order], start[order], end[order]
+    other = _others(doc, one, two)
     shift = np.cumsum(other) << 40  # documents one after the other on one line
     reach = np.maximum.accumulate(end + shift)
     new = other.copy()
     new[1:] |= (start + shift)[1:] > reach[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
-    return doc[first], digest[first], start[first], reach[last] - shift[last]
+    return doc[first], one[first], two[first], start[first], reach[last] - shift[last]
 
 
-def send(chunk: Chunk, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
-    """The packets of a chunk: a row for each bucket, and rows of spans already known to repeat."""
-    n = len(chunk.strings)
-    if not n:
-        return
-    doc, digest, start, windows, least = (np.concatenate(x) for x in (chunk.doc, chunk.digest, chunk.start, chunk.windows, chunk.least))
-    strings = chunk.strings
+def distinct(arrays: list[np.ndarray], strings: list[bytes], width: int) -> tuple[np.ndarray, Spans]:
+    """(rows that go on, spans of the others): of equal strings those of the smallest document, each place once."""
+    doc, one, two, start, windows = arrays[:5]
+    n = len(strings)
     first: dict[bytes, int] = {}
     same = np.fromiter(map(first.setdefault, strings, range(n)), np.int64, n)
     del first
@@ -144,37 +151,61 @@ def send(chunk: Chunk, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
     np.minimum.at(smallest, same, doc)
     repeats = doc > smallest[same]
     travel = ~repeats
-    again = np.flatnonzero(travel & (same != np.arange(n)))  # the smallest document itself has the string twice, or its row is there twice
-    if len(again):
+    if len(np.flatnonzero(travel & (same != np.arange(n)))):  # the smallest document has the string twice, or its row is there twice
         both = np.flatnonzero(travel)
-        order = both[np.lexsort((start[both], digest[both], same[both]))]
-        twin = np.zeros(len(order), bool)
-        twin[1:] = (same[order[1:]] == same[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
-        travel[order[twin]] = False
+        order = both[np.lexsort((start[both], two[both], one[both], same[both]))]
+        travel[order[~_others(same[order], one[order], two[order], start[order])]] = False
+    known = np.flatnonzero(repeats)
+    spans = (doc[known], one[known], two[known], start[known], start[known] + windows[known] + width - 1)
+    return np.flatnonzero(travel), merged(*spans)
+
+
+_NAMES = ["bucket", "kind", "packet"]
+_SCHEMA = "bucket int, kind int, packet binary"
+
+
+def _row(bucket: int, kind: int, packet: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([packet], pa.binary())], _NAMES)
+
+
+def send(chunk: Chunk, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The packets of a chunk: a row for each bucket, and rows of spans already known to repeat."""
+    if not chunk.strings:
+        return
+    arrays, strings = chunk.arrays(), chunk.strings
+    least = arrays[5]
+    at, known = distinct(arrays, strings, width)
     bucket = (least % np.uint64(buckets)).astype(np.int64)
-    rows: list[tuple[int, int, bytes]] = []
-    at = np.flatnonzero(travel)
     at = at[np.argsort(bucket[at], kind="stable")]
     cut = np.flatnonzero(np.diff(bucket[at], prepend=-1))
     for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(at)], strict=True):
-        one = at[a:b]
-        tag = (least[one] >> np.uint64(40)).astype(np.int64)
-        rows.append((int(bucket[one[0]]), _STRINGS, pack([doc[one], digest[one], start[one], windows[one], tag], [strings[i] for i in one.tolist()])))
-    known = np.flatnonzero(repeats)
-    if len(known):
-        rows.append((int(doc[known[0]] % buckets), _SPANS, pack(list(merged(doc[known], digest[known], start[known], start[known] + windows[known] + width - 1)))))
-    for row in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.binary())], ["bucket", "kind", "packet"])
+        mine = at[a:b]
+        tag = (least[mine] >> np.uint64(40)).astype(np.int64)
+        yield _row(int(bucket[mine[0]]), _STRINGS, pack([*(x[mine] for x in arrays[:5]), tag], [strings[i] for i in mine.tolist()]))
+    yield from dealt(known, buckets)
+
+
+def dealt(spans: Spans, parts: int) -> Iterator[pa.RecordBatch]:
+    """Spans as a packed row for each part that documents are dealt to."""
+    doc, one = spans[:2]
+    if not len(doc):
+        return
+    part = (mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + one.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(order)], strict=True):
+        x = order[a:b]
+        yield _row(int(part[x[0]]), _SPANS, pack([column[x] for column in spans]))
 
 
-def mapper(cut: Callable[[Iterable[tuple[int, int, bytes]], int], Iterator[Chunk]], buckets: int, width: int):
+def mapper(cut: Callable[[Iterable[tuple[int, int, int, bytes]], int], Iterator[Chunk]], buckets: int, width: int):
     """For mapInArrow over (doc, digest, body). cut: (documents, bytes of a chunk) to chunks of strings."""
     size = min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, buckets * PACKET_BYTES))
 
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
         for batch in batches:
             for doc, digest, body in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                yield doc.as_py(), digest.as_py(), body.as_py()
+                yield doc.as_py(), *halves(digest.as_py()), body.as_py()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in cut(documents(batches), size):
@@ -183,38 +214,27 @@ def mapper(cut: Callable[[Iterable[tuple[int, int, bytes]], int], Iterator[Chunk
     return run
 
 
-def gathered(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> pa.Table:
-    """Spans of documents as a packed row for each part that documents are dealt to."""
-    part = (mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + digest.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
-    slices = [order[a:b] for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(order)][: len(cut)], strict=True)]
-    return pa.table({"part": pa.array([int(part[x[0]]) for x in slices], pa.int32()), "packet": pa.array([pack([doc[x], digest[x], start[x], end[x]]) for x in slices], pa.binary())})
-
-
 def merge_part(table: pa.Table) -> pa.Table:
-    """For applyInArrow over the rows of a part: the merged spans of each document."""
+    """For applyInArrow over the spans of a part: the merged spans of each row."""
     got = [unpack(x.as_py(), False)[0] for x in table.column("packet")]
-    doc, digest, start, end = merged(*(np.concatenate(x) for x in zip(*got, strict=True)))
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
-    first = np.flatnonzero(new)
+    doc, one, two, start, end = merged(*(np.concatenate(x) for x in zip(*got, strict=True)))
+    first = np.flatnonzero(_others(doc, one, two))
     spans = [np.concatenate([start[a:b], end[a:b]]).astype("<i8").tobytes() for a, b in zip(first.tolist(), [*first.tolist()[1:], len(doc)], strict=True)]
-    return pa.table({"doc": pa.array(doc[first], pa.int64()), "digest": pa.array(digest[first], pa.int64()), "spans": pa.array(spans, pa.binary())})
+    digest = [x.tobytes() + y.tobytes() for x, y in zip(one[first].astype("<i8"), two[first].astype("<i8"), strict=True)]
+    return pa.table({"doc": pa.array(doc[first], pa.int64()), "digest": pa.array(digest, pa.binary()), "spans": pa.array(spans, pa.binary())})
 
 
 Covered = Callable[..., tuple[np.ndarray, np.ndarray]]
-Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def resolved(arrays: list[np.ndarray], strings: list[bytes], covered: Covered, near: Callable[..., np.ndarray] | None, width: int) -> list[Spans]:
-    """Spans (doc, digest, start, end) of what a smaller document has too, among strings that one bucket holds."""
-    doc, digest, start, windows, tag = arrays
+    """Spans of what a smaller document has too, among strings that one bucket holds."""
+    doc, one, two, start, windows, tag = arrays
     order = np.lexsort((doc, tag))
     first = np.flatnonzero(np.diff(tag[order], prepend=-1))
     several = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
     order = order[np.repeat(several, np.diff(np.append(first, len(order))))]
-    doc, digest, start, windows, tag = doc[order], digest[order], start[order], windows[order], tag[order]
+    doc, one, two, start, windows, tag = (x[order] for x in arrays)
     strings = [strings[i] for i in order.tolist()]
     n, seen = len(strings), {}
     same = np.fromiter(map(seen.setdefault, strings, range(n)), np.int64, n)
@@ -222,7 +242,7 @@ def resolved(arrays: list[np.ndarray], strings: list[bytes], covered: Covered, n
     smallest = doc.copy()
     np.minimum.at(smallest, same, doc)
     whole = np.flatnonzero(doc > smallest[same])
-    out = [(doc[whole], digest[whole], start[whole], start[whole] + windows[whole] + width - 1)]
+    out = [(doc[whole], one[whole], two[whole], start[whole], start[whole] + windows[whole] + width - 1)]
     only = np.flatnonzero(same == np.arange(n))
     if len(only):  # a string that is alone with its minimiser has been dealt with
         first = np.flatnonzero(np.diff(tag[only], prepend=-1))
@@ -231,96 +251,67 @@ def resolved(arrays: list[np.ndarray], strings: list[bytes], covered: Covered, n
     rest = np.flatnonzero(doc == smallest[same])
     rest = rest[np.argsort(same[rest], kind="stable")]
     for part in tag_groups(tag[only], np.fromiter((len(strings[i]) for i in only.tolist()), np.int64, len(only))):
-        one = only[part]
+        mine = only[part]
         if near:
-            one = one[near([strings[i] for i in one.tolist()], smallest[one])]
-        if not len(one):
+            mine = mine[near([strings[i] for i in mine.tolist()], smallest[mine])]
+        if not len(mine):
             continue
-        which, window = covered([strings[i] for i in one.tolist()], smallest[one], windows[one])
+        which, window = covered([strings[i] for i in mine.tolist()], smallest[mine], windows[mine])
         if not len(which):
             continue
         # every row of the smallest document that has the string gets its spans
-        a = np.searchsorted(same[rest], one[which], "left")
-        times = np.searchsorted(same[rest], one[which], "right") - a
+        a = np.searchsorted(same[rest], mine[which], "left")
+        times = np.searchsorted(same[rest], mine[which], "right") - a
         row = rest[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
         begin = start[row] + np.repeat(window, times)
-        out.append((doc[row], digest[row], begin, begin + width))
+        out.append((doc[row], one[row], two[row], begin, begin + width))
     return out
 
 
-#: Bits of a tag that one level of local division goes by, and its levels.
-_DIVIDE, _LEVELS = 6, 4
-
-
-def settled(packets: Iterator[bytes], resolve: Callable[[list[np.ndarray], list[bytes]], list[Spans]], most: int, level: int = 0) -> Iterator[list[Spans]]:
-    """Resolve packets together if they fit into `most` bytes, else divide them by tags into local files and go on with each.
-
-    The files are in the task's own temporary folder and go when it ends; a lost task starts anew.
-    """
-    held: list[list[np.ndarray]] = []
-    strings: list[bytes] = []
-    size = 0
-    for packet in packets:
-        arrays, found = unpack(packet, True)
-        held.append(arrays)
-        strings += found
-        size += sum(map(len, found))
-        if size > most and level < _LEVELS:
-            break
-    else:
-        if strings:
-            yield resolve([np.concatenate(x) for x in zip(*held, strict=True)], strings)
-        return
-    with tempfile.TemporaryDirectory() as folder, contextlib.ExitStack() as files:
-        slots: dict[int, BinaryIO] = {}
-
-        def put(arrays: list[np.ndarray], strings: list[bytes]) -> None:
-            slot = (arrays[4] >> (_DIVIDE * level)) & ((1 << _DIVIDE) - 1)
-            for k in np.unique(slot).tolist():
-                at = np.flatnonzero(slot == k)
-                value = pack([x[at] for x in arrays], [strings[i] for i in at.tolist()])
-                if k not in slots:
-                    slots[k] = files.enter_context(open(f"{folder}/{k}", "wb"))
-                slots[k].write(len(value).to_bytes(8, "little") + value)
-
-        put([np.concatenate(x) for x in zip(*held, strict=True)], strings)
-        held, strings = [], []
-        for packet in packets:
-            put(*unpack(packet, True))
-        files.close()
-        for k in slots:
-            with open(f"{folder}/{k}", "rb") as file:
-                yield from settled((file.read(int.from_bytes(n, "little")) for n in iter(lambda f=file: f.read(8), b"")), resolve, most, level + 1)
-
-
-def reducer(covered: Covered, near: Callable[..., np.ndarray] | None, width: int, parts: int, most: int | None = None):
-    """For applyInArrow over the packets of a bucket, as a stream.
+def reducer(covered: Covered, near: Callable[..., np.ndarray] | None, cut_again: Callable[[list[np.ndarray], list[bytes], Chunk], None] | None, width: int, buckets: int, most: int | None = None):
+    """For applyInArrow over the packets of a bucket, as a stream; gives packed spans, and strings to deal anew.
 
     covered: (strings, document, windows of each) to (string, window) arrays of those whose
     content also starts in a smaller document; strings are distinct and share minimisers.
     near: (strings, documents) to those that can share a window with another document's; None: all.
-    most: bytes of strings that are held at once.
+    cut_again: adds the strings, cut by a longer k-mer, to a chunk; None where nothing is left to cut.
+    most: bytes of strings that are held at once.  Equal strings are combined before they count.
     """
     limit = 2 * BUCKET_BYTES if most is None else most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list[Spans] = []
-
-        def packets() -> Iterator[bytes]:
-            for batch in batches:
-                for kind, packet in zip(batch.column("kind"), batch.column("packet"), strict=True):
-                    if kind.as_py() == _STRINGS:
-                        yield packet.as_py()
-                    else:
-                        known.append(tuple(unpack(packet.as_py(), False)[0]))
-
-        def batch_of(found: list[Spans]) -> Iterator[pa.RecordBatch]:
-            if found:
-                yield from gathered(*merged(*(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))), parts).to_batches()
-
-        for found in settled(packets(), lambda arrays, strings: resolved(arrays, strings, covered, near, width), limit):
-            yield from batch_of(found)
-        yield from batch_of(known)
+        arrays, strings, size, bound, cutting, chunk = [], [], 0, limit, False, Chunk()
+        for batch in batches:
+            sent = pc.equal(batch.column("kind"), _SPANS)
+            yield batch.select(_NAMES).filter(sent)
+            for packet in batch.column("packet").filter(pc.invert(sent)):
+                more, found = unpack(packet.as_py(), True)
+                if not cutting:
+                    arrays.append(more)
+                    strings += found
+                    size += sum(map(len, found))
+                    if size <= bound:
+                        continue
+                    held = [np.concatenate(x) for x in zip(*arrays, strict=True)]
+                    at, known = distinct(held, strings, width)
+                    yield from dealt(known, buckets)
+                    more, found = [x[at] for x in held], [strings[i] for i in at.tolist()]
+                    size = sum(map(len, found))
+                    cutting = cut_again is not None and size > limit // 2
+                    if not cutting:
+                        arrays, strings, bound = [more], found, max(limit, 2 * size)
+                        continue
+                    arrays, strings = [], []
+                for a in range(0, len(found), 1 << 14):  # a few at a time, as what is cut again is longer
+                    cut_again([x[a : a + (1 << 14)] for x in more], found[a : a + (1 << 14)], chunk)
+                    if chunk.size >= CHUNK_BYTES:
+                        yield from send(chunk, buckets, width)
+                        chunk = Chunk()
+        if cutting:
+            yield from send(chunk, buckets, width)
+        elif strings:
+            for spans in resolved([np.concatenate(x) for x in zip(*arrays, strict=True)], strings, covered, near, width):
+                yield from dealt(merged(*(x.astype(np.int64) for x in spans)), buckets)
 
     return run
 
@@ -338,19 +329,27 @@ def tag_groups(tag: np.ndarray, size: np.ndarray, most: int = BLOCK_BYTES) -> It
         a = b
 
 
-def find_spans(docs: DataFrame, doc_id: str, text: str, cut, covered, near, width: int, growth: float) -> DataFrame:
-    """(doc, digest, spans) of rows with repeated windows. growth: bytes of strings for each byte of text."""
+def find_spans(docs: DataFrame, doc_id: str, text: str, cut, again: list, covered, near, width: int, growth: float, most: int | None = None) -> DataFrame:
+    """(doc, digest, spans) of rows with repeated windows. growth: bytes of strings for each byte of text.
+
+    again: for each further level, what cuts the strings of a bucket that is too large.
+    """
     spark = docs.sparkSession
     key, digest = row_keys(doc_id, text)
     slim = docs.select(key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, min(MOST_BUCKETS, -(-int(total * growth) // BUCKET_BYTES)))
-    packets = slim.mapInArrow(mapper(cut, buckets, width), "bucket int, kind int, packet binary")
-    parts = packets.groupBy("bucket").applyInArrow(reducer(covered, near, width, buckets), "part int, packet binary")
-    spans = spool(parts.groupBy("part").applyInArrow(merge_part, "doc long, digest long, spans binary"), "spans")
-    del packets, parts
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-int(total * growth) // BUCKET_BYTES))
+    packets, spans = slim.mapInArrow(mapper(cut, buckets, width), _SCHEMA), None
+    for level, cut_again in enumerate([*again, None]):
+        out = spool(packets.groupBy("bucket").applyInArrow(reducer(covered, None if level else near, cut_again, width, buckets, most), _SCHEMA), "packets")
+        known, packets = (out.where(F.col("kind") == kind) for kind in (_SPANS, _STRINGS))
+        spans = known if spans is None else spans.unionByName(known)
+        if packets.isEmpty():
+            break
+    merged_spans = spool(spans.groupBy("bucket").applyInArrow(merge_part, "doc long, digest binary, spans binary"), "spans")
+    del packets, spans, out, known
     release(spark)
-    return spans
+    return merged_spans
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:

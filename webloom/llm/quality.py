@@ -77,7 +77,7 @@ def counts(body: bytes) -> tuple[int, int, int, int, int, int, int, int]:
     return n, chars, less(_SYMBOLS), len(lines) - len(set(lines)), repeated_words(ids, max(1, len(number))), len(number), less(_CAPITALS), less(_PUNCTUATION)
 
 
-_STATS = "doc_id long, doc long, digest long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{f} double" for f in FEATURES)
+_STATS = "doc_id long, doc long, digest binary, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -245,8 +245,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     key, digest = row_keys(doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"))
-    prints = spool(rows.mapInArrow(_fingerprint, "doc_id long, doc long, digest long, fp long"), "fingerprints")
-    each = spool(prints.groupBy("fp").agg(F.min(F.struct("doc", "digest")).alias("first")), "points")
+    prints = spool(rows.mapInArrow(_fingerprint, "doc_id long, doc long, digest binary, fp long"), "fingerprints")
+    each = spool(prints.groupBy("fp").agg(F.min(F.struct("doc", "digest")).alias("first"), F.min("doc_id").alias("id")), "points")
     n = each.count()
     levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
     # chosen by hash: the same in every run, and no more rows from many tasks than from few
@@ -255,11 +255,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tree = grow(np.sort(np.array(sample, np.int64)).view(np.uint64), levels, [])
     shards = each.select("fp").mapInArrow(_router(tree), "leaf int, points binary")
     found = components(shards.groupBy("leaf").applyInArrow(_linked, "u long, v long"))
-    member = each.join(found, F.col("fp") == F.col("u"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    member = each.join(found, F.col("fp") == F.col("u"), "left").select("fp", "first", "id", F.coalesce("root", "fp").alias("root"))
     member = spool(member, "members")
-    least = spool(member.groupBy("root").agg(F.min("first").alias("least")), "least")
-    named = spool(member.join(least, "root").select("fp", "least"), "named")
+    least = spool(member.groupBy("root").agg(F.min("first").alias("least"), F.min("id").alias("id")), "least")
+    named = spool(member.join(least, "root").select("fp", least["least"], least["id"]), "named")
     result = prints.join(named, "fp")
-    component = F.when(F.col("least.doc") < 2**63 - 1, F.col("least.doc"))
     keeper = (F.col("doc") == F.col("least.doc")) & (F.col("digest") == F.col("least.digest"))
-    return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"), keeper.alias("keeper"), "doc", "digest")
+    return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("id").alias("component_id"), keeper.alias("keeper"), "doc", "digest")
