@@ -1,5 +1,8 @@
 import base64
+import functools
 import hashlib
+import io
+import itertools
 import random
 import time
 import zlib
@@ -223,43 +226,94 @@ def test_components_of_a_chain(spark):
     assert sorted(map(tuple, simhash.components(edges).collect())) == [(i, 0) for i in range(1, 41)] + [(100, 50), (101, 50)]
 
 
+def all_connected(points):
+    """Components of points by comparing all pairs, as the least point of each."""
+    label = np.arange(len(points))
+    close = simhash.distance(points[:, None], points[None, :]) <= simhash.BITS
+    while True:
+        new = np.where(close, label[None, :], len(points)).min(axis=1)
+        if (new == label).all():
+            return points[label]
+        label = new
+
+
+def connected(points, pairs):
+    root = {int(x): int(x) for x in points}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(int(a)), find(int(b))))
+        root[b] = a
+    return np.array([find(int(x)) for x in points], np.uint64)
+
+
+def ball(center, radius):
+    return np.unique(np.array([center ^ sum(1 << b for b in bits) for k in range(radius + 1) for bits in itertools.combinations(range(0, 64, 3), k)], np.uint64))
+
+
+@pytest.mark.parametrize("points", [ball(2**40 + 5, 3), np.concatenate([ball(7, 1), ball(7 ^ 0b11111 << 30, 1), ball(2**60, 2)]), np.random.default_rng(2).integers(0, 2**63, 1500).astype(np.uint64)])
+def test_points_that_nothing_divides(points):
+    points = np.unique(points)
+    for f in (simhash._spread, simhash.links):
+        pairs = [(a, b) for x in f(points) for a, b in zip(*x, strict=True)]
+        assert (connected(points, pairs) == all_connected(points)).all()
+
+
+def test_large_shards_are_divided_again(spark):
+    r = np.random.default_rng(4)
+    points = r.integers(0, 2**63, 3000).astype(np.uint64)
+    points = np.unique(np.concatenate([points, points[:900] ^ (np.uint64(1) << r.integers(0, 63, 900).astype(np.uint64))]))
+    shards = spark.createDataFrame([(1, points[:2000].tobytes()), (1, points[2000:].tobytes())], "leaf long, points binary")
+    pairs = [(np.int64(x.u).view(np.uint64), np.int64(x.v).view(np.uint64)) for x in simhash._all_links(shards, 700).collect()]
+    assert (connected(points, pairs) == connected(points, [(a, b) for x in simhash.links(points) for a, b in zip(*x, strict=True)])).all()
+
+
 # 7
 
 
-@pytest.fixture(scope="module")
-def reference_encoder():
-    import tiktoken
+#: Patterns of public tokenizers: the one of the rank file, one whose classes hold \\p{L}, and a plain one.
+PATTERNS = [bpe.KNOWN_PATTERN, r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+", r"\s*(\S+)|\s+"]
+
 
-    content, pattern = tokenizer()
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.parse_ranks(content), special_tokens={})
+@functools.cache
+def merges():
+    ranks = bpe.parse_ranks(tokenizer()[0])
+    return ranks, bpe.Pairs(ranks)
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.one_of(st.text(max_size=80), st.text(alphabet=" \t\n\x0b\x1c\x85\xa0ab'sllé12²½.,!?", max_size=80)))
-def test_bpe_agrees(reference_encoder, text):
-    encoder = _encoder()
-    pieces = encoder.cut(text)
-    encoder.learn(set(pieces))
-    ids = b"".join(encoder.ids[p] for p in pieces)
-    assert list(memoryview(ids).cast("I")) == reference_encoder.encode_ordinary(text)
-    assert encoder.decode(ids) == text.encode()
+def test_the_known_pattern_is_that_of_the_rank_file():
+    assert tokenizer()[1] == bpe.KNOWN_PATTERN
 
 
-_one = []
+@pytest.mark.parametrize("pattern", PATTERNS)
+@settings(max_examples=200, deadline=None)
+@given(text=st.one_of(st.text(max_size=80), st.text(alphabet=" \t\n\x0b\x1c\x85\xa0ab'sSllé12²½.,!?", max_size=80)))
+def test_bpe_agrees(pattern, text):
+    import tiktoken
 
+    ranks, pairs = merges()
+    pieces = [p for part in bpe.Cutter(pattern).parts(text) for p in part]
+    ids = b"".join(bpe.replay([p.encode() for p in pieces], ranks, pairs))
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert list(memoryview(ids).cast("I")) == own.encode_ordinary(text)
 
-def _encoder():
-    if not _one:
-        _one.append(bpe.Encoder(*tokenizer()))
-    return _one[0]
 
+@pytest.mark.parametrize("pattern", PATTERNS)
+@pytest.mark.parametrize("block", [16_000_000, 700])
+def test_bpe_of_tables(spark, monkeypatch, pattern, block):
+    import tiktoken
 
-def test_bpe_of_tables(spark, reference_encoder, monkeypatch):
-    rows = text_rows()
-    df = bpe.encode(docs(spark, rows), *tokenizer())
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges()[0], special_tokens={})
+    rows = text_rows() + [(7790, "the of " * 9000), (7791, "日本語 naïve 'll")]
+    df = bpe.encode(docs(spark, rows), tokenizer()[0], pattern)
     want = []
     for d, t in rows:
-        ids = reference_encoder.encode_ordinary(t or "")
+        ids = own.encode_ordinary(t or "")
         want.append((d, len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha((t or "").encode())))
     assert got(df, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
     assert bpe.encode(docs(spark, []), *tokenizer()).collect() == []
@@ -270,7 +324,8 @@ def test_sections_keep_pieces(monkeypatch):
     text = "ab  cd 'll x  " * 30 + "y" * 200 + " z"
     parts = list(bpe.sections(text))
     assert "".join(parts) == text and len(parts) > 3
-    assert [p for x in parts for p in _encoder().cut(x)] == _encoder().cut(text)
+    cutter = bpe.Cutter(bpe.KNOWN_PATTERN)
+    assert [p for x in parts for p in cutter.cut(x)] == cutter.cut(text)
 
 
 def test_merges_in_any_order_of_ranks():
@@ -283,6 +338,7 @@ def test_merges_in_any_order_of_ranks():
     r = random.Random(3)
     words = ["".join(r.choice("abc") for _ in range(r.randrange(1, 15))) for _ in range(300)]
     assert [list(memoryview(x).cast("I")) for x in bpe.replay([w.encode() for w in words], ranks, pairs)] == [own.encode_ordinary(w) for w in words]
+    assert bpe.replayed([w.encode() for w in words], ranks, pairs) == bpe.replay([w.encode() for w in words], ranks, pairs)
     for w in words:
         assert list(memoryview(bpe.replay([w.encode()], ranks, pairs)[0]).cast("I")) == own.encode_ordinary(w)
 
@@ -310,12 +366,44 @@ def test_shards(spark):
     assert sharding.assign_shards(docs(spark, [])).collect() == []
 
 
+def feistel(spark, n, seed):
+    """The permutation by plain loops; only the hash of a half is Spark's."""
+    side = sharding._side(n)
+    hashes = [[r[0] for r in spark.range(side).select(F.xxhash64("id", F.lit(seed * sharding.ROUNDS + k))).collect()] for k in range(sharding.ROUNDS)]
+    out = []
+    for i in range(n):
+        left, right = divmod(i, side)
+        while True:
+            for k in range(sharding.ROUNDS):
+                left, right = right, (left + hashes[k][right] % side) % side
+            if left * side + right < n:
+                break
+        out.append(left * side + right)
+    return out
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 1023, 5000])
 def test_permutation(spark, n):
     out = sharding.permute(spark.range(n), "id", n, 3, "to").collect()
+    assert [r.to for r in sorted(out)] == feistel(spark, n, 3)
     assert sorted(r.to for r in out) == list(range(n))
 
 
+def test_shard_and_slot_are_those_of_the_permuted_number(spark):
+    rows = [(i, "x" * (i % 5)) for i in range(90)]
+    found = {(r.shard, r.slot): r.doc_id for r in sharding.assign_shards(docs(spark, rows), 7).collect()}
+    order = spark.createDataFrame([(i, len("x" * (i % 5)) + 16, zlib.crc32(b"x" * (i % 5))) for i, _ in rows], "doc_id long, size long, text_crc32 long")
+    keys = ["doc_id", "size", "text_crc32"]
+    by_hash = [r.doc_id for r in order.orderBy(F.xxhash64(*keys, F.lit(7)), *keys).collect()]
+    assert [found[p % 7, p // 7] for p in feistel(spark, 90, 7)] == by_hash
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 10)
+    found = sharding.assign_shards(docs(spark, [(1, "same")] * 205 + [(i, "x") for i in range(40)]), 6).collect()
+    assert len(found) == 245 and sorted(r.shard + 6 * r.slot for r in found) == list(range(245))
+
+
 # 9
 
 
@@ -330,25 +418,67 @@ def test_archives(spark):
         ids = [q for q, _, g in rows if (g or "").encode() == body and q is not None]
         revisit = bool(ids) and p != max(ids)
         want.append((p, u or "", len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", max(ids) if revisit else None, None if revisit else body))
-    found = [(*r[:6], None if r[6] is None else bytes(r[6])) for r in df.collect()]
+    found = [(*r[:6], None if r.payload is None else bytes(r.payload)) for r in df.collect()]
     assert sorted(found, key=repr) == sorted(want, key=repr)
     assert warc.read_archives(warc.write_archives(pages.limit(0))).collect() == []
     one = warc.read_archives(warc.write_archives(pages, least=20)).collect()
     assert {r.record_type for r in one if r.payload_bytes < 20} == {"response"}
 
 
-def test_damage_is_found(tmp_path):
+def records(data, step=7, keep=True):
+    return list(warc.read_records(io.BytesIO(data), keep, step))
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 16])
+def test_damage_is_found(step):
     good = warc.record(1, "http://a/", b"payload", None, False)
-    path = tmp_path / "a.warc.gz"
-    path.write_bytes(warc.member(good) + warc.member(good))
-    with open(path, "rb") as f:
-        assert [warc.parse(x)["page_id"] for x in warc.members(f, 7)] == [1, 1]
-    for bad in (good.replace(b"payload", b"Payload"), good[:-4], good.replace(b"Content-Length: ", b"Content-Length: 1", 1), b"junk\r\n\r\n"):
+    assert [(r["page_id"], r["payload"]) for r in records(warc.member(good) * 2, step)] == [(1, b"payload")] * 2
+    for bad in (good.replace(b"payload", b"Payload"), good[:-4], good.replace(b"Content-Length: ", b"Content-Length: 1", 1), b"junk\r\n\r\n", b"junk"):
         with pytest.raises(warc.Damaged):
-            warc.parse(bad)
-    path.write_bytes(warc.member(good)[:-20])
-    with open(path, "rb") as f, pytest.raises(warc.Damaged):
-        list(warc.members(f))
+            records(warc.member(bad), step)
+    for bad in (warc.member(good)[:-20], warc.member(good) + b"junk"):
+        with pytest.raises(warc.Damaged):
+            records(bad, step)
+
+
+def foreign(kind, block, *more, kind_of="application/http; msgtype=response"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:12345678-0000-0000-0000-000000000000>", *more, f"Content-Type: {kind_of}", f"Content-Length: {len(block)}"]
+    return warc.member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 16])
+def test_archives_of_others(step):
+    """No digests, other types of records, other identifiers, bodies in chunks, hexadecimal digests, folded lines, empty bodies."""
+    sha = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    chunked = b"4;x=y\r\nab\r\n\r\n3\r\ncde\r\n0\r\nTrailer: x\r\n\r\n"
+    data = b"".join([
+        foreign("warcinfo", b"software: x\r\n", kind_of="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody", "WARC-Target-URI: http://a/"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding:\r\n chunked\r\n\r\n" + chunked, f"WARC-Payload-Digest: sha1:{sha(chunked)}"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked, "WARC-Payload-Digest: sha256:" + hashlib.sha256(b"ab\r\ncde").hexdigest()),
+        foreign("response", b"HTTP/1.1 304 Not Modified\r\n\r\n", "WARC-Payload-Digest: crc99:whatever"),
+        foreign("resource", b"plain", f"WARC-Block-Digest: SHA-1:{hashlib.sha1(b'plain').hexdigest()}", kind_of="text/plain"),
+        foreign("metadata", b"", kind_of="application/warc-fields"),
+        foreign("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n", f"WARC-Payload-Digest: sha1:{sha(b'x')}", "WARC-Refers-To: <urn:uuid:1>"),
+        foreign("revisit", b""),
+    ])
+    found = [(r["record_type"], r["payload_bytes"], r["payload"], r["page_id"], r["refers_to"]) for r in records(data, step)]
+    assert found == [
+        ("warcinfo", 13, b"software: x\r\n", None, None), ("request", 0, b"", None, None), ("response", 4, b"body", None, None),
+        ("response", 7, b"ab\r\ncde", None, None), ("response", 7, b"ab\r\ncde", None, None), ("response", 0, b"", None, None),
+        ("resource", 5, b"plain", None, None), ("metadata", 0, b"", None, None), ("revisit", 9, None, None, None), ("revisit", None, None, None, None),
+    ]
+    assert [r["payload_digest"] for r in records(data, step)][2:4] == [sha(b"body"), sha(b"ab\r\ncde")]
+    for bad in (foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nbody"), foreign("resource", b"plain", "WARC-Block-Digest: md5:00", kind_of="text/plain"), foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n9\r\nab")):
+        with pytest.raises(warc.Damaged):
+            records(bad, step)
+
+
+def test_a_payload_that_half_the_pages_have(spark):
+    rows = [(i, f"http://h/{i}", "" if i % 2 else f"<p>{i}") for i in range(400)]
+    df = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string")), with_payload=False)
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in df.collect()) == [(i, "revisit" if i % 2 and i < 399 else "response", 399 if i % 2 and i < 399 else None) for i in range(400)]
 
 
 # 10

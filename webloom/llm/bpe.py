@@ -1,8 +1,10 @@
-"""Byte-level BPE by merge replay (operator 7).
+"""Byte-level BPE by merge replay over the pieces of the whole corpus (operator 7).
 
-The distinct pieces of many texts are encoded together: an inverted index leads
-from each merge rank to the places where that pair stands, ranks are applied
-from the lowest up, and only the neighbours of a merged pair are looked at again.
+Texts are cut into pieces, and blocks of texts become numbers of pieces.  Each block
+sends its distinct pieces to buckets, by hash, so a piece is encoded once for all
+texts: an inverted index leads from each pair of tokens to the places in all words of
+the bucket where it stands, ranks are applied from the lowest up, and only the
+neighbours of a merged pair are looked at again.  The ids go back to the blocks.
 """
 
 from __future__ import annotations
@@ -16,13 +18,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import utf8
+from webloom.llm.common import release, spool, utf8
 
-#: Pieces that a task remembers, characters of text it encodes together, longest text it cuts at once.
-_CACHED, _TOGETHER, _LONGEST = 150_000, 2_000_000, 1_000_000
+#: Characters of text in a block, longest text that is cut at once, bytes of words that are replayed together, and
+#: bytes of text for which there is a bucket.
+BLOCK, _LONGEST, REPLAYED, BUCKET_BYTES = 16_000_000, 1_000_000, 4 << 20, 32 << 20
+#: The pattern whose pieces can be found by the standard library in texts up to U+00FF, and never go on before a single space.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters and digits up to U+00FF, for the pattern in a form that the standard library knows.
 _LETTERS, _NUMBERS, _SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 
@@ -169,40 +177,46 @@ def replay(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> list[by
     return out
 
 
-class Encoder:
-    """Cuts texts by a pattern and encodes the pieces; remembers them."""
+def replayed(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> list[bytes]:
+    """replay, over parts of about REPLAYED bytes: words don't touch each other."""
+    out, a, size = [], 0, 0
+    for b, word in enumerate(words, 1):
+        size += len(word)
+        if size >= REPLAYED or b == len(words):
+            out += replay(words[a:b], ranks, pairs)
+            a, size = b, 0
+    return out
 
-    def __init__(self, content: bytes, pattern: str):
-        self.ranks = parse_ranks(content)
-        self.pairs = Pairs(self.ranks)
-        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.any = regex.compile(pattern).findall
-        narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_SPACES}{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]").replace(r"\S", f"[^{_SPACES}]").replace(r"\s", f"[{_SPACES}]")
-        self.narrow = re.compile(narrow).findall if "\\p" not in narrow else self.any
-        self.ids: dict[str, bytes] = {}
 
-    def cut(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.any(text)
-        return self.narrow(text)
+class Cutter:
+    """Cuts texts into pieces by a pattern."""
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.ids) + len(pieces) > _CACHED:  # pieces that come again and again are in any batch: these stay
-            self.ids = {p: self.ids[p] for p in pieces if p in self.ids}
-        new = [p for p in pieces if p not in self.ids]
-        self.ids.update(zip(new, replay([p.encode() for p in new], self.ranks, self.pairs), strict=True))
+    def __init__(self, pattern: str) -> None:
+        self.known = pattern == KNOWN_PATTERN
+        self.any = regex.compile(pattern)
+        # a pattern with groups gives its groups in findall, so pieces are whole matches
+        self.all = self.any.findall if not self.any.groups else lambda text: [m[0] for m in self.any.finditer(text)]
+        if self.known:
+            narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_SPACES}{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]").replace(r"\S", f"[^{_SPACES}]").replace(r"\s", f"[{_SPACES}]")
+            self.narrow = re.compile(narrow).findall
+
+    def cut(self, text: str) -> list[str]:
+        if self.known:
+            try:
+                text.encode("latin-1")
+                return self.narrow(text)
+            except UnicodeEncodeError:
+                pass
+        return self.all(text)
 
-    def decode(self, ids: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in memoryview(ids).cast("I")])
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, some at a time if it is long."""
+        for part in sections(text) if self.known else (text,):
+            yield self.cut(part)
 
 
 def sections(text: str) -> Iterator[str]:
-    """A long text in parts, cut before single spaces, where no piece of the pattern goes on."""
+    """A long text in parts, cut before single spaces, where no piece of KNOWN_PATTERN goes on."""
     at = 0
     while len(text) - at > _LONGEST:
         found = re.compile(r"(?<=\S) (?=\S)").search(text, at + _LONGEST)
@@ -213,55 +227,155 @@ def sections(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-_encoders: dict[tuple[bytes, str], Encoder] = {}
+class _Numbers(dict):
+    def __missing__(self, piece: str) -> int:
+        value = self[piece] = len(self)
+        return value
+
+
+def _values(parts: list[bytes]) -> bytes:
+    """Some values as one compressed value."""
+    sizes = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([sizes, *parts]))
+
+
+def _unvalued(value: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(value)
+    n = int.from_bytes(raw[:8], "little")
+    ends = np.cumsum(np.frombuffer(raw, "<i8", n, 8)) + 8 * (n + 1)
+    return [raw[a:b] for a, b in zip([8 * (n + 1), *ends.tolist()[:-1]], ends.tolist(), strict=True)]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers with their lowest bytes first, then the next: this compresses better."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(value: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(value, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+_TEXTS = -1
+_SENT = "block long, bucket int, packet binary"
+_NAMES = ["block", "bucket", "packet"]
+
+
+def _row(block: int, bucket: int, packet: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packet], pa.binary())], _NAMES)
 
 
-def _encoded(content: bytes, pattern: str, with_ids: bool):
+def _sender(pattern: str, buckets: int):
+    """Texts to blocks: a row of texts as numbers of pieces, and a row of distinct pieces for each bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (hashlib.sha256(content).digest(), pattern)
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(content, pattern)
-        encoder = _encoders[key]
-
-        def flush(group: list[tuple[int, list[str]]]) -> Iterator[pa.RecordBatch]:
-            """group: (doc_id, pieces); the texts of one batch are encoded together."""
-            encoder.learn({p for _, pieces in group for p in pieces})
-            rows = []
-            for doc, pieces in group:
-                ids = b"".join(map(encoder.ids.__getitem__, pieces))
-                rows.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), ids))
-            yield batch_of(rows)
-
-        def batch_of(rows) -> pa.RecordBatch:
-            doc, n, ids_hash, text_hash, ids = zip(*rows, strict=True)
-            columns = [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            return pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
-
-        group, size = [], 0
+        cutter = Cutter(pattern)
+        block = TaskContext.get().partitionId() << 32
+
+        def sent(block: int, docs: list, texts: list[list[np.ndarray]], known: _Numbers) -> Iterator[pa.RecordBatch]:
+            counts = np.array([sum(map(len, x)) for x in texts], "<i8")
+            numbers = np.concatenate([np.empty(0, np.int64), *(x for text in texts for x in text)]).astype(np.int64)
+            order = np.argsort(-np.bincount(numbers, minlength=len(known)), kind="stable")  # frequent pieces get small numbers
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            pieces = list(known)
+            pieces = [pieces[i].encode() for i in order.tolist()]
+            of = np.fromiter((xxhash.xxh64_intdigest(p) % buckets for p in pieces), "<i4", len(pieces))
+            ids = np.array([x or 0 for x in docs], "<i8").tobytes() + bytes(x is None for x in docs)
+            yield _row(block, _TEXTS, _values([ids, counts.tobytes(), of.tobytes(), _planes(place[numbers])]))
+            by = np.argsort(of, kind="stable")
+            cut = np.flatnonzero(np.diff(of[by], prepend=-1))
+            for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(by)], strict=True):
+                yield _row(block, int(of[by[a]]), _values([pieces[i] for i in by[a:b].tolist()]))
+
+        docs, texts, known, size = [], [], _Numbers(), 0
         for batch in batches:
             for doc, body in zip(batch.column(0), batch.column(1), strict=True):
                 text = body.as_py().decode("utf-8", "replace")
-                if len(text) > _LONGEST:
-                    n, ids_hash, text_hash, all_ids = 0, hashlib.sha256(), hashlib.sha256(), []
-                    for part in sections(text):
-                        pieces = encoder.cut(part)
-                        encoder.learn(set(pieces))
-                        ids = b"".join(map(encoder.ids.__getitem__, pieces))
-                        n += len(ids) // 4
-                        ids_hash.update(ids)
-                        text_hash.update(encoder.decode(ids))
-                        all_ids += [ids] * with_ids
-                    yield batch_of([(doc.as_py(), n, ids_hash.hexdigest(), text_hash.hexdigest(), b"".join(all_ids))])
-                    continue
-                group.append((doc.as_py(), encoder.cut(text)))
+                docs.append(doc.as_py())
+                texts.append([np.fromiter(map(known.__getitem__, pieces), np.uint32, len(pieces)) for pieces in cutter.parts(text)])
                 size += len(text)
-                if size >= _TOGETHER:
-                    yield from flush(group)
-                    group, size = [], 0
-        if group:
-            yield from flush(group)
+                if size >= BLOCK:
+                    yield from sent(block, docs, texts, known)
+                    docs, texts, known, size, block = [], [], _Numbers(), 0, block + 1
+        if docs:
+            yield from sent(block, docs, texts, known)
+
+    return run
+
+
+_pairs: dict[bytes, tuple[dict[bytes, int], Pairs]] = {}
+
+
+def _merges(content: bytes) -> tuple[dict[bytes, int], Pairs]:
+    key = hashlib.sha256(content).digest()
+    if key not in _pairs:
+        _pairs.clear()
+        ranks = parse_ranks(content)
+        _pairs[key] = (ranks, Pairs(ranks))
+    return _pairs[key]
+
+
+def _replayer(content: bytes):
+    """For applyInArrow over a bucket: its distinct pieces are encoded together; ids of the pieces in each packet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        asked: list[tuple[int, int, np.ndarray]] = []
+        for batch in batches:
+            for block, bucket, packet in zip(*batch.select(_NAMES).columns, strict=True):
+                pieces = _unvalued(packet.as_py())
+                asked.append((block.as_py(), bucket.as_py(), np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int32, len(pieces))))
+        ids = replayed(list(known), *_merges(content))
+        size = np.fromiter(map(len, ids), "<i8", len(ids)) // 4
+        for block, bucket, which in asked:
+            yield _row(block, bucket, _values([size[which].tobytes(), _planes(np.frombuffer(b"".join([ids[i] for i in which.tolist()]), "<u4"))]))
+
+    return run
+
+
+def _ranges(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each, `times` of them."""
+    return np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
+def _joiner(content: bytes, with_ids: bool):
+    """For a cogroup of the texts of a block with the ids of its pieces."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_ids
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens: dict[int, bytes] = {rank: token for token, rank in _merges(content)[0].items()}
+        found = {b.as_py(): [x for x in _unvalued(p.as_py())] for b, p in zip(answers.column("bucket"), answers.column("packet"), strict=True)}
+        rows: list[tuple] = []
+        for packet in texts.column("packet"):
+            who, counts, of, numbers = _unvalued(packet.as_py())
+            counts, of, numbers = np.frombuffer(counts, "<i8"), np.frombuffer(of, "<i4"), _unplaned(numbers).astype(np.int64)
+            ids, null = np.frombuffer(who, "<i8", len(counts)), np.frombuffer(who, np.uint8, offset=8 * len(counts))
+            order = np.argsort(of, kind="stable")
+            buckets = np.unique(of).tolist()
+            size = np.empty(len(of), np.int64)
+            size[order] = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(found[b][0], "<i8") for b in buckets)])
+            flat = np.concatenate([np.empty(0, "<u4"), *(_unplaned(found[b][1]) for b in buckets)])
+            first = np.empty(len(of), np.int64)
+            first[order] = np.cumsum(size[order]) - size[order]
+            end = np.cumsum(counts)
+            a = 0
+            while a < len(counts):  # some texts at a time
+                b = max(a + 1, int(np.searchsorted(end, end[a] - counts[a] + 500_000, "right")))
+                mine = numbers[end[a] - counts[a] : end[b - 1]]
+                times = size[mine]
+                all_ids = flat[_ranges(first[mine], times)]
+                stop = np.append(0, np.cumsum(times))[end[a:b] - (end[a] - counts[a])].tolist()
+                for k, i, j in zip(range(a, b), [0, *stop[:-1]], stop, strict=True):
+                    own = all_ids[i:j]
+                    raw = own.tobytes()
+                    decoded = hashlib.sha256()
+                    for at in range(0, len(own), 1 << 20):
+                        decoded.update(b"".join([tokens[x] for x in own[at : at + (1 << 20)].tolist()]))
+                    rows.append((None if null[k] else int(ids[k]), j - i, hashlib.sha256(raw).hexdigest(), decoded.hexdigest(), raw)[: len(names)])
+                a = b
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return run
 
@@ -271,9 +385,17 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id",
 
     ranks: content of a file of base64 tokens and ranks.  pattern: how texts are cut before the merges.
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids (unsigned 32-bit little-endian),
-    a row for each input row.  Null text is empty, with no ids.  Special tokens are ordinary text.
-    Other columns are not read.  A task remembers a bounded number of pieces.
+    a row for each input row, rows that repeat included.  Null text is empty, with no ids; null ids stay null.
+    Special tokens are ordinary text.  An empty table gives none.  Other columns are not read.  A block sends
+    a piece once, however often it stands there, so a frequent piece is no task's burden.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("body"))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_BYTES))
+    sent = spool(rows.mapInArrow(_sender(pattern, buckets), _SENT), "pieces")
+    pieces = sent.where(F.col("bucket") != _TEXTS)
+    ids = spool(pieces.groupBy("bucket").applyInArrow(_replayer(ranks), _SENT), "ids")
+    release(spark)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return rows.mapInArrow(_encoded(ranks, pattern, with_ids), schema)
+    return sent.where(F.col("bucket") == _TEXTS).groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joiner(ranks, with_ids), schema)

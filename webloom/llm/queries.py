@@ -76,7 +76,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`pages` written to archives and read again."""
     pages = _table(spark, sf_dir, "pages")
-    return read_archives(write_archives(pages, least=0), with_payload=False).drop("url")
+    return read_archives(write_archives(pages, least=0), with_payload=False).drop("url", "record_id")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ from webloom.llm.common import spool
 
 ROUNDS = 4
 #: A walk visits each place beyond the last row once at most: 2 * side of them.  For under 1024 rows
-#: that is under this; for more, a walk of this length has a chance below 2 ** -250.
+#: that is under this; for more, a walk of this length has a chance below 2 ** -250, and is an error.
 WALKS = 66
+#: Numbers that one array holds at most, where rows that agree in all columns get one each.
+RUN = 10_000
 #: Rows meant for one numbering bucket; at most MOST_BUCKETS of them.
 BUCKET_ROWS, MOST_BUCKETS = 20_000, 4096
 
@@ -51,7 +53,7 @@ def permute(df: DataFrame, number: str, rows: int, seed: int, to: str) -> DataFr
         return F.when(place(h) < rows, h).otherwise(F.struct(left.alias("l"), right.alias("r")))
 
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.col(half), step)
-    return df.withColumn(to, F.when(place(F.col(half)) < rows, place(F.col(half))).otherwise(place(walked))).drop(half)
+    return df.withColumn(to, F.when(place(F.col(half)) < rows, place(F.col(half))).when(place(walked) < rows, place(walked)).otherwise(F.raise_error(F.lit("a walk is too long")).cast("long"))).drop(half)
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,7 +63,8 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 7, doc_id: str
     empty), law, shard, slot (gapless from 0 in each shard) and grown_shard (null: only the law `key`
     has it), a row for each input row.  The order depends on ids, sizes, checksums and seed alone,
     not on partitions.  Rows that agree in all three are counted, then numbered one after the other,
-    so repeated rows and null ids need no task of their own.  Other columns are not read.
+    so repeated rows and null ids need no task of their own: a long run of numbers is dealt to tasks in parts
+    of RUN.  An empty table gives none.  Other columns are not read.
     """
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(content) + 16).cast("long").alias("size"), F.crc32(content).alias("text_crc32"))
@@ -74,6 +77,10 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 7, doc_id: str
     offsets = counted.groupBy("bucket").agg(F.sum("n").alias("inside")).select("bucket", F.coalesce(F.sum("inside").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("bucket").orderBy("h", *keys).rowsBetween(Window.unboundedPreceding, -1)
     numbered = counted.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(offsets), "bucket")
-    numbered = numbered.select(*keys, F.explode(F.sequence(F.col("offset") + F.col("first"), F.col("offset") + F.col("first") + F.col("n") - 1)).alias("number"))
+    numbered = spool(numbered.select(*keys, "n", (F.col("offset") + F.col("first")).alias("begin")), "numbered")
+    long = numbered.where(F.col("n") > RUN).select(*keys, "n", "begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("at"))
+    long = long.select(*keys, F.least(F.lit(RUN), F.col("n") - F.col("at")).alias("n"), (F.col("begin") + F.col("at")).alias("begin")).repartition("begin")
+    runs = numbered.where(F.col("n") <= RUN).unionByName(long)
+    numbered = runs.select(*keys, F.explode(F.sequence("begin", F.col("begin") + F.col("n") - 1)).alias("number"))
     dealt = permute(numbered, "number", total, seed, "place")
     return dealt.select(*keys, F.lit("rows").alias("law"), F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -4,7 +4,8 @@ Different fingerprints are divided by their distances from vantage points.  A
 fingerprint goes to the near side of a vantage point if its distance is at most the
 radius, else to the far side, and to the near side as well if it is within 3 of the
 radius: by the triangle inequality no pair is lost.  Shards hold the leaves of the
-upper tree; in a shard the division goes on until sets are small enough to compare.
+upper tree; one that is too large is divided by a tree of its own and dealt to tasks
+anew.  In a shard the division goes on until sets are small enough to compare.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ BITS = 3
 SEED = 42
 SHINGLE = 3
 #: Fingerprints that the upper tree is fitted on (about), those meant for a shard, most levels of the upper tree.
-SAMPLE, SHARD, LEVELS = 100_000, 8192, 14
+SAMPLE, SHARD, LEVELS = 400_000, 8192, 16
+#: Shards with more than so many times SHARD fingerprints are divided again, in so many rounds at most.
+LARGE, ROUNDS = 4, 8
+#: Copies of a fingerprint's row when it is joined to documents, so that those of one fingerprint go to several tasks.
+SALTS = 8
 #: Sets of this size are compared directly.
 SMALL = 512
 _BLOCK = 100_000
@@ -159,19 +164,36 @@ def _stars(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points[moved], points[label[moved]]
 
 
+def _spread(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect all pairs within BITS, where nothing divides the points: what is in reach is taken, and goes on from there.
+
+    A point is compared with those alone that nothing has reached, so a dense set costs little: it is soon in reach as a whole.
+    """
+    rest = points
+    while len(rest):
+        wave, rest = rest[:1], rest[1:]
+        while len(wave) and len(rest):
+            reached = []
+            for a in range(0, len(wave), 64):
+                close = distance(wave[a : a + 64, None], rest[None, :]) <= BITS
+                hit = close.any(axis=0)
+                if hit.any():
+                    yield rest[hit], wave[a + close[:, hit].argmax(axis=0)]
+                    reached.append(rest[hit])
+                    rest = rest[~hit]
+                if not len(rest):
+                    break
+            wave = np.concatenate(reached) if reached else rest[:0]
+
+
 def links(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that connect all pairs within BITS, for different points; stars, not all pairs."""
     if len(points) <= SMALL:
         yield _stars(points)
         return
     found = choose(points)
-    if not found:  # nothing divides them: compare blocks, and link each point to the first in reach of a block
-        for a in range(0, len(points), SMALL):
-            one = points[a : a + SMALL]
-            yield _stars(one)
-            for b in range(a + SMALL, len(points), SMALL):
-                both = np.concatenate([one, points[b : b + SMALL]])
-                yield _stars(both)
+    if not found:
+        yield from _spread(points)
         return
     d = distance(points, np.uint64(found[0]))
     yield from links(points[d <= found[1] + BITS])
@@ -184,7 +206,7 @@ def _router(tree: Node):
 
         def packed() -> pa.RecordBatch:
             found = list(route(np.concatenate(held).view(np.uint64), tree))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1].tobytes() for x in found], pa.binary())], ["leaf", "points"])
+            return _packed(found)
 
         for batch in batches:
             held.append(batch.column(0).to_numpy(zero_copy_only=False))
@@ -197,12 +219,43 @@ def _router(tree: Node):
     return run
 
 
-def _linked(table: pa.Table) -> pa.Table:
-    points = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("points")]))
-    pairs = [np.stack(x) for x in links(points) if len(x[0])]
-    both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((2, 0), np.uint64)
-    a, b = both.view(np.int64)
-    return pa.table({"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))})
+_FOUND = "leaf long, points binary, u long, v long"
+
+
+def _packed(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1].tobytes() for x in found], pa.binary())], ["leaf", "points"])
+
+
+def _linker(most: int | None):
+    """For applyInArrow over a leaf: its links; or, where it has over `most` points and can be divided, new leaves."""
+
+    def run(table: pa.Table) -> pa.Table:
+        points = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("points")]))
+        if most is not None and len(points) > most:
+            leaves: list[int] = []
+            tree = grow(points, int(np.ceil(np.log2(len(points) / most))) + 1, leaves)
+            if len(leaves) > 1:
+                leaf = table.column("leaf")[0].as_py()
+                named = [(xxhash.xxh64_intdigest(f"{leaf}/{k}") >> 1, some) for k, some in route(points, tree)]
+                empty = [pa.nulls(len(named), pa.int64())] * 2
+                return pa.table([*_packed(named).columns, *empty], ["leaf", "points", "u", "v"])
+        pairs = [np.stack(x) for x in links(points) if len(x[0])]
+        a, b = (np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((2, 0), np.uint64)).view(np.int64)
+        return pa.table([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary()), pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["leaf", "points", "u", "v"])
+
+    return run
+
+
+def _all_links(shards: DataFrame, most: int) -> DataFrame:
+    """(u, v) of all leaves. Those that are too large come back divided, and are dealt again."""
+    edges = None
+    for k in range(ROUNDS + 1):
+        out = spool(shards.groupBy("leaf").applyInArrow(_linker(most if k < ROUNDS else None), _FOUND), "links")
+        found, shards = out.where(F.col("points").isNull()).select("u", "v"), out.where(F.col("points").isNotNull()).select("leaf", "points")
+        edges = found if edges is None else edges.unionByName(found)
+        if shards.isEmpty():
+            break
+    return edges
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -253,12 +306,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     share = int(min(0.25, SAMPLE / max(1, n)) * 2**31)
     sample = [r[0] for r in each.where(F.pmod(F.xxhash64("fp"), F.lit(2**31)) < share).select("fp").collect()] if levels else []
     tree = grow(np.sort(np.array(sample, np.int64)).view(np.uint64), levels, [])
-    shards = each.select("fp").mapInArrow(_router(tree), "leaf int, points binary")
-    found = components(shards.groupBy("leaf").applyInArrow(_linked, "u long, v long"))
+    shards = each.select("fp").mapInArrow(_router(tree), "leaf long, points binary")
+    found = components(_all_links(shards, LARGE * shard))
     member = each.join(found, F.col("fp") == F.col("u"), "left").select("fp", "first", "id", F.coalesce("root", "fp").alias("root"))
     member = spool(member, "members")
     least = spool(member.groupBy("root").agg(F.min("first").alias("least"), F.min("id").alias("id")), "least")
     named = spool(member.join(least, "root").select("fp", least["least"], least["id"]), "named")
-    result = prints.join(named, "fp")
+    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    result = prints.withColumn("salt", F.pmod(F.xxhash64("doc", "digest"), F.lit(SALTS)).cast("int")).join(salted, ["fp", "salt"])
     keeper = (F.col("doc") == F.col("least.doc")) & (F.col("digest") == F.col("least.digest"))
     return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("id").alias("component_id"), keeper.alias("keeper"), "doc", "digest")

@@ -1,7 +1,9 @@
 """WARC archives: a writer, and a sequential reader (operator 9).
 
 A record is a gzip member of its own.  The reader inflates a file in small steps,
-takes as many bytes as Content-Length says, and checks digests.
+takes as many bytes as Content-Length says, and checks the digests that a record has.
+It reads archives of others as well: all types of records, any identifiers, digests
+or none, and bodies in chunks.
 """
 
 from __future__ import annotations
@@ -9,10 +11,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from typing import BinaryIO
+from itertools import chain
+from typing import Any, BinaryIO
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -25,6 +29,10 @@ from webloom.llm.common import shared_path, spool, utf8
 #: Archives are closed at this size.
 ARCHIVE_BYTES = 64 << 20
 STEP = 1 << 16
+#: Longest header of a record or of its HTTP message.
+HEADER_BYTES = 1 << 20
+#: Copies of the table of frequent payloads, so that rows with one payload go to as many tasks.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -59,7 +67,9 @@ def name_of(page_id: int | None, url: str) -> str:
 
 
 def id_of(name: str | None) -> int | None:
-    return int(name[len("<urn:page:") : -1]) if name and name.startswith("<urn:page:") else None
+    """The page that this module's writer named; null for identifiers of others."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", name or "")
+    return int(found[1]) if found else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -92,53 +102,176 @@ class Damaged(ValueError):
     """An archive isn't framed as it should be, or a digest doesn't agree."""
 
 
-def members(file: BinaryIO, step: int = STEP) -> Iterator[bytes]:
-    """The content of each gzip member, inflated step by step."""
-    unpack, parts, data = zlib.decompressobj(31), [], b""
-    while True:
-        data = data or file.read(step)
-        if not data:
-            if parts or unpack.unconsumed_tail:
-                raise Damaged("the last member is cut short")
-            return
-        parts.append(unpack.decompress(data))
-        data = b""
-        if unpack.eof:
-            yield b"".join(parts)
-            data, unpack, parts = unpack.unused_data, zlib.decompressobj(31), []
-
-
-def _headers(block: bytes) -> tuple[dict[str, str], bytes]:
-    head, gap, rest = block.partition(b"\r\n\r\n")
-    if not gap:
-        raise Damaged("a header doesn't end")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])} | {"": lines[0]}, rest
-
-
-def parse(content: bytes) -> dict:
-    """The record in a member; its framing and digests are checked."""
-    head, rest = _headers(content)
-    if not head[""].startswith("WARC/1."):
-        raise Damaged(f"not a record: {head['']!r}")
-    size = int(head["content-length"])
-    block, end = rest[:size], rest[size:]
-    if len(block) < size or end != b"\r\n\r\n":
-        raise Damaged("Content-Length doesn't agree with the member")
-    if head["warc-block-digest"] != f"sha1:{digest(block)}":
+class Inflated:
+    """The content of gzip members, one after the other, a step at a time."""
+
+    def __init__(self, file: BinaryIO, step: int = STEP) -> None:
+        self.file, self.step = file, step
+        self.raw, self.ready, self.unpack = b"", b"", zlib.decompressobj(31)
+
+    def next_member(self) -> bool:
+        """Go to the next member; False at the end of the file."""
+        self.raw = self.raw or self.file.read(self.step)
+        self.unpack, self.ready = zlib.decompressobj(31), b""
+        return bool(self.raw)
+
+    def read(self, most: int) -> bytes:
+        """At least one byte and at most `most`; none at the end of the member."""
+        while not self.ready and not self.unpack.eof:
+            try:
+                self.ready = self.unpack.decompress(self.raw, 4 * self.step)
+            except zlib.error as error:
+                raise Damaged(f"not a gzip member: {error}") from error
+            self.raw = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            if not self.ready and not self.unpack.eof and not self.raw:
+                self.raw = self.file.read(self.step)
+                if not self.raw:
+                    raise Damaged("the last member is cut short")
+        out, self.ready = self.ready[:most], self.ready[most:]
+        return out
+
+    def header(self) -> bytes:
+        """What stands before the first empty line."""
+        head = b""
+        while (end := head.find(b"\r\n\r\n")) < 0:
+            more = self.read(self.step)
+            if not more or len(head) > HEADER_BYTES:
+                raise Damaged("a header doesn't end")
+            head += more
+        self.ready = head[end + 4 :] + self.ready
+        return head[:end]
+
+    def exactly(self, size: int) -> Iterator[bytes]:
+        """As many bytes, in parts."""
+        while size:
+            part = self.read(min(size, self.step))
+            if not part:
+                raise Damaged("Content-Length doesn't agree with the member")
+            size -= len(part)
+            yield part
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by name in small letters; the first line under the empty name. Folded lines go on."""
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])} | {"": lines[0]}
+
+
+def _agrees(stated: str, found: dict[str, Any]) -> bool:
+    """Whether a digest such as sha1:ABC (base 32 or 16) is that of what was hashed; True for an unknown algorithm."""
+    name, _, value = stated.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in found:
+        return True
+    raw = found[name].digest()
+    return value.upper().rstrip("=") in (base64.b32encode(raw).decode().rstrip("="), raw.hex().upper())
+
+
+class _Hashed:
+    """Hashes by the algorithms that digests name."""
+
+    def __init__(self, *stated: str | None) -> None:
+        names = {"sha1"} | {x.partition(":")[0].lower().replace("-", "") for x in stated if x}
+        self.by = {n: hashlib.new(n) for n in names if n in ("sha1", "md5", "sha256", "sha512")}
+        self.size = 0
+
+    def update(self, part: bytes) -> bytes:
+        self.size += len(part)
+        for h in self.by.values():
+            h.update(part)
+        return part
+
+
+def unchunked(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of a body in chunks, as it comes."""
+    held, left, body = b"", 0, False
+    for part in parts:
+        held += part
+        while held:
+            if body:
+                out, held = held[:left], held[left:]
+                left -= len(out)
+                body = left > 0
+                if out:
+                    yield out
+                continue
+            line, gap, rest = held.partition(b"\r\n")
+            if not gap:
+                if len(held) > HEADER_BYTES:
+                    raise Damaged("the size of a chunk doesn't end")
+                break
+            held = rest
+            if line:  # an empty one ends the chunk before
+                try:
+                    left = int(line.split(b";")[0], 16)
+                except ValueError as error:
+                    raise Damaged("a chunk has no size") from error
+                if not left:  # trailers are left out
+                    for _ in parts:
+                        pass
+                    return
+                body = True
+    if body:
+        raise Damaged("a chunk is cut short")
+
+
+def read_records(file: BinaryIO, keep: bool = True, step: int = STEP) -> Iterator[dict]:
+    """The records of an archive; what is held of one is its payload, if it is kept, else a step.
+
+    Framing is checked, and so are digests where a record has them.  The payload is the body of the HTTP message,
+    without chunks, or the block where it is no such message; a digest may be that of the body with its chunks.
+    """
+    source = Inflated(file, step)
+    while source.next_member():
+        head = _fields(source.header())
+        if not head[""].startswith("WARC/") or not head.get("content-length", "").isdigit():
+            raise Damaged(f"not a record: {head['']!r}")
+        yield _record(head, source, keep)
+        if b"".join(iter(lambda: source.read(step), b"")) != b"\r\n\r\n":
+            raise Damaged("Content-Length doesn't agree with the member")
+
+
+def _record(head: dict[str, str], source: Inflated, keep: bool) -> dict:
+    kind, stated = head.get("warc-type", ""), head.get("warc-payload-digest")
+    block, sent, whole = _Hashed(head.get("warc-block-digest")), _Hashed(stated), _Hashed(stated)
+    parts = map(block.update, source.exactly(int(head["content-length"])))
+    http: dict[str, str] = {}
+    if kind in ("response", "request", "revisit") and head.get("content-type", "").lower().startswith("application/http"):
+        begun = b""
+        for part in parts:
+            begun += part
+            if b"\r\n\r\n" in begun:
+                break
+            if len(begun) > HEADER_BYTES:
+                raise Damaged("a header doesn't end")
+        first, _, rest = begun.partition(b"\r\n\r\n")
+        http, parts = _fields(first), chain([rest], parts)
+    body = map(sent.update, parts)
+    chunks = "chunked" in http.get("transfer-encoding", "").lower()
+    kept = []
+    for part in unchunked(body) if chunks else body:
+        whole.update(part)
+        if keep:
+            kept.append(part)
+    if not _agrees(head.get("warc-block-digest", ""), block.by):
         raise Damaged("the block's digest doesn't agree")
-    http, payload = _headers(block)
-    revisit = head["warc-type"] == "revisit"
-    if not revisit and (head["warc-payload-digest"] != f"sha1:{digest(payload)}" or int(http["content-length"]) != len(payload)):
-        raise Damaged("the payload's digest or length doesn't agree")
+    revisit, length = kind == "revisit", http.get("content-length", "")
+    if not revisit:
+        if stated and not _agrees(stated, sent.by) and not _agrees(stated, whole.by):
+            raise Damaged("the payload's digest doesn't agree")
+        if kind == "response" and not chunks and length.isdigit() and int(length) != sent.size and "content-encoding" not in http:
+            raise Damaged("the payload's length doesn't agree")
+    own = base64.b32encode(whole.by["sha1"].digest()).decode()
+    name, _, value = (stated or "").partition(":")
     return {
-        "page_id": id_of(head["warc-record-id"]),
-        "url": head["warc-target-uri"],
-        "payload_bytes": int(http["content-length"]),
-        "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"),
-        "record_type": head["warc-type"],
+        "page_id": id_of(head.get("warc-record-id")),
+        "url": head.get("warc-target-uri"),
+        "payload_bytes": whole.size if not revisit else int(length) if length.isdigit() else None,
+        "payload_digest": own if not revisit else value if name.lower() == "sha1" else None,
+        "record_type": kind,
         "refers_to": id_of(head.get("warc-refers-to")),
-        "payload": None if revisit else payload,
+        "record_id": head.get("warc-record-id"),
+        "payload": b"".join(kept) if keep and not revisit else None,
     }
 
 
@@ -183,14 +316,16 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload")})
     groups = rows.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("page").alias("top"), F.count("*").alias("n"))
     groups = spool(groups.where((F.col("n") > 1) & F.col("top").isNotNull()).select("sha1", "size", "top"), "payloads")
-    rows = rows.join(groups, ["sha1", "size"], "left")
+    # salted, so that a payload which a third of all rows have goes to several tasks
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha1", "size", "salt"], "left")
     revisit = F.col("top").isNotNull() & ~F.col("page").eqNullSafe(F.col("top"))
     rows = rows.select("page", "url", "payload", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit"))
     return spool(rows.mapInArrow(_writer(folder), "path string, records long, bytes long"), "archives")
 
 
 def _reader(with_payload: bool):
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if with_payload else {})
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "record_id": pa.string()} | ({"payload": pa.binary()} if with_payload else {})
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()], list(kinds))
@@ -200,9 +335,9 @@ def _reader(with_payload: bool):
             for path in batch.column(0):
                 with open_shared(path.as_py(), "rb") as file:
                     rows, size = [], 0
-                    for content in members(file):
-                        rows.append(parse(content))
-                        size += len(content)
+                    for found in read_records(file, with_payload):
+                        rows.append(found)
+                        size += len(found["payload"] or b"")
                         if size >= 8 << 20 or len(rows) >= 2000:
                             yield batch_of(rows)
                             rows, size = [], 0
@@ -215,11 +350,12 @@ def _reader(with_payload: bool):
 def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records of the archives in the first column of paths, read one after the other.
 
-    Returns page_id, url, payload_bytes and payload_digest (both of the full payload, also for
-    revisits), record_type, refers_to and payload (null for revisits).  Raises where framing or
-    digests don't agree.
+    Returns page_id (null for identifiers that write_archives didn't give), url, payload_bytes and payload_digest
+    (both of the full payload, also for revisits that state them), record_type, refers_to, record_id and payload
+    (null for revisits), a row for each record of any type.  Raises where framing or digests don't agree; digests
+    that a record doesn't have, or of unknown algorithms, aren't checked.  No paths give no rows.
     """
     n = paths.count()
     parts = paths.select(paths.columns[0]).repartition(max(1, min(n, 4 * paths.sparkSession.sparkContext.defaultParallelism)))
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string" + ", payload binary" * with_payload
     return parts.mapInArrow(_reader(with_payload), schema)
