@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import release, spool, utf8
+from webloom.llm.common import release, spool, spool_by, utf8
 
 #: Characters of text in a block, longest text that is cut at once, bytes of words that are replayed together, and
 #: bytes of text for which there is a bucket.
@@ -236,7 +236,7 @@ class _Numbers(dict):
 def _values(parts: list[bytes]) -> bytes:
     """Some values as one compressed value."""
     sizes = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([sizes, *parts]))
+    return zstandard.ZstdCompressor(level=9).compress(b"".join([sizes, *parts]))
 
 
 def _unvalued(value: bytes) -> list[bytes]:
@@ -393,7 +393,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("body"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_BYTES))
-    sent = spool(rows.mapInArrow(_sender(pattern, buckets), _SENT), "pieces")
+    # texts meet the ids of their pieces by block: they are written where they are to be joined
+    sent = spool_by(rows.mapInArrow(_sender(pattern, buckets), _SENT), "pieces", "block", buckets)
     pieces = sent.where(F.col("bucket") != _TEXTS)
     ids = spool(pieces.groupBy("bucket").applyInArrow(_replayer(ranks), _SENT), "ids")
     release(spark)

@@ -55,6 +55,21 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the session has already gone
+        pass
+
+
+def spool_by(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """As spool, in files by hash of a column: joins and groups by it with as many partitions need not move the rows again."""
+    table = f"webloom_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", shared_path(df.sparkSession, name)).format("parquet").saveAsTable(table)
+    atexit.register(_drop, df.sparkSession, table)
+    return df.sparkSession.table(table)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
