@@ -66,7 +66,8 @@ def contamination_tables():
 def test_contamination(spark, monkeypatch, bits):
     """Also with a filter that lets all through."""
     monkeypatch.setattr(decontamination, "MOST_BITS", bits)
-    monkeypatch.setattr(decontamination, "_BLOCK_WORDS", 300)
+    monkeypatch.setattr(decontamination, "_BLOCK_BYTES", 900)
+    monkeypatch.setattr(decontamination, "_SLICE", 70)
     rows, items = contamination_tables()
     rows += [(2**63 - 1, rows[3][1]), (2**63 - 1, "q " + rows[3][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +28,9 @@ SHINGLE = 3
 #: Bits of a filter for each token, and in all: between 8 KB and 32 MB. A fuller filter lets more through to the join.
 TOKEN_BITS, LEAST_BITS, MOST_BITS = 16, 16, 28
 _PAGE = 1 << 13
-_BLOCK_WORDS = 250_000
-_CACHED = 1_000_000
+#: Bytes of text in one round of array work, and of a long text that are hashed at once.
+_BLOCK_BYTES, _SLICE = 2 << 20, 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 #: Lower-cases A-Z; whatever else is ASCII but no digit or letter ends a word.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ODD = (np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -40,12 +41,37 @@ def words_of(body: bytes) -> list[bytes]:
     return body.translate(_FOLD).split()
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+class _Words:
+    """Where the words of a folded text are, and a hash of each: a polynomial in its bytes, from differences of one running sum."""
+
+    def __init__(self) -> None:
+        self.table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def of(self, folded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, hash) of each word; a long text is taken a slice at a time."""
+        found, a = [], 0
+        while a < len(folded):
+            b = folded.find(b" ", a + _SLICE)
+            b = b if b >= 0 else len(folded)
+            if b - a > len(self.up):
+                self.up, self.down = _powers(_BASE, b - a), _powers(pow(_BASE, -1, 2**64), b - a)
+            data = np.frombuffer(folded, np.uint8, b - a, a)
+            edge = np.diff((data != 32).view(np.int8), prepend=0, append=0)
+            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(self.table[data] * self.up[: b - a], out=total[1:])
+            found.append((begin + a, end + a, mix((total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64))))
+            a = b
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
 
 
 def tokens(h: np.ndarray, size: int) -> np.ndarray:
@@ -62,11 +88,12 @@ def probes(token: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def passes(token: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    """Whether the filter may hold each token."""
-    out = np.ones(len(token), bool)
-    for at in probes(token, bits):
-        out &= (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return out
+    """Places of the tokens that the filter may hold; most others fall at the first probe."""
+    left = np.arange(len(token))
+    for p in _PROBES:
+        at = (token[left] * p) >> np.uint64(64 - bits)
+        left = left[(table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return left
 
 
 def _bloom(rows: DataFrame) -> tuple[Broadcast, int]:
@@ -97,12 +124,12 @@ def _bloom(rows: DataFrame) -> tuple[Broadcast, int]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item, body) to windows with all their tokens: (item, words, size, tokens)."""
-    hashes = _Hashes()
+    find = _Words()
     for batch in batches:
         rows = []
         for item, body in zip(*batch.columns[:2], strict=True):
-            words = words_of(body.as_py())
-            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            folded = body.as_py().translate(_FOLD)
+            words, h = folded.split(), find.of(folded)[2]
             for a in range(max(1, len(words) - WINDOW + 1) if words else 0):
                 own = words[a : a + WINDOW]
                 rows.append((item.as_py(), b" ".join(own), len(own), tokens(h[a : a + WINDOW], min(SHINGLE, len(own))).view(np.int64).tolist()))
@@ -119,25 +146,43 @@ def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item", "words", "size", "tokens"])
 
 
-Texts = list[tuple[int, tuple, list[bytes]]]
+@dataclass
+class _Block:
+    """Some texts one after the other: other columns and number of words of each, and begin, end and hash of all words."""
+
+    rows: list[tuple]
+    counts: np.ndarray
+    folded: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
+
+    def words(self, a: int, b: int) -> bytes:
+        """Words a to b, joined by single spaces."""
+        return b" ".join(self.folded[self.begin[a] : self.end[b - 1]].split())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], body: int) -> Iterator[_Block]:
+    find = _Words()
+    rows, texts, size = [], [], 0
 
+    def block() -> _Block:
+        folded = b" ".join(texts).translate(_FOLD)
+        begin, end, h = find.of(folded)
+        stop = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))
+        return _Block(rows, np.diff(np.searchsorted(begin, stop), prepend=0), folded, begin, end, h)
 
-def _blocks(batches: Iterator[pa.RecordBatch], body: int) -> Iterator[tuple[list[tuple], list[bytes], np.ndarray, np.ndarray]]:
-    """(other columns of each row, all words, words of each, hashes of all) of some rows at a time."""
-    hashes = _Hashes()
-    rows, words, counts = [], [], []
     for batch in batches:
         rest = [c for i, c in enumerate(batch.columns) if i != body]
         for k, text in enumerate(batch.column(body)):
-            own = words_of(text.as_py())
             rows.append(tuple(c[k].as_py() for c in rest))
-            words += own
-            counts.append(len(own))
-            if len(words) >= _BLOCK_WORDS:
-                yield rows, words, np.array(counts, np.int64), np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                rows, words, counts = [], [], []
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= _BLOCK_BYTES:
+                yield block()
+                rows, texts, size = [], [], 0
     if rows:
-        yield rows, words, np.array(counts, np.int64), np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        yield block()
 
 
 def _candidates(h: np.ndarray, counts: np.ndarray, sizes: list[int], table: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,14 +190,15 @@ def _candidates(h: np.ndarray, counts: np.ndarray, sizes: list[int], table: np.n
     owner = np.repeat(np.arange(len(counts)), counts)
     for size in sizes:
         found = tokens(h, size)
-        at = np.flatnonzero((owner[: len(found)] == owner[size - 1 :]) & passes(found, table, bits))
+        at = passes(found, table, bits)
+        at = at[owner[at] == owner[at + size - 1]]
         yield size, at, owner[at], found[at]
 
 
 def _counter(sizes: list[int], bloom: Broadcast, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, counts, h in _blocks(batches, 0):
-            for _, _, _, found in _candidates(h, counts, sizes, bloom.value, bits):
+        for block in _blocks(batches, 0):
+            for _, _, _, found in _candidates(block.hashes, block.counts, sizes, bloom.value, bits):
                 token, n = np.unique(found, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
 
@@ -172,15 +218,16 @@ def _sender(sizes: list[int], bloom: Broadcast, bits: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
-        for rows, words, counts, h in _blocks(batches, 3):
+        for block in _blocks(batches, 3):
+            rows, counts = block.rows, block.counts
             yield batch_of([(number + i, *row, int(n), None, None, None, None) for i, (row, n) in enumerate(zip(rows, counts.tolist(), strict=True))])
             begin = np.cumsum(counts) - counts
-            for size, at, row, token in _candidates(h, counts, sizes, bloom.value, bits):
+            for size, at, row, token in _candidates(block.hashes, counts, sizes, bloom.value, bits):
                 low = np.maximum(begin[row], at - (WINDOW - size))
                 high = np.minimum((begin + counts)[row], at + WINDOW)
                 out = []
                 for a, k, t, lo, hi in zip(at.tolist(), row.tolist(), token.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True):
-                    out.append((number + k, None, None, None, None, t, a - int(begin[k]), a - lo, b" ".join(words[lo:hi])))
+                    out.append((number + k, None, None, None, None, t, a - int(begin[k]), a - lo, block.words(lo, hi)))
                     if len(out) >= 10_000:
                         yield batch_of(out)
                         out = []
