@@ -28,7 +28,7 @@ from webloom.llm.common import release, spool, spool_by, utf8
 
 #: Characters of text in a block, longest text that is cut at once, bytes of words that are replayed together, and
 #: bytes of text for which there is a bucket.
-BLOCK, _LONGEST, REPLAYED, BUCKET_BYTES = 16_000_000, 1_000_000, 4 << 20, 32 << 20
+BLOCK, _LONGEST, REPLAYED, BUCKET_BYTES = 5_000_000, 1_000_000, 2 << 20, 16 << 20
 #: The pattern whose pieces can be found by the standard library in texts up to U+00FF, and never go on before a single space.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters and digits up to U+00FF, for the pattern in a form that the standard library knows.
