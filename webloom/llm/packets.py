@@ -96,7 +96,7 @@ def pack(arrays: list[np.ndarray], strings: list[bytes] | None = None) -> bytes:
     parts += [np.diff(a.astype("<i8"), prepend=0).astype("<i8").tobytes() for a in arrays]
     if strings is not None:
         parts += [np.fromiter(map(len, strings), "<i8", n).tobytes(), *strings]
-    return zstandard.ZstdCompressor(level=3 if strings is None else 9).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3 if strings is None else 6).compress(b"".join(parts))
 
 
 def unpack(value: bytes, with_strings: bool) -> tuple[list[np.ndarray], list[bytes]]:
