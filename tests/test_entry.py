@@ -54,7 +54,7 @@ def test_every_query_of_the_core_has_sql():
 
 
 def test_map_reaches_every_word(spark):
-    got = {r.doc_id: r.words for r in entry.queries()["proc_map_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.words for r in entry.queries()["proc_map"](spark, SF).collect()}
     want = {r.doc_id: r.text.replace("e", "E") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert got == want and any(len(t.split(" ")) > 20 for t in want.values())
 
@@ -65,9 +65,15 @@ def test_crawl_records_the_links_it_follows(spark):
 
 
 def test_works_without_the_optional_files(tmp_path):
-    for name in ("webloom", "__spark_entry__.py"):
+    for name in ("webloom", "__spark_entry__.py", "corpus_pipeline.py"):
         copy = shutil.copytree if (ROOT / name).is_dir() else shutil.copy
         copy(ROOT / name, tmp_path / name)
     shutil.rmtree(tmp_path / "webloom/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_works_without_a_package_that_the_operators_need(tmp_path):
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('not installed')")
+    code = "import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') for n in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": f"{tmp_path}:{ROOT}"})

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from webloom.functions import html, urls
 from webloom.functions import processors as x
 
+#: Fixed value: what a rewritten link is: from a tag's start to its first src or href, the quoted value, and on to the tag's end.
+LINK_PATTERN = r"""<(.*?)(src|href)=("|')(.*?)("|')(.*?)>"""
+
 
 def column(spark, values, f, kind="string"):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}").coalesce(1)
@@ -66,7 +69,7 @@ def test_links_like_the_expression(text):
         skip = not m[4] or m[4].startswith(urls.SKIPPED_PREFIXES)
         return m[0] if skip else f"<{m[1]}{m[2]}={m[3]}{urljoin('http://h/p', m[4])}{m[5]}{m[6]}>"
 
-    assert urls.with_absolute_links(text, "http://h/p") == re.sub(urls.LINK_PATTERN, rewritten, text, flags=re.DOTALL)
+    assert urls.with_absolute_links(text, "http://h/p") == re.sub(LINK_PATTERN, rewritten, text, flags=re.DOTALL)
 
 
 def test_lenient_decoding(spark):

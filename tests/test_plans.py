@@ -52,6 +52,127 @@ def test_crawl_goes_on_where_it_stopped(spark, pages, tmp_path):
     assert [v[0] for v in visits(rest)] == ["http://q.example/page/1/", "http://q.example/page/2/", "http://q.example/page/3/#x"]
 
 
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", [0, 2, 3, 5, 8])
+def test_a_run_that_is_stopped_anywhere_is_taken_up(spark, pages, tmp_path, monkeypatch, at):
+    """An error after each of the writes of a run in turn; the next run ends as one that nothing stopped."""
+    spec = ItemSpec("Quote", css={"text": ["span.text::text", "strip"]})
+    parsers = [Parser(in_pattern="/page/", follow_patterns=["/page/"], css_divider=".quote", item=spec)]
+    one = crawl.Crawl(pages, parsers=parsers, settings=Settings(max_tries=0))
+    start = crawl.seeds(spark, ["http://q.example/page/1/", "http://q.example/none"])
+    writes = []
+
+    def failing(df, path, mode="errorifexists"):
+        out = shared.append(df, path, mode)
+        writes.append(path)
+        if len(writes) == 3 * at + 1:
+            raise Stopped
+        return out
+
+    monkeypatch.setattr(crawl, "append", failing)
+    stopped = False
+    try:
+        one.run(start, f"{tmp_path}/run")
+    except Stopped:
+        stopped = True
+    monkeypatch.setattr(crawl, "append", shared.append)
+    result = one.run(start, f"{tmp_path}/run")
+    assert sorted(v[0] for v in visits(result)) == ["http://q.example/none", "http://q.example/page/1/", "http://q.example/page/2/", "http://q.example/page/3/#x"]
+    assert sorted(r.item.text for r in result.items_of("text string").collect()) == ["Q1", "Q2", "Q3"]
+    assert result.finished
+    assert stopped
+
+
+def test_a_step_counts_once_its_marker_is_there(spark, tmp_path):
+    steps = shared.Steps(spark, str(tmp_path))
+    path = steps.begin()
+    shared.append(spark.createDataFrame([(1,)], "a int"), f"{path}/t")
+    assert shared.Steps(spark, str(tmp_path)).read("t", "a int").count() == 0
+    other = shared.Steps(spark, str(tmp_path))
+    steps.commit(path, ["t"], now=2.5)
+    again = shared.Steps(spark, str(tmp_path))
+    assert again.read("t", "a int").count() == 1 and again.notes[0]["now"] == 2.5
+    with pytest.raises(RuntimeError):
+        other.commit(path, ["t"])
+
+
+def responding(**signals):
+    """A callback that gives signals by url, and an item for each response."""
+
+    def run(responses):
+        rows = responses.select("url", "tries", F.col("seq").alias("page_seq"))
+        signal = F.lit(None).cast("string")
+        for part, (what, most) in signals.items():
+            signal = F.when(F.contains("url", F.lit(part)) & (F.col("tries") < most), what).otherwise(signal)
+        made = rows.withColumns({"signal": signal, "defer": F.lit(50.0)})
+        return {"items": rows.select("page_seq", F.lit("Seen").alias("family"), F.struct("url").alias("item")), "signals": made.where("signal IS NOT NULL").drop("url", "tries")}
+
+    return run
+
+
+def test_signals_decide_what_becomes_of_a_request(spark, pages):
+    urls = [f"http://q.example/page/{i}/" for i in (1, 2, 3)] + ["http://q.example/tag/t0", "http://q.example/tag/t1", "http://q.example/none"]
+    signals = {"page/1": ("skip", 9), "page/2": ("reschedule", 1), "page/3": ("broken", 2), "tag/t0": ("broken", 99), "tag/t1": ("drop", 9)}
+    result = crawl.Crawl(pages, callbacks={"parse": responding(**signals)}).run(crawl.seeds(spark, urls))
+    got = {r.url.removeprefix("http://q.example/"): (r.tries, r.flag, r.accepted, r.hop) for r in result.visited.collect()}
+    # 4 executions of what never goes well; a reschedule counts as an attempt and comes 50 seconds later
+    assert got == {"page/1/": (1, 1, True, 0), "page/2/": (2, 1, True, 0), "page/3/": (3, 1, True, 0), "tag/t0": (4, 0, True, 0), "tag/t1": (1, 1, True, 0), "none": (4, 0, False, 0)}
+    assert {r.url: r.time for r in result.visited.collect()}["http://q.example/page/2/"] == 50.0
+    assert result.finished
+    ignored = crawl.Crawl(pages, callbacks={"parse": responding(**signals)}).run(crawl.seeds(spark, urls[3:4], ignore_exception=True))
+    assert [(r.tries, r.flag) for r in ignored.visited.collect()] == [(1, 0)]
+
+
+def test_first_signal_counts_and_an_immediate_one_ends_the_steps(spark, pages):
+    def saying(what, now):
+        return lambda responses: {"signals": responses.select(F.col("seq").alias("page_seq"), F.lit(what).alias("signal"), F.lit(now).alias("immediately"))}
+
+    seen = lambda responses: {"items": responses.select(F.col("seq").alias("page_seq"), F.lit("S").alias("family"), F.struct("url").alias("item"))}
+    start = crawl.seeds(spark, ["http://q.example/tag/t0"])
+    settings = Settings(max_tries=0)
+    late = crawl.Crawl(pages, callbacks={"parse": saying("skip", False)}, family_callbacks={"Response": seen}, settings=settings).run(start)
+    assert late.items.count() == 1 and [r.signal for r in late.visited.collect()] == ["skip"]
+    at_once = crawl.Crawl(pages, callbacks={"parse": saying("broken", True)}, family_callbacks={"Response": seen, "Other": seen}, settings=settings).run(start)
+    assert at_once.items.count() == 0 and [(r.signal, r.flag) for r in at_once.visited.collect()] == [("broken", 0)]
+
+
+def test_recrawls_and_late_tasks(spark, pages):
+    start = crawl.seeds(spark, spark.createDataFrame([("http://q.example/tag/t0", 0.0, 100.0), ("http://q.example/tag/t1", 1000.0, None)], "url string, exetime double, recrawl double"))
+    once = crawl.Crawl(pages).run(start)
+    # recrawls go on while another task waits, at each hop that is due, and don't keep the run going
+    assert [r.time for r in once.visited.collect() if r.url.endswith("t1")] == [1000.0] and once.pending.count() == 1
+    until = crawl.Crawl(pages, settings=Settings(until=250.0)).run(start)
+    assert sorted(r.time for r in until.visited.collect() if r.url.endswith("t0"))[:3] == [0.0, 100.0, 200.0]
+    assert not until.finished and [r.recrawl for r in until.pending.collect()] == [100.0]
+
+
+def test_a_run_says_what_is_left(spark, pages):
+    result = crawl.Crawl(pages, parsers=[Parser(follow_patterns=["/page/"])], settings=Settings(max_hops=1)).run(crawl.seeds(spark, ["http://q.example/page/1/"]))
+    assert not result.finished and [r.url for r in result.pending.collect()] == ["http://q.example/page/2/"]
+
+
+def test_runs_share_what_they_have_seen_and_take_seeds_as_they_come(spark, pages, tmp_path):
+    archive.push_seeds(spark, ["http://q.example/page/1/"], f"{tmp_path}/seeds")
+
+    def incoming(hop):
+        if hop == 1:
+            archive.push_seeds(spark, ["http://q.example/page/3/", "http://q.example/page/1/"], f"{tmp_path}/seeds")
+        return crawl.seeds(spark, archive.fresh_seeds(spark, f"{tmp_path}/seeds", f"{tmp_path}/state"))
+
+    one = crawl.Crawl(pages, incoming=incoming).run(crawl.seeds(spark, ["http://q.example/tag/t0"]), f"{tmp_path}/one")
+    assert sorted((r.url[17:], r.hop) for r in one.visited.collect()) == [("page/1/", 0), ("page/3/", 1), ("tag/t0", 0)]
+    two = crawl.Crawl(pages, also_seen=[f"{tmp_path}/one"]).run(crawl.seeds(spark, ["http://q.example/page/1/", "http://q.example/page/2/"]))
+    assert [r.url[17:] for r in two.visited.collect()] == ["page/2/"]
+
+
+def test_parse_without_a_crawl(spark, pages):
+    made = crawl.Crawl(None, parsers=[Parser(follow_patterns=["/page/"], item=ItemSpec("Q", css={"t": "span::text"}))]).parse(pages.where("page_id < 3"))
+    assert made[0]["requests"].count() == 2 and sorted(r.item.t for r in made[0]["items"].collect()) == [" Q1 ", " Q2 "]
+
+
 def test_caps_delay_but_lose_nothing(spark, pages):
     parsers = [Parser(follow_patterns=["/page/", "/tag/", "missing"])]
     start = crawl.seeds(spark, [f"http://q.example/page/{i}/" for i in (1, 2, 3)])
@@ -125,6 +246,18 @@ def test_chain(spark, pages, tmp_path):
         ChainCrawler().run(pages)
 
 
+def test_requests_of_a_chain_keep_their_meta_and_method(spark, pages):
+    tag = ChainItem("Tag").xpath("href", "./@href | ./a/@href").extra_from_meta("label").store()
+    a = ChainRequest("http://q.example/tag/t0").meta(label="A").spawn(tag)
+    b = ChainRequest().request("http://q.example/tag/t1", "POST").meta(label="B").spawn(tag, xpath="//a")
+    a.follow("a::attr(href)", pass_meta=True).spawn(ChainItem("Page").extra_from_meta("label"))
+    b.follow("a::attr(href)", pass_meta=True)
+    result = ChainCrawler().use(a, b).run(pages)
+    assert sorted((r.url[17:], r.method, r.meta["label"]) for r in result.visited.collect()) == [("missing", "GET", "B"), ("page/1/", "GET", "A"), ("tag/t0", "GET", "A"), ("tag/t1", "POST", "B")]
+    assert sorted((r.href, r.label) for r in result.storage()["Tag"].collect()) == [("/missing", "B"), ("/page/1/", "A")]
+    assert list(result.storage()) == ["Tag"]
+
+
 def test_send(spark, pages):
     row = archive.send(spark, "http://q.example/tag/t1#frag", pages).first()
     assert row.status == 200 and "missing" in row.html and row.meta == {}
@@ -169,6 +302,33 @@ def test_upserts(spark, tmp_path):
     assert shared.read_if_there(spark, f"{tmp_path}/none", "a int") is None
 
 
+def test_upserts_keep_columns_and_survive_a_stop(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    sinks.upsert(spark.createDataFrame([(1, "x", "y", 1)], "key long, x string, y string, at long"), path, "key", "at")
+    sinks.upsert(spark.createDataFrame([(1, "n", "z", 2)], "key long, x string, z string, at long"), path, "key", "at")
+    rows = lambda: [r.asDict() for r in spark.read.parquet(path).collect()]
+    assert rows() == [{"key": 1, "x": "n", "y": "y", "z": "z", "at": 2}]
+    for name in ("rename", "delete"):
+        for nth in (1, 2):
+            calls = []
+
+            def failing(spark, *paths, f=getattr(sinks, name), calls=calls, nth=nth):
+                calls.append(paths)
+                if len(calls) == nth:
+                    raise OSError("stopped")
+                f(spark, *paths)
+
+            monkeypatch.setattr(sinks, name, failing)
+            try:
+                sinks.upsert(spark.createDataFrame([(nth, name, 9)], "key long, x string, at long"), path, "key", "at")
+            except OSError:
+                pass
+            monkeypatch.undo()
+            sinks.upsert(spark.createDataFrame([(nth, name, 9)], "key long, x string, at long"), path, "key", "at")
+            assert {r["key"]: r["x"] for r in rows()}[nth] == name and {r["key"]: r["y"] for r in rows()}[1] == "y"
+            assert not shared.exists(spark, f"{path}.old")
+
+
 def test_items_can_be_logged(spark, caplog):
     with caplog.at_level("INFO", "webloom.items"):
         sinks.log_items(spark.createDataFrame([(1,)], "a int"))
@@ -187,6 +347,22 @@ def test_nested_rules(spark, pages):
         ItemSpec.nested({"a": [{"b": "c"}]})
 
 
+def test_rules_with_variables_defaults_and_targets(spark, pages):
+    from webloom.operators.items import process, spawn, to_json
+
+    spec = ItemSpec("I", xpath={"mine": "//a[@href=$link]/text()"}, default={"at": lambda: 7, "x": "y"})
+    df = pages.where("page_id < 3").select("url", "html", F.create_map(F.lit("link"), F.lit("/page/2/")).alias("meta"))
+    rows = spawn(df, spec, meta="meta").collect()
+    assert sorted((r.item.mine or "", r.item["at"], r.item.x) for r in rows) == [("", 7, "y"), ("Next", 7, "y")]
+    parts = spawn(pages.where("page_id = 1"), ItemSpec("P", xpath={"t": "./text()"}), "//div/a | //span").collect()
+    assert [r.item.t for r in parts] == [" Q1 ", "tag"]
+    made = spark.createDataFrame([((" a ", None, 1.5, ("x", None)),)], "item struct<x:string,t:string,n:double,inner:struct<x:string,y:string>>")
+    dropped = process(made, {"x>t": ["strip"], "x": ["drop"]})
+    assert json.loads(dropped.select(to_json()).first()[0]) == {"x": " a ", "t": "a", "n": 1.5, "inner": {"x": "x", "y": None}}
+    nested = spark.createDataFrame([(("x", 'q","t":null,"', 10.0, ("x", None)), ["x", "n"])], "item struct<x:string,t:string,n:double,inner:struct<x:string,y:string>>, _dropped array<string>")
+    assert nested.select(to_json()).first()[0] == '{"t":"q\\",\\"t\\":null,\\"","inner":{"x":"x","y":null}}'
+
+
 def test_live_requests(spark):
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):

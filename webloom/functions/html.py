@@ -313,9 +313,8 @@ def _frozen(p: dict) -> tuple:
     return tuple(sorted(p.items(), key=lambda x: x[0]))
 
 
-def xpath(scope: Node, rule: str) -> list[str]:
-    """All values of a path, in document order within each alternative."""
-    out: list[str] = []
+def _walked(scope: Node, rule: str) -> Iterator[tuple[list[Node], list[str] | None]]:
+    """For each alternative of a path its nodes, and its values if it ends in texts or attributes."""
     for steps in compile_xpath(rule):
         nodes, values = [scope], None
         if steps and steps[0][0]:
@@ -342,5 +341,34 @@ def xpath(scope: Node, rule: str) -> list[str]:
                             some = _passes(some, dict(p))
                         seen |= {id(c): c for c in some}
                 nodes = list(seen.values())
+        yield nodes, values
+
+
+def bound(rule: str, variables: dict[str, str]) -> str:
+    """A path with $name replaced by the variable's value in quotes; an unknown name is an error."""
+    def value(m: re.Match) -> str:
+        if m[1] not in variables:
+            raise ValueError(f"no variable ${m[1]}")
+        text = variables[m[1]] or ""
+        if '"' in text and "'" in text:
+            raise ValueError(f"${m[1]} has both kinds of quotes")
+        return f"'{text}'" if '"' in text else f'"{text}"'
+
+    return re.sub(r"\$([A-Za-z_][\w-]*)", value, rule)
+
+
+def xpath(scope: Node, rule: str) -> list[str]:
+    """All values of a path, in document order within each alternative."""
+    out: list[str] = []
+    for nodes, values in _walked(scope, rule):
         out += values if values is not None else [n.outer() for n in nodes if n.parent or n is not scope]
     return out
+
+
+def xpath_nodes(scope: Node, rule: str) -> list[Node]:
+    """The elements of a path, each once, in document order."""
+    found = {id(n) for nodes, values in _walked(scope, rule) if values is None for n in nodes if n is not scope}
+    root = scope
+    while root.parent:
+        root = root.parent
+    return [n for n in root.walk() if id(n) in found]

@@ -146,9 +146,15 @@ def _group(regex: str, group: int | str) -> int:
     return named[group] if group in named else int(group)
 
 
+def _java_name(m: _re.Match) -> str:
+    """A name for Java, which has letters and digits only; different names stay different."""
+    return m[1].replace("Z", "ZZ").replace("_", "Zu")
+
+
 def java_regex(regex: str) -> str:
     """A Python expression for Java: named groups, Unicode classes, and a dot that stops at newlines only."""
-    return "(?Ud)" + _re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", _re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", regex))
+    named = _re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{_java_name(m)}>", regex)
+    return "(?Ud)" + _re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{_java_name(m)}>", named)
 
 
 @register()

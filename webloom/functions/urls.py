@@ -72,13 +72,11 @@ def absolute_url(base: Column | str, link: Column | str) -> Column:
     return F.when(F.coalesce(has_scheme, F.lit(False)), link).when(F.coalesce(from_root, F.lit(False)), F.concat(origin(base), link)).otherwise(_joined(F.when(slow, base), F.when(slow, link)))
 
 
-#: Fixed value: what a rewritten link is: from a tag's start to its first src or href, the quoted value, and on to the tag's end.
-LINK_PATTERN = r"""<(.*?)(src|href)=("|')(.*?)("|')(.*?)>"""
 _ATTRIBUTE, _QUOTE = re.compile(r"""(?:src|href)=["']"""), re.compile("[\"']")
 
 
 def with_absolute_links(text: str, base: str) -> str:
-    """Rewrite the first src or href of each match of LINK_PATTERN (dots match all) to an absolute url.
+    """Rewrite the first quoted src or href of each tag, up to the tag's end, to an absolute url.
 
     The text is gone through once, where the expression itself would start anew at each tag.
     """

@@ -38,6 +38,22 @@ def produce(tasks: DataFrame, seen: DataFrame | None = None, *order: str) -> tup
     return new.unionByName(tasks.where(bypass)), new.select("fingerprint")
 
 
+def submitted(tasks: DataFrame, seen: DataFrame | None = None, *order: str) -> DataFrame:
+    """All tasks with where each goes and whether it was taken: `queue` (request for tasks of that family, normal for others) and `accepted`.
+
+    Requests go through the dedupe; other tasks are always taken.
+    """
+    rows = tasks.withColumns({"queue": F.when(F.array_contains("families", "Request"), "request").otherwise("normal"), "_own": F.monotonically_increasing_id()})
+    is_request = F.col("queue") == "request"
+    least = F.struct(*(order or ("seq",)), "_own")
+    filtered = is_request & ~F.coalesce(F.col("dont_filter"), F.lit(False))
+    first = rows.where(filtered).groupBy("fingerprint").agg(F.min(least).alias("_first"))
+    if seen is not None:
+        first = unseen(first, seen)
+    rows = rows.join(first, "fingerprint", "left")
+    return rows.withColumn("accepted", ~filtered | F.coalesce(least == F.col("_first"), F.lit(False))).drop("_own", "_first").select(*tasks.columns, "queue", "accepted")
+
+
 def score(priority: Column | str = "priority", exetime: Column | str = "exetime") -> Column:
     """Larger comes first: priority above all, then the earlier time."""
     p, t = (F.col(c) if isinstance(c, str) else c for c in (priority, exetime))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.functions.html import Node, compile_css, css, css_nodes, parse, xpath
+from webloom.functions.html import Node, bound, compile_css, css, css_nodes, parse, xpath, xpath_nodes
 from webloom.functions.processors import Processor, processor
 
 Rule = str | list
@@ -27,7 +27,8 @@ Rule = str | list
 class ItemSpec:
     """Rules by field.
 
-    inline: field to another spec, whose divider makes it an array.  extra_from_meta: keys of the page's meta that
+    inline: field to another spec, whose divider makes it an array.  default: values, or functions without arguments
+    that give one for each item.  extra_from_meta: keys of the page's meta that
     replace extra fields or are added to them as texts; True: those that extra has.
     """
 
@@ -107,6 +108,7 @@ class ItemSpec:
 
 
 def _type_of(value: Any) -> T.DataType:
+    value = value() if callable(value) else value
     if isinstance(value, bool):
         return T.BooleanType()
     if isinstance(value, int):
@@ -133,45 +135,63 @@ def _regex_all(scope: Node, pattern: str) -> list[str]:
 _FINDERS = {"css": css, "xpath": xpath, "re": _regex_all}
 
 
-def take(scope: Node, spec: dict) -> dict:
-    """The fields of one item. Later kinds overwrite earlier ones, also with nothing."""
+def _variables(spec: dict) -> bool:
+    """Whether a path has variables."""
+    return any("$" in _bracketed(r)[0] for r in spec["xpath"].values()) or any(map(_variables, spec["inline"].values()))
+
+
+def take(scope: Node, spec: dict, variables: dict[str, str] | None = None) -> dict:
+    """The fields of one item. Later kinds overwrite earlier ones, also with nothing. variables: those of paths, as $name."""
     out = dict(spec["extra"])
     for k, inner in spec["inline"].items():
-        parts = [take(s, inner) for s in scopes(scope, inner["divider"])]
+        parts = [take(s, inner, variables) for s in scopes(scope, inner["divider"])]
         out[k] = parts if inner["divider"] else parts[0]
-    out |= {k: v for k, v in spec["default"].items() if k not in spec["extra"]}
+    out |= {k: v() if callable(v) else v for k, v in spec["default"].items() if k not in spec["extra"]}
     for many in (False, True):
         for kind, find in _FINDERS.items():
             for k, rule in spec[kind].items():
                 text, all_of = _bracketed(rule)
                 if all_of == many:
-                    found = find(scope, text)
+                    found = find(scope, bound(text, variables or {}) if kind == "xpath" and "$" in text else text)
                     out[k] = found if many else found[0] if found else None
     return out
 
 
 def scopes(scope: Node, divider: str | None) -> list[Node]:
-    return css_nodes(scope, compile_css(divider)) if divider else [scope]
+    """Parts of a page: matches of a css rule, or of a path where it begins with / or ./; the whole without a divider."""
+    if not divider:
+        return [scope]
+    if divider.startswith(("/", "./")):
+        return xpath_nodes(scope, divider)
+    return css_nodes(scope, compile_css(divider))
 
 
-def taker(spec: ItemSpec, divider: str | None = None) -> Callable[[Column, Column], Column]:
-    """Column function: html (and page url, unused by plain rules) to an array of the items' structs."""
+def taker(spec: ItemSpec, divider: str | None = None) -> Callable[..., Column]:
+    """Column function: html (and meta, whose values are the variables of paths) to an array of the items' structs."""
     plain = spec.plain()
     schema = T.ArrayType(spec.schema())
 
+    def items(text: str | None, meta: dict[str, str] | None) -> str:
+        if text is None:
+            return "[]"
+        root = parse(text)
+        return json.dumps([take(s, plain, meta) for s in scopes(root, divider or plain["divider"])], ensure_ascii=False)
+
     @F.pandas_udf(T.StringType())
     def all_of(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for html in pages:
-            out = []
-            for text in html:
-                if text is None:
-                    out.append("[]")
-                    continue
-                root = parse(text)
-                out.append(json.dumps([take(s, plain) for s in scopes(root, divider or plain["divider"])], ensure_ascii=False))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([items(text, None) for text in html], dtype=object)
+
+    @F.pandas_udf(T.StringType())
+    def all_with(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for html, meta in pages:
+            yield pd.Series([items(text, json.loads(m) if m else {}) for text, m in zip(html, meta, strict=True)], dtype=object)
+
+    def column(html: Column, meta: Column | None = None) -> Column:
+        found = all_with(html, F.to_json(meta)) if meta is not None and _variables(plain) else all_of(html)
+        return F.from_json(found, schema)
 
-    return lambda html: F.from_json(all_of(html), schema)
+    return column
 
 
 def spawn(pages: DataFrame, spec: ItemSpec, divider: str | None = None, html: str = "html", keep: list[str] | None = None, meta: str | None = None) -> DataFrame:
@@ -181,7 +201,7 @@ def spawn(pages: DataFrame, spec: ItemSpec, divider: str | None = None, html: st
     the names of fields that are absent.  All rules of a page run in one Arrow function, on the html alone.
     """
     keep = [c for c in pages.columns if c != html] if keep is None else keep
-    items = pages.select(*keep, taker(spec, divider)(F.col(html)).alias("_items"))
+    items = pages.select(*keep, taker(spec, divider)(F.col(html), F.col(meta) if meta else None).alias("_items"))
     # outer, as the plain form has the optimizer parse pages twice, to leave out those without items before
     rows = items.select(*keep, F.posexplode_outer("_items").alias("item_pos", "item")).where(F.col("item_pos").isNotNull())
     if meta:
@@ -194,13 +214,15 @@ def spawn(pages: DataFrame, spec: ItemSpec, divider: str | None = None, html: st
 def process(rows: DataFrame, steps: dict[str, list[str | Processor]], item: str = "item") -> DataFrame:
     """Run the processors of each field; fields that go are named in _dropped, rows that go are filtered.
 
-    All fields are computed from the item as it came, in one projection.
+    All fields are computed from the item as it came, in one projection.  "a>b" as a name: what the processors make of
+    field a goes to field b, which is absent where they drop it; a stays.
     """
     values: dict[str, Column] = {}
     absent: dict[str, Column] = {}
     gone = F.lit(False)
     for name, fs in steps.items():
-        value = F.col(item)[name]
+        source, _, target = name.partition(">")
+        value, name = F.col(item)[source], target or source  # noqa: PLW2901
         for f in map(processor, fs):
             if hasattr(f, "drops"):
                 absent[name] = absent.get(name, F.lit(False)) | f.drops(value)
@@ -217,7 +239,13 @@ def process(rows: DataFrame, steps: dict[str, list[str | Processor]], item: str
 
 
 def to_json(item: Column | str = "item", dropped: Column | str = "_dropped") -> Column:
-    """The item as JSON: null fields are written, dropped ones are not."""
+    """The item as JSON: null fields are written, dropped ones are not.
+
+    Where fields were dropped the text is read as a map of its outermost fields, so names inside of nested items and
+    texts are not touched.
+    """
     item, dropped = (F.col(c) if isinstance(c, str) else c for c in (item, dropped))
     text = F.to_json(item, {"ignoreNullFields": "false"})
-    return F.aggregate(dropped, text, lambda t, name: F.regexp_replace(F.regexp_replace(t, F.concat(F.lit(r'(?<=[{,])"'), name, F.lit('":null,?')), F.lit("")), F.lit(r",}$"), F.lit("}")))
+    fields = F.from_json(text, "map<string,variant>")
+    rest = F.to_json(F.map_filter(fields, lambda k, _: ~F.array_contains(dropped, k)), {"ignoreNullFields": "false"})
+    return F.when(F.size(dropped) > 0, rest).otherwise(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators.items import ItemSpec, Rule, spawn
 from webloom.operators.links import page_links
-from webloom.plans.crawl import Crawl, Result, seeds
+from webloom.plans.crawl import Crawl, Result, _only, seeds
 from webloom.plans.service import Service
 from webloom.plans.settings import Settings
 from webloom.sources import sinks
@@ -37,6 +37,7 @@ class ChainItem:
         return self
 
     def store(self) -> ChainItem:
+        """Keep the items of this family for Result.storage."""
         self.spec.store = True
         return self
 
@@ -88,18 +89,24 @@ class ChainRequest:
     """Requests, and what is done with their responses."""
 
     def __init__(self, *urls: str) -> None:
-        self.urls = list(urls)
+        self.urls: list[tuple[str, str]] = [(u, "GET") for u in urls]
+        self.rows: DataFrame | None = None
         self.options: dict[str, Any] = {}
         self.steps: list[tuple[str, dict]] = []
         self.custom: list[Callable[[DataFrame], dict[str, DataFrame]]] = []
 
     def get(self, *urls: str) -> ChainRequest:
-        self.urls += urls
+        self.urls += [(u, "GET") for u in urls]
         return self
 
     def request(self, url: str, method: str = "GET") -> ChainRequest:
-        self.urls.append(url)
-        self.options["method"] = method
+        """A url with its method; those of get have GET."""
+        self.urls.append((url, method))
+        return self
+
+    def table(self, rows: DataFrame) -> ChainRequest:
+        """First requests from a table with url, and any other columns of the frontier."""
+        self.rows = rows
         return self
 
     def meta(self, **values: str) -> ChainRequest:
@@ -122,8 +129,9 @@ class ChainRequest:
 
     add_callback = callback
 
-    def spawn(self, item: ChainItem, divider: str | None = None, allowed: list[int] | None = None) -> ChainRequest:
-        """Items from responses with these statuses (200 unless told otherwise)."""
+    def spawn(self, item: ChainItem, divider: str | None = None, allowed: list[int] | None = None, xpath: str | None = None) -> ChainRequest:
+        """Items from responses with these statuses (200 unless told otherwise), one for each match of divider, a css rule, or of xpath."""
+        divider = divider or (xpath if xpath is None or xpath.startswith(("/", "./")) else f"./{xpath}")
         self.steps.append(("spawn", {"item": item, "divider": divider, "allowed": [200] if allowed is None else allowed}))
         return self
 
@@ -193,7 +201,10 @@ class ChainCrawler:
 
         start = None
         for r in self.requests:
-            own = seeds(spark, list(dict.fromkeys(r.urls)), callback=lower(r), **{k: v for k, v in r.options.items() if k != "method"})
+            urls = spark.createDataFrame([(i, *x) for i, x in enumerate(dict.fromkeys(r.urls))], "seq long, url string, method string")
+            own = seeds(spark, urls, callback=lower(r), **r.options)
+            if r.rows is not None:
+                own = own.unionByName(seeds(spark, r.rows, callback=lower(r), **r.options))
             start = own if start is None else start.unionByName(own)
         if start is None:
             raise ValueError("no requests")
@@ -203,6 +214,7 @@ class ChainCrawler:
         """Crawl the archive, and hand the items of each family to its sinks."""
         crawl, start, items = self.lowered(archive)
         result = crawl.run(start, folder)
+        result.stores = {i.spec.name: i.spec.schema().simpleString() for i in items if i.spec.store}
         for item in {id(i): i for i in items}.values():
             for sink in item.sinks:
                 rows = result.items_of(item.spec.schema().simpleString(), item.spec.name)
@@ -227,9 +239,9 @@ class _StagedCrawl(Crawl):
         super().__init__(archive, settings=settings)
         self.stages = stages
 
-    def _outputs(self, responses: DataFrame):
+    def _steps(self) -> Iterator[Callable]:
         for name, f in self.stages.values():
-            yield f(responses.where(F.col("ok") & (F.col("callback") == name)))
+            yield _only(f, F.col("callback") == name)
 
 
 def _spawner(step: dict) -> Callable[[DataFrame], dict[str, DataFrame]]:

@@ -10,8 +10,12 @@ from webloom.operators.middleware import merge_settings
 
 @dataclass(frozen=True)
 class Settings:
+    """max_hops: most hops of one call of run, None for as many as it takes. until: the time (in seconds of the crawl) up to which
+    recrawls go on; None: they stay pending, and a run ends when nothing else is left."""
+
     max_tries: int = 3
-    max_hops: int = 10
+    max_hops: int | None = None
+    until: float | None = None
     batch: int = 0
     max_requests_per_host: int | None = None
     max_requests_special_host: dict[str, int] = field(default_factory=dict)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import canonical_url, decode_leniently
+from webloom.sources.shared import append, exists, shared_dir
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -20,11 +23,17 @@ def fetch(requests: DataFrame, archive: DataFrame, url: str = "url", html: str =
     have a `status` column (200 otherwise).
     """
     columns = archive.columns
-    got = archive.select(canonical_url(url).alias("_canonical"), F.col(html).alias("html"), (F.col("status").cast("int") if "status" in columns else F.lit(200)).alias("_status"), (F.col("page_id") if "page_id" in columns else F.lit(0)).alias("_id"))
-    latest = got.groupBy("_canonical").agg(F.max_by(F.struct("html", "_status"), "_id").alias("_page"))
-    out = requests.withColumn("_canonical", canonical_url(url)).join(latest, "_canonical", "left").drop("_canonical")
-    found = F.coalesce(F.col("_page._status"), F.lit(404)) if status is None else status
-    return out.withColumns({"status": found, "html": F.col("_page.html")}).drop("_page")
+    rows = requests.withColumn("_canonical", canonical_url(url))
+    slim = archive.select(canonical_url(url).alias("_canonical"), (F.col("page_id") if "page_id" in columns else F.lit(0)).cast("long").alias("_id"))
+    pages = archive.select(*(c.alias(n) for n, c in {"_canonical": canonical_url(url), "_id": F.col("page_id").cast("long") if "page_id" in columns else F.lit(0).cast("long"), "_html": F.col(html), "_status": F.col("status").cast("int") if "status" in columns else F.lit(200)}.items()))
+    # the page that counts is found among those asked for, by urls and ids alone. That table is written, so its size is
+    # known: under the broadcast threshold no html moves before the join, beyond it the batch is in proportion to the archive
+    latest = slim.join(rows.select("_canonical").distinct(), "_canonical", "left_semi").groupBy("_canonical").agg(F.max(F.coalesce("_id", F.lit(-(2**63)))).alias("_id"))
+    latest = append(latest, f"{shared_dir(requests.sparkSession)}/webloom-fetch-{uuid.uuid4().hex}")
+    mine = pages.withColumn("_id", F.coalesce("_id", F.lit(-(2**63)))).join(latest, ["_canonical", "_id"], "left_semi").dropDuplicates(["_canonical"])
+    out = rows.join(mine, "_canonical", "left").drop("_canonical", "_id")
+    found = F.coalesce(F.col("_status"), F.lit(404)) if status is None else status
+    return out.withColumns({"status": found, "html": F.col("_html")}).drop("_status", "_html")
 
 
 def send(spark: SparkSession, url: str, archive: DataFrame) -> DataFrame:
@@ -51,6 +60,17 @@ def seed_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("text").load(folder).select(F.trim("value").alias("url")).where("url <> ''")
 
 
+def fresh_seeds(spark: SparkSession, folder: str, state: str) -> DataFrame:
+    """All urls that have come so far; a call reads only the files that are new since the last with this state folder.
+
+    A crawl's dedupe leaves out those it has had.
+    """
+    path = f"{state}/urls"
+    query = seed_stream(spark, folder).select(F.col("url").alias("value")).writeStream.format("text").option("path", path)
+    query.option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.text(path).select(F.col("value").alias("url")).distinct() if exists(spark, path) else spark.createDataFrame([], "url string")
+
+
 def push_seeds(spark: SparkSession, urls: list[str], folder: str) -> None:
     """Add urls to the folder of a seed stream; a url counts once in a call."""
     spark.createDataFrame([(u,) for u in urls], "value string").distinct().write.mode("append").text(folder)
@@ -70,8 +90,6 @@ def file_name(url: Column | str, fname: Column | str | None = None) -> Column:
 def not_there_yet(requests: DataFrame, folder: str, name: str = "file_name") -> DataFrame:
     """Requests whose file isn't in the folder; contents aren't read."""
     spark = requests.sparkSession
-    from webloom.sources.shared import exists
-
     if not exists(spark, folder):
         return requests
     there = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias(name))

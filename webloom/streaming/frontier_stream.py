@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -39,32 +40,27 @@ class Gate(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "due_ms long, task string")
+        self.held = handle.getMapState("held", "due_ms long", "tasks array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentProcessingTimeInMs()
         for part in rows:
-            due = (part["exetime"] * 1000).astype("int64")
+            due = (part["exetime"].fillna(0) * 1000).astype("int64")  # a task without a time is due
             ready = part[due <= now]
             if len(ready):
                 yield pd.DataFrame({"host": key[0], "task": ready["task"]})
-            later = part[due > now]
-            for at, task in zip(due[due > now].tolist(), later["task"].tolist(), strict=True):
-                self.held.appendValue((at, task))
-            for at in sorted(set(due[due > now].tolist())):
-                self.handle.registerTimer(at)
+            later = due > now
+            for at, tasks in part[later].groupby(due[later])["task"]:
+                known = list(self.held.getValue((int(at),))[0]) if self.held.containsKey((int(at),)) else []
+                self.held.updateValue((int(at),), (known + tasks.tolist(),))
+                self.handle.registerTimer(int(at))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = list(self.held.get())
-        ready = [t for at, t in held if at <= now]
-        rest = [(at, t) for at, t in held if at > now]
-        if rest:
-            self.held.put(rest)
-        else:
-            self.held.clear()
-        if ready:
-            yield pd.DataFrame({"host": key[0], "task": ready})
+        at = (expiredTimerInfo.getExpiryTimeInMs(),)
+        if self.held.containsKey(at):  # only what falls due at this time is read
+            tasks = list(self.held.getValue(at)[0])
+            self.held.removeKey(at)
+            yield pd.DataFrame({"host": key[0], "task": tasks})
 
     def close(self) -> None:
         pass
@@ -112,14 +108,23 @@ def debounce(stream: DataFrame, ttl: float) -> DataFrame:
     return stream.select("token", "ts", "ok").groupBy("token").transformWithStateInPandas(statefulProcessor=Debounce(ttl), outputStructType="token string, ts double, ok boolean", outputMode="Append", timeMode="None")
 
 
-def debounce_batch(signals: DataFrame, ttl: float) -> DataFrame:
-    """The same over a table: a fold over the signals of each token, in the JVM."""
-    ordered = signals.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("ts", "ok"))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<ts:double,ok:boolean>>").alias("out"))
+def _debounced(ttl: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, last = object(), None
+        for batch in batches:
+            passed = []
+            for row, (own, ts, ok) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if own != token:
+                    token, last = own, None
+                if last is None or ts - last >= ttl:
+                    passed.append(row)
+                    last = ts if ok else last
+            yield batch.take(pa.array(passed, pa.int64()))
 
-    def step(a, x):
-        passes = a["last"].isNull() | (x["ts"] - a["last"] >= ttl)
-        last = F.when(passes & x["ok"], x["ts"]).otherwise(a["last"])
-        return F.struct(last.alias("last"), F.when(passes, F.array_append(a["out"], x)).otherwise(a["out"]).alias("out"))
+    return run
 
-    return ordered.select("token", F.inline(F.aggregate("s", start, step)["out"]))
+
+def debounce_batch(signals: DataFrame, ttl: float) -> DataFrame:
+    """The same over a table: a fold over the sorted signals of each token, which holds one number at a time."""
+    rows = signals.select("token", F.col("ts").cast("double").alias("ts"), F.coalesce("ok", F.lit(False)).alias("ok")).repartition("token").sortWithinPartitions("token", "ts", "ok")
+    return rows.mapInArrow(_debounced(ttl), rows.schema)
