@@ -109,6 +109,31 @@ def op5(text):
     return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(again), n < 10 or 100 * len(again) > 20 * n)
 
 
+def mcd(x, floors, share, median):
+    """Squared distances by a plain minimum-covariance-determinant estimate: subsets of exact size, until they stay the same."""
+    import numpy as np
+
+    n, p = x.shape
+    h = int(np.ceil(n * share))
+    middle = np.sort(x, axis=0)[(n - 1) // 2]
+    off = np.abs(x - middle)
+    scaled = off / np.maximum(1.4826 * np.sort(off, axis=0)[(n - 1) // 2], floors)
+    best = None
+    for order in ((scaled**2).sum(1), scaled.max(1), scaled.sum(1)):
+        chosen = np.argsort(order, kind="stable")[:h]
+        while True:
+            mean = x[chosen].mean(0)
+            spread = np.cov(x[chosen].T, bias=True).reshape(p, p) + np.diag(np.square(floors))
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(spread), x - mean)
+            again = np.argsort(d2, kind="stable")[:h]
+            if set(again) == set(chosen):
+                break
+            chosen = again
+        if best is None or np.linalg.det(spread) < best[0]:
+            best = (np.linalg.det(spread), d2)
+    return best[1] / np.sort(best[1])[(n - 1) // 2] * median
+
+
 def fingerprint(text):
     import xxhash
 

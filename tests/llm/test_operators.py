@@ -3,6 +3,7 @@ import functools
 import hashlib
 import io
 import itertools
+import json
 import random
 import time
 import zlib
@@ -158,6 +159,37 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[1000 + i] for i in range(12)) and kept[2000]
 
 
+def features_of(text):
+    n, chars, symbols, _, _, distinct, capitals, punctuation = quality.counts(text.encode())
+    return [np.log(chars / n), np.sqrt(symbols / chars), np.log(distinct / n), np.sqrt(capitals / chars), np.sqrt(punctuation / chars)]
+
+
+def test_distances_are_those_of_a_plain_estimate(spark):
+    """Groups of their own, with outliers and with many ties; a group's distances agree with the plain estimate, and so do verdicts."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    rows = []
+    for i in range(360):
+        words = [word() for _ in range(r.randrange(40, 90))]
+        text = " ".join(words).capitalize() + "." * r.randrange(3)
+        if i % 31 == 7:
+            text = " ".join(w.upper() + "#$" for w in words)
+        rows.append((i, text, "en", f"s{i % 3}"))
+    rows += [(1000 + i, rows[0][1], "en", "s0") for i in range(90)]
+    found = {x.doc_id: x for x in quality.assess(docs(spark, rows)).collect()}
+    for source in ("s0", "s1", "s2"):
+        mine = [x for x in rows if x[3] == source and not found[x[0]].base_failed]
+        assert {found[x[0]].group for x in mine} == {json.dumps({"lang": "en", "source": source}, separators=(",", ":"))}
+        words = np.array([len(x[1].split()) for x in mine])
+        plain = np.sqrt(brute.mcd(np.array([features_of(x[1]) for x in mine]), np.array(quality.FLOORS), quality.SHARE, quality.MEDIAN) * words / (words + quality.SHORT))
+        own = np.array([found[x[0]].distance for x in mine])
+        assert np.abs(np.log(own / plain)).max() < 0.15
+        assert [bool(found[x[0]].kept) for x in mine] == (plain <= quality.CUT).tolist()
+        assert 0 < (plain > quality.CUT).sum() < 20
+    small = quality.assess(docs(spark, rows), least_rows=500).collect()
+    assert {x.group for x in small if not x.base_failed} == {None}
+
+
 # 6
 
 

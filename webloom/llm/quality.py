@@ -3,8 +3,8 @@
 Counts of each text give a base verdict and a vector of transformed statistics.
 For each language and source, means and covariances are estimated by concentration
 steps over all rows: distances, the three quarters of rows that are nearest, their
-means and covariances, again.  Of three starts the one that ends with the least
-determinant counts.  Texts far from the estimate go.
+means and covariances, again until no determinant moves.  Of three starts the one
+that ends with the least determinant counts.  Texts far from the estimate go.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ FEATURES = ("f_length", "f_symbols", "f_distinct", "f_capitals", "f_punctuation"
 FLOORS = (0.02, 0.03, 0.05, 0.02, 0.02)
 #: Median of the chi-square distribution with five degrees of freedom.
 MEDIAN = 4.3515
-#: Share of rows that an estimate rests on, steps, rows a group needs (else it joins the rest of its
-#: language, then of all), and the distance from which on texts go.
-SHARE, STEPS, LEAST_ROWS, CUT = 0.75, 4, 40, 13.0
+#: Share of rows that an estimate rests on, most steps, the change of a determinant's logarithm that counts as none, rows a
+#: group needs (else it joins the rest of its language, then of all), and the distance from which on texts go. That is far
+#: beyond any quantile of the chi-square distribution, as statistics of clean texts have heavier tails than a normal one.
+SHARE, STEPS, STILL, LEAST_ROWS, CUT = 0.75, 20, 0.01, 40, 13.0
 #: Distances of short texts shrink by words / (words + SHORT).
 SHORT = 20
-_BINS = 16.0
+#: Distances are counted in bins, so many to a factor of e.
+_BINS = 64.0
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -122,26 +124,35 @@ def _distance() -> Column:
 
 
 def _quantile(rows: DataFrame, share: float) -> DataFrame:
-    """(g, bin) of the share-quantile of d2, from a histogram with bins of equal ratio: the same whatever the partitions."""
+    """(g, limit, part): the bin of d2 in which that share of the rows is reached, and which part of the bin's rows it takes.
+
+    From a histogram, so it is the same whatever the partitions.  Rows of one bin are ties: each counts for the same part.
+    """
     bins = rows.groupBy("g", "bin").agg(F.count("*").alias("n"))
     over = bins.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("rows"))
-    step = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1000).alias("bin")), lambda a, x: F.when(a["seen"] >= F.col("rows") * share, a).otherwise(F.struct((a["seen"] + x["n"]).alias("seen"), x["bin"].alias("bin"))))
-    return over.select("g", step["bin"].alias("limit"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1000).alias("bin"), F.lit(0.0).alias("part"))
+    target = F.col("rows") * share
+
+    def step(a: Column, x: Column) -> Column:
+        return F.when(a["seen"] >= target, a).otherwise(F.struct((a["seen"] + x["n"]).alias("seen"), x["bin"].alias("bin"), F.least(F.lit(1.0), (target - a["seen"]) / x["n"]).alias("part")))
+
+    found = F.aggregate("bins", start, step)
+    return over.select("g", found["bin"].alias("limit"), found["part"].alias("part"))
 
 
 def _bin() -> Column:
     return F.floor(F.log(F.least(F.col("d2"), F.lit(1e12)) + 1e-6) * _BINS).cast("int").alias("bin")
 
 
-def _groups(stats: DataFrame) -> DataFrame:
+def _groups(stats: DataFrame, least_rows: int) -> DataFrame:
     """(lang, source, g): the group that each language and source belongs to, null where even all small ones are too few."""
     each = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
     each = spool(each, "groups")
-    small = each.where(F.col("n") < LEAST_ROWS).groupBy("lang").agg(F.sum("n").alias("rest"))
-    others = small.where(F.col("rest") < LEAST_ROWS).agg(F.sum("rest")).first()[0] or 0
+    small = each.where(F.col("n") < least_rows).groupBy("lang").agg(F.sum("n").alias("rest"))
+    others = small.where(F.col("rest") < least_rows).agg(F.sum("rest")).first()[0] or 0
     joined = each.join(small.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
     name = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-    g = F.when(F.col("n") >= LEAST_ROWS, name).when(F.col("rest") >= LEAST_ROWS, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).when(F.lit(others >= LEAST_ROWS), F.lit("others"))
+    g = F.when(F.col("n") >= least_rows, name).when(F.col("rest") >= least_rows, F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})).when(F.lit(others >= least_rows), F.lit("others"))
     return spool(joined.select("lang", "source", g.alias("g")), "names")
 
 
@@ -150,13 +161,13 @@ def _with_groups(stats: DataFrame, groups: DataFrame, how: str = "inner") -> Dat
     return stats.join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), how).drop("l", "s")
 
 
-def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cut: float = CUT) -> DataFrame:
+def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cut: float = CUT, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Counts and verdict of each text.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance
-    (null for texts that fail the base rules and for groups with too few rows), doc and digest (the row's
-    key), a row for each input row.  Estimates rest on the texts that pass the base rules.  Null text has no
-    words and fails; null languages and sources are groups like any other.  A group under LEAST_ROWS rows
+    (null for texts that fail the base rules and for groups with too few rows), group (what the estimate rests on: a
+    language and source, a language, all others, or null), doc and digest (the row's key), a row for each input row.  Estimates rest on the texts that pass the base rules.  Null text has no
+    words and fails; null languages and sources are groups like any other.  A group under least_rows rows
     joins the small ones of its language, then those of all languages; where these are too few, only the base
     rules decide.  Other columns are not read.
     """
@@ -166,11 +177,12 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = spool(stats.withColumn("base_failed", failed), "statistics")
     good = stats.where(~F.col("base_failed"))
-    groups = _groups(good)
+    groups = _groups(good, least_rows)
     grouped = _with_groups(good.select("lang", "source", *FEATURES), groups).where(F.col("g").isNotNull()).drop("lang", "source")
 
     def estimated(rows: DataFrame) -> DataFrame:
-        sums = rows.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(f) for f in FEATURES)).alias("sums"), F.array(*(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in _PAIRS)).alias("products"))
+        w = F.col("weight")
+        sums = rows.groupBy("g").agg(F.sum(w).alias("n"), F.array(*(F.sum(w * F.col(f)) for f in FEATURES)).alias("sums"), F.array(*(F.sum(w * F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in _PAIRS)).alias("products"))
         return spool(sums.mapInArrow(_estimates, _ESTIMATE), "estimates")
 
     # medians and deviations from them, feature by feature, give a first ordering by each of three norms
@@ -183,18 +195,23 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     measured = measured.withColumn("g", F.concat_ws("#", "start", "name")).select("g", *FEATURES, "d2", _bin())
     starts = grouped.select(F.col("g").alias("name"), *FEATURES, F.explode(F.array(*map(F.lit, range(3)))).alias("start"))
     starts = starts.withColumn("g", F.concat_ws("#", "start", "name")).select("g", *FEATURES)
-    for step in range(STEPS):
+    estimate = None
+    for _ in range(STEPS):
         limit = spool(_quantile(measured, SHARE), "limit")
-        estimate = estimated(measured.join(limit, "g").where(F.col("bin") <= F.col("limit")))
-        if step + 1 < STEPS:
-            measured = starts.join(estimate, "g").withColumn("d2", _distance()).select("g", *FEATURES, "d2", _bin())
+        weight = F.when(F.col("bin") < F.col("limit"), 1.0).otherwise(F.col("part"))
+        before, estimate = estimate, estimated(measured.join(limit, "g").where(F.col("bin") <= F.col("limit")).withColumn("weight", weight))
+        if before is not None:
+            old = before.select("g", F.col("determinant").alias("old"))
+            if estimate.join(old, "g").where(F.abs(F.log(F.col("determinant") / F.col("old"))) > STILL).isEmpty():
+                break
+        measured = starts.join(estimate, "g").withColumn("d2", _distance()).select("g", *FEATURES, "d2", _bin())
     # of the three estimates of a group that with the least determinant counts
     best = estimate.groupBy(F.expr("substr(g, 3)").alias("g")).agg(F.min_by(F.struct("mean", "inverse"), "determinant").alias("e"))
     estimate = spool(best.select("g", "e.mean", "e.inverse"), "estimate")
     measured = grouped.join(estimate, "g").withColumn("d2", _distance()).select("g", "d2", _bin())
-    half = spool(_quantile(measured, 0.5).select("g", F.exp((F.col("limit") + 1) / _BINS).alias("half")).join(estimate, "g"), "final")
+    half = spool(_quantile(measured, 0.5).select("g", F.exp((F.col("limit") + F.col("part")) / _BINS).alias("half")).join(estimate, "g"), "final")
     scored = _with_groups(stats, groups, "left").join(half, "g", "left")
     d2 = _distance() / F.col("half") * MEDIAN * F.col("n_words") / (F.col("n_words") + SHORT)
     scored = scored.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(d2)))
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cut))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "doc", "digest")
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", F.col("g").alias("group"), "doc", "digest")
