@@ -130,6 +130,8 @@ def test_personal_data(spark):
         want.append((d, n["email"], n["ip"], n["card"], n["phone"], brute.sha(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode())))
     assert found == sorted(want, key=repr)
     assert pii.find_personal_data(docs(spark, [])).collect() == []
+    more = pii.find_personal_data(docs(spark, [(1, "SSN 123-45-6789, token = 24be64439e3e49cf46b2d7c90f3602a3 and ftp://joe:pw@host.example/a")])).first()
+    assert (more.n_ssn, more.n_secret, more.n_url, more.n_iban) == (1, 1, 1, 0)
 
 
 # 5

@@ -243,19 +243,20 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = spans(body.as_py().decode("utf-8", "replace"))
             base = [s for s in found if s[3]]
             count = {k: sum(s[2] == k for s in base) for k in KINDS[:4]}
-            rows.append((doc.as_py(), *count.values(), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64()] * 5 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            more = {k: sum(s[2] == k for s in found) for k in KINDS[4:]}
+            rows.append((doc.as_py(), *count.values(), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found), *more.values()))
+        columns = list(zip(*rows, strict=True)) or [()] * 11
+        kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", *(f"n_{k}" for k in KINDS[4:])])
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Personal data in every text.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (all, as
-    kind:start:end in code points, end exclusive, by start and kind), a row for each input row.
+    kind:start:end in code points, end exclusive, by start and kind), n_url, n_secret, n_iban and n_ssn, a row for each input row, rows that repeat included.
     Beyond the four base kinds: url (an address with a user name), secret, iban and ssn, each
-    after its cue and checked.  Null text is empty: no spans.  Other columns are not read.
+    after its cue and checked.  Null text is empty: no spans; an empty table gives no rows.  Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("body"))
-    return rows.mapInArrow(_search, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(_search, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS[4:]))
