@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents, whatever these are beside doc_id, text, lang and source.
+
+Rows are known by id and 128 bits of a digest of id and text, so rows that repeat both fare alike, and null ids or
+equal ids with different texts don't mix.  Null texts are empty, null languages and sources are values like any other,
+and an empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -38,12 +42,12 @@ def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the outlier test keep."""
+    """Documents that the base rules and the outlier test keep. Empty and null texts fail; rows that repeat stay or go together."""
     return _joined(docs, assess(docs).where(~F.col("kept")), "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on many sites; n_chars follows the text. A text may end up empty."""
+    """All documents, without lines that stand on many sites; n_chars follows the text. A text may end up empty; a null one stays null."""
     rows, _, _ = remove_boilerplate(docs)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -51,7 +55,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest doc_id; of rows that repeat it, one."""
+    """One document of each component: that with the smallest doc_id (a null one is the largest); of rows that repeat it, one.
+
+    Of rows with that id and different texts that with the smallest digest stays.
+    """
     keepers = near_duplicates(docs).where("keeper")
     rows, one, two = _keyed(_joined(docs, keepers, "left_semi"))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -62,13 +69,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs. Texts without words stay; rows that repeat stay or go together."""
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _joined(docs, found.where("contaminated"), "left_anti")
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text (unsigned 32-bit, little-endian), their number, and digests of ids and of the decoded text."""
+    """Ids of each text (unsigned 32-bit, little-endian), their number, and digests of ids and of the decoded text; a row for each document."""
     return encode(docs, *tokenizer())
 
 
