@@ -11,7 +11,7 @@ from webloom.llm import packets, substring_dedup, suffix_dedup
 from webloom.llm.common import row_keys
 from webloom.llm.line_dedup import remove_boilerplate
 from webloom.llm.substring_dedup import remove_repeated_windows
-from webloom.llm.suffix_dedup import remove_repeated_bytes, suffix_order
+from webloom.llm.suffix_dedup import remove_repeated_bytes
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("bucket", T.IntegerType())])
 
@@ -31,18 +31,26 @@ def fixture_rows(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 6, 7, 8, 9, 50, 331, 2000])
 @pytest.mark.parametrize("letters", [1, 2, 5])
-def test_suffix_order_is_sorted(n, letters):
-    data = np.random.default_rng(n + letters).integers(1, letters + 1, n)
-    if not n:
-        return
-    order = suffix_order(data, 10**9)
-    assert order.tolist() == sorted(range(n), key=lambda i: data[i:].tolist())
-    short = suffix_order(data, 50)
-    assert sorted(short.tolist()) == list(range(n))
-    cut = [data[i : i + 50].tolist() for i in short.tolist()]
-    assert cut == sorted(cut)
+@pytest.mark.parametrize("n", [0, 1, 49, 50, 51, 60, 400])
+def test_levels_rank_all_strings_of_fifty_bytes(n, letters):
+    """The four sorts one after the other, without a cluster: ranks of all 50-byte strings are those of their contents."""
+    r = random.Random(n + letters)
+    text = lambda k: bytes(r.choice(b"\x00ab\xffz"[:letters]) for _ in range(k))
+    strings = [text(r.randrange(n + 1)) for _ in range(12)] + [text(n)]
+    strings += [x[r.randrange(9) :] for x in strings]
+    number = np.arange(len(strings))
+    seg = suffix_dedup.Segments(number, number, number, number, strings)
+    names = np.zeros(len(seg.data), np.int64)
+    for level in (suffix_dedup.Triples(), suffix_dedup.Bottom(), suffix_dedup.Sample(), suffix_dedup.Text()):
+        at, fields = level.keys(seg, names)
+        order, rank = level.order(fields)
+        content = [seg.raw[i : i + level.depth] for i in at.tolist()]
+        place = {c: i for i, c in enumerate(sorted(set(content)))}
+        assert rank.tolist() == [place[c] for c in content]
+        assert (np.diff(rank[order]) >= 0).all()
+        names = np.zeros(len(seg.data), np.int64)
+        names[at] = rank
 
 
 def run(spark, rows, f, columns):
@@ -79,7 +87,7 @@ def found_by_packets(module, rows, width, most):
     return {r["doc"]: int(np.subtract(*packets.union_of(r["spans"])[::-1]).sum()) for r in found}, levels
 
 
-@pytest.mark.parametrize(("module", "width", "plain"), [(suffix_dedup, 50, brute.op1), (substring_dedup, 13, brute.op3)])
+@pytest.mark.parametrize(("module", "width", "plain"), [(substring_dedup, 13, brute.op3)])
 @pytest.mark.parametrize("most", [10**9, 3000, 500])
 def test_small_blocks_and_large_buckets(monkeypatch, module, width, plain, most):
     """The steps without Spark: texts in small pieces, chunks of a few strings, one bucket that is cut again."""
@@ -95,14 +103,26 @@ def test_small_blocks_and_large_buckets(monkeypatch, module, width, plain, most)
     assert levels == (1 if most > 10**6 else 3)
 
 
-@pytest.mark.parametrize(("f", "plain", "columns"), [(remove_repeated_bytes, brute.op1, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]), (remove_repeated_windows, brute.op3, ["doc_id", "n_words", "n_removed", "kept_sha256"])])
-def test_a_frequent_minimiser_with_different_neighbours(spark, f, plain, columns):
+def test_a_frequent_minimiser_with_different_neighbours(spark):
     """Half the rows have one phrase between words of their own, so their strings differ and meet in one bucket."""
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     rows = [(i, " ".join([*(word() for _ in range(9)), *(["under the terms of this licence you may"] if i % 2 else []), *(word() for _ in range(9))])) for i in range(300)]
     rows += [(1000 + i, rows[i][1]) for i in range(0, 300, 29)]
-    assert run(spark, rows, lambda df: f(df, most=2000), columns) == sorted(plain(rows), key=repr)
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert run(spark, rows, lambda df: remove_repeated_windows(df, most=2000), columns) == sorted(brute.op3(rows), key=repr)
+
+
+def test_one_passage_in_half_the_texts(spark, monkeypatch):
+    """Small blocks and ranges: a passage of 50 bytes and more is one key from each block."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 900)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 1500)
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+    passage = letters(90)
+    rows = [(i, letters(r.randrange(90)) + passage[r.randrange(30) : r.randrange(60, 91)] * (i % 2) + letters(r.randrange(60))) for i in range(120)]
+    rows += [(500 + i, rows[i * 7][1]) for i in range(12)] + [(600, "ab" * 400), (601, "ba" * 300), (602, "a" * 300)]
+    assert run(spark, rows, remove_repeated_bytes, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == sorted(brute.op1(rows), key=repr)
 
 
 def test_null_ids_and_the_largest_id(spark):
@@ -125,17 +145,17 @@ def test_long_runs_are_divided():
     assert length.sum() == 5000 and length.max() <= packets.MAX_RUN and first.tolist() == [0, 2048, 4096]
 
 
-@pytest.mark.parametrize("period", [17, 23, 29, 35])
-def test_windows_over_a_later_place_of_a_repeated_minimiser(period):
+def test_phrases_that_stand_several_times(spark):
     """One text has a phrase several times, the other only the end of it and what follows."""
-    r = random.Random(period)
-    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     rows = []
-    for i in range(60):
-        phrase, rest = letters(period), letters(60)
-        pair = [letters(30) + phrase * r.randrange(2, 5) + rest, letters(40) + (phrase * 2)[-r.randrange(16, 35) :] + rest[: r.randrange(34, 61)] + letters(30)]
-        rows += [(2 * i + j, t) for j, t in enumerate(r.sample(pair, 2))]
-    assert found_by_packets(suffix_dedup, rows, 50, None)[0] == {r[0]: r[2] for r in brute.op1(rows) if r[2]}
+    for period in (17, 23, 29, 35):
+        r = random.Random(period)
+        letters = lambda n, r=r: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        for i in range(40):
+            phrase, rest = letters(period), letters(60)
+            pair = [letters(30) + phrase * r.randrange(2, 5) + rest, letters(40) + (phrase * 2)[-r.randrange(16, 35) :] + rest[: r.randrange(34, 61)] + letters(30)]
+            rows += [(1000 * period + 2 * i + j, t) for j, t in enumerate(r.sample(pair, 2))]
+    assert run(spark, rows, remove_repeated_bytes, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == sorted(brute.op1(rows), key=repr)
 
 
 def test_rows_without_ids_whose_hashes_agree_in_31_bits(spark):

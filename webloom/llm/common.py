@@ -52,7 +52,9 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._spooled = path
+    return out
 
 
 def _drop(spark: SparkSession, name: str) -> None:
@@ -65,9 +67,18 @@ def _drop(spark: SparkSession, name: str) -> None:
 def spool_by(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     """As spool, in files by hash of a column: joins and groups by it with as many partitions need not move the rows again."""
     table = f"webloom_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).option("path", shared_path(df.sparkSession, name)).format("parquet").saveAsTable(table)
+    path = shared_path(df.sparkSession, name)
+    df.write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(table)
     atexit.register(_drop, df.sparkSession, table)
-    return df.sparkSession.table(table)
+    out = df.sparkSession.table(table)
+    out._spooled = path
+    return out
+
+
+def discard(*spooled: DataFrame) -> None:
+    """Delete what spool or spool_by wrote, once nothing reads it any more."""
+    for df in spooled:
+        _delete(df.sparkSession, df._spooled)
 
 
 def release(spark: SparkSession) -> None:
