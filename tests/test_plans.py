@@ -356,6 +356,8 @@ def test_rules_with_variables_defaults_and_targets(spark, pages):
     assert sorted((r.item.mine or "", r.item["at"], r.item.x) for r in rows) == [("", 7, "y"), ("Next", 7, "y")]
     parts = spawn(pages.where("page_id = 1"), ItemSpec("P", xpath={"t": "./text()"}), "//div/a | //span").collect()
     assert [r.item.t for r in parts] == [" Q1 ", "tag"]
+    every = spawn(pages.where("page_id = 1"), ItemSpec("P", xpath={"t": "./text()"}), lambda root: [n for n in root.walk() if n.tag == "a"]).collect()
+    assert [r.item.t for r in every] == ["tag", "Next"]
     made = spark.createDataFrame([((" a ", None, 1.5, ("x", None)),)], "item struct<x:string,t:string,n:double,inner:struct<x:string,y:string>>")
     dropped = process(made, {"x>t": ["strip"], "x": ["drop"]})
     assert json.loads(dropped.select(to_json()).first()[0]) == {"x": " a ", "t": "a", "n": 1.5, "inner": {"x": "x", "y": None}}

@@ -135,10 +135,19 @@ def jittered(delay: Column, seed: int | None = None) -> Column:
     return F.round(delay * (F.lit(0.8) + F.lit(0.4) * F.rand(seed)), 2)
 
 
-def spaced(tasks: DataFrame, delay: Column, host: str = "host") -> DataFrame:
-    """Add `start`: when each task may run if those of its host follow each other by the delay."""
-    place = F.row_number().over(Window.partitionBy(host).orderBy(*pop_order())) - 1
-    return tasks.withColumn("start", F.col("exetime") + place * delay)
+def spaced(tasks: DataFrame, delay: Column, host: str = "host", period: float = 3600.0) -> DataFrame:
+    """Add `start`: when each task may run if those of its host follow each other by the delay.
+
+    Places are counted within periods of time and priorities, and from the numbers of tasks in those before, so that the
+    tasks of a busy host are sorted in many parts.
+    """
+    rows = tasks.withColumn("_part", F.floor(F.col("exetime") / period))
+    before = Window.partitionBy(host).orderBy(F.col("priority").desc(), F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(host, "priority", "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.select(F.col(host).alias("_host"), F.col("priority").alias("_priority"), F.col("_part").alias("_at"), "_before")
+    rows = rows.join(sizes, F.col(host).eqNullSafe(F.col("_host")) & F.col("priority").eqNullSafe(F.col("_priority")) & F.col("_part").eqNullSafe(F.col("_at")))
+    place = F.row_number().over(Window.partitionBy(host, "priority", "_part").orderBy(*pop_order())) - 1 + F.col("_before")
+    return rows.withColumn("start", F.col("exetime") + place * delay).select(*tasks.columns, "start")
 
 
 def recrawls(finished: DataFrame) -> DataFrame:

@@ -157,10 +157,12 @@ def take(scope: Node, spec: dict, variables: dict[str, str] | None = None) -> di
     return out
 
 
-def scopes(scope: Node, divider: str | None) -> list[Node]:
-    """Parts of a page: matches of a css rule, or of a path where it begins with / or ./; the whole without a divider."""
+def scopes(scope: Node, divider: str | Callable[[Node], list[Node]] | None) -> list[Node]:
+    """Parts of a page: matches of a css rule, or of a path where it begins with / or ./, or what a function gives; the whole without a divider."""
     if not divider:
         return [scope]
+    if callable(divider):
+        return divider(scope)
     if divider.startswith(("/", "./")):
         return xpath_nodes(scope, divider)
     return css_nodes(scope, compile_css(divider))
