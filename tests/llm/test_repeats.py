@@ -115,8 +115,8 @@ def test_a_frequent_minimiser_with_different_neighbours(spark):
 
 def test_one_passage_in_half_the_texts(spark, monkeypatch):
     """Small blocks and ranges: a passage of 50 bytes and more is one key from each block."""
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 900)
-    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 1500)
+    monkeypatch.setattr(packets, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(packets, "STRETCH", 5)
     r = random.Random(8)
     letters = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
     passage = letters(90)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import release, row_keys, spool, utf8
+from webloom.llm.common import discard, release, row_keys, spool, utf8
 
 #: Bytes of strings that a task gathers before it sends its packets: at least the first, and as many for each bucket as
 #: a packet should have, up to the second.
@@ -29,10 +30,12 @@ CHUNK_BYTES, PACKET_BYTES, MOST_CHUNK_BYTES = 24 << 20, 8 << 10, 128 << 20
 BLOCK_BYTES = 1 << 20
 #: Raw bytes of strings meant for one bucket; one with over twice as many is cut again.
 BUCKET_BYTES = 40 << 20
+#: Stretches of a document (its starts without so many bits) that are dealt to parts on their own.
+STRETCH = 20
 #: Longest run of windows in one string.
 MAX_RUN = 2048
 
-_STRINGS, _SPANS = 0, 1
+_STRINGS, _SPANS, _LEFT = 0, 1, 2
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -198,6 +201,19 @@ def dealt(spans: Spans, parts: int) -> Iterator[pa.RecordBatch]:
         yield _row(int(part[x[0]]), _SPANS, pack([column[x] for column in spans]))
 
 
+def dealt_strings(columns: list[np.ndarray], strings: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
+    """Strings (id, digest in two halves, start) as a packed row for each part that stretches of documents are dealt to."""
+    doc, one, _, start = columns
+    if not len(doc):
+        return
+    part = (mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + one.astype(np.uint64) + mix((start >> STRETCH).astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(order)], strict=True):
+        x = order[a:b]
+        yield _row(int(part[x[0]]), _LEFT, pack([c[x] for c in columns], [strings[i] for i in x.tolist()]))
+
+
 def mapper(cut: Callable[[Iterable[tuple[int, int, int, bytes]], int], Iterator[Chunk]], buckets: int, width: int):
     """For mapInArrow over (doc, digest, body). cut: (documents, bytes of a chunk) to chunks of strings."""
     size = min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, buckets * PACKET_BYTES))
@@ -227,8 +243,12 @@ def merge_part(table: pa.Table) -> pa.Table:
 Covered = Callable[..., tuple[np.ndarray, np.ndarray]]
 
 
-def resolved(arrays: list[np.ndarray], strings: list[bytes], covered: Covered, near: Callable[..., np.ndarray] | None, width: int) -> list[Spans]:
-    """Spans of what a smaller document has too, among strings that one bucket holds."""
+def resolved(arrays: list[np.ndarray], strings: list[bytes], covered: Covered | None, near: Callable[..., np.ndarray] | None, width: int) -> tuple[list[Spans], tuple[list[np.ndarray], list[bytes]]]:
+    """(spans of what a smaller document has too, strings that are left), among strings that one bucket holds.
+
+    Without covered, what is left are the strings that can share a window with another document's and are no copies of a
+    smaller document's string.
+    """
     doc, one, two, start, windows, tag = arrays
     order = np.lexsort((doc, tag))
     first = np.flatnonzero(np.diff(tag[order], prepend=-1))
@@ -248,13 +268,16 @@ def resolved(arrays: list[np.ndarray], strings: list[bytes], covered: Covered, n
         first = np.flatnonzero(np.diff(tag[only], prepend=-1))
         several = np.minimum.reduceat(smallest[only], first) != np.maximum.reduceat(smallest[only], first)
         only = only[np.repeat(several, np.diff(np.append(first, len(only))))]
+    chosen = [only[:0]]
     rest = np.flatnonzero(doc == smallest[same])
     rest = rest[np.argsort(same[rest], kind="stable")]
     for part in tag_groups(tag[only], np.fromiter((len(strings[i]) for i in only.tolist()), np.int64, len(only))):
         mine = only[part]
         if near:
             mine = mine[near([strings[i] for i in mine.tolist()], smallest[mine])]
-        if not len(mine):
+        if covered is None:
+            chosen.append(mine)
+        if covered is None or not len(mine):
             continue
         which, window = covered([strings[i] for i in mine.tolist()], smallest[mine], windows[mine])
         if not len(which):
@@ -265,14 +288,16 @@ def resolved(arrays: list[np.ndarray], strings: list[bytes], covered: Covered, n
         row = rest[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
         begin = start[row] + np.repeat(window, times)
         out.append((doc[row], one[row], two[row], begin, begin + width))
-    return out
+    left = rest[np.isin(same[rest], np.concatenate(chosen))]
+    return out, ([x[left] for x in (doc, one, two, start)], [strings[i] for i in left.tolist()])
 
 
-def reducer(covered: Covered, near: Callable[..., np.ndarray] | None, cut_again: Callable[[list[np.ndarray], list[bytes], Chunk], None] | None, width: int, buckets: int, most: int | None = None):
+def reducer(covered: Covered | None, near: Callable[..., np.ndarray] | None, cut_again: Callable[[list[np.ndarray], list[bytes], Chunk], None] | None, width: int, buckets: int, most: int | None = None, parts: int = 1):
     """For applyInArrow over the packets of a bucket, as a stream; gives packed spans, and strings to deal anew.
 
     covered: (strings, document, windows of each) to (string, window) arrays of those whose
-    content also starts in a smaller document; strings are distinct and share minimisers.
+    content also starts in a smaller document; strings are distinct and share minimisers.  None: strings that are left are
+    dealt to parts.
     near: (strings, documents) to those that can share a window with another document's; None: all.
     cut_again: adds the strings, cut by a longer k-mer, to a chunk; None where nothing is left to cut.
     most: bytes of strings that are held at once.  Equal strings are combined before they count.
@@ -282,7 +307,7 @@ def reducer(covered: Covered, near: Callable[..., np.ndarray] | None, cut_again:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, strings, size, bound, cutting, chunk = [], [], 0, limit, False, Chunk()
         for batch in batches:
-            sent = pc.equal(batch.column("kind"), _SPANS)
+            sent = pc.not_equal(batch.column("kind"), _STRINGS)
             yield batch.select(_NAMES).filter(sent)
             for packet in batch.column("packet").filter(pc.invert(sent)):
                 more, found = unpack(packet.as_py(), True)
@@ -310,8 +335,10 @@ def reducer(covered: Covered, near: Callable[..., np.ndarray] | None, cut_again:
         if cutting:
             yield from send(chunk, buckets, width)
         elif strings:
-            for spans in resolved([np.concatenate(x) for x in zip(*arrays, strict=True)], strings, covered, near, width):
+            found, left = resolved([np.concatenate(x) for x in zip(*arrays, strict=True)], strings, covered, near, width)
+            for spans in found:
                 yield from dealt(merged(*(x.astype(np.int64) for x in spans)), buckets)
+            yield from dealt_strings(*left, parts)
 
     return run
 
@@ -329,27 +356,42 @@ def tag_groups(tag: np.ndarray, size: np.ndarray, most: int = BLOCK_BYTES) -> It
         a = b
 
 
-def find_spans(docs: DataFrame, doc_id: str, text: str, cut, again: list, covered, near, width: int, growth: float, most: int | None = None) -> DataFrame:
-    """(doc, digest, spans) of rows with repeated windows. growth: bytes of strings for each byte of text.
+def settled(docs: DataFrame, doc_id: str, text: str, cut, again: list, covered, near, width: int, growth: float, most: int | None = None, parts: int = 1) -> tuple[list[DataFrame], int]:
+    """(tables of bucket, kind and packet: spans by part, and strings that are left; number of parts for spans).
 
-    again: for each further level, what cuts the strings of a bucket that is too large.
+    growth: bytes of strings for each byte of text.  again: for each further level, what cuts the strings of a bucket that
+    is too large.  parts: for each bucket, those of strings that are left.
     """
     spark = docs.sparkSession
     key, digest = row_keys(doc_id, text)
     slim = docs.select(key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-int(total * growth) // BUCKET_BYTES))
-    packets, spans = slim.mapInArrow(mapper(cut, buckets, width), _SCHEMA), None
+    packets, found = slim.mapInArrow(mapper(cut, buckets, width), _SCHEMA), []
     for level, cut_again in enumerate([*again, None]):
-        out = spool(packets.groupBy("bucket").applyInArrow(reducer(covered, None if level else near, cut_again, width, buckets, most), _SCHEMA), "packets")
-        known, packets = (out.where(F.col("kind") == kind) for kind in (_SPANS, _STRINGS))
-        spans = known if spans is None else spans.unionByName(known)
+        out = spool(packets.groupBy("bucket").applyInArrow(reducer(covered, None if level else near, cut_again, width, buckets, most, parts * buckets), _SCHEMA), "packets")
+        found.append(out)
+        packets = out.where(F.col("kind") == _STRINGS)
         if packets.isEmpty():
             break
-    merged_spans = spool(spans.groupBy("bucket").applyInArrow(merge_part, "doc long, digest binary, spans binary"), "spans")
-    del packets, spans, out, known
+    del packets
     release(spark)
-    return merged_spans
+    return found, buckets
+
+
+def spans_of(tables: list[DataFrame]) -> DataFrame:
+    """(doc, digest, spans) from tables with spans by part."""
+    spans = reduce(DataFrame.unionByName, [t.where(F.col("kind") == _SPANS) for t in tables])
+    return spool(spans.groupBy("bucket").applyInArrow(merge_part, "doc long, digest binary, spans binary"), "spans")
+
+
+def find_spans(docs: DataFrame, doc_id: str, text: str, cut, again: list, covered, near, width: int, growth: float, most: int | None = None) -> DataFrame:
+    """(doc, digest, spans) of rows with repeated windows; see settled."""
+    tables, _ = settled(docs, doc_id, text, cut, again, covered, near, width, growth, most)
+    spans = spans_of(tables)
+    discard(*tables)
+    release(docs.sparkSession)
+    return spans
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
