@@ -102,8 +102,8 @@ def utf8(text: str | Column) -> Column:
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
     """(id, digest): rows that share both hold the same id and text, and so the same result.
 
-    The digest is 128 bits of the SHA-256 of the text and of whether the id is null; a null text is empty.
+    The digest is 128 bits of the SHA-256 of the text, others for null ids than for real ones; a null text is empty.
     """
     number = F.col(doc_id).cast("long")
-    marked = F.concat(F.when(number.isNull(), "-").otherwise("+"), F.coalesce(F.col(text), F.lit("")))
-    return F.coalesce(number, F.lit(NULL_ID)), F.substring(F.unhex(F.sha2(marked, 256)), 1, 16)
+    whole = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    return F.coalesce(number, F.lit(NULL_ID)), F.substring(whole, F.when(number.isNull(), 17).otherwise(1), F.lit(16))
