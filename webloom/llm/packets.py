@@ -360,16 +360,17 @@ def settled(docs: DataFrame, doc_id: str, text: str, cut, again: list, covered,
     """(tables of bucket, kind and packet: spans by part, and strings that are left; number of parts for spans).
 
     growth: bytes of strings for each byte of text.  again: for each further level, what cuts the strings of a bucket that
-    is too large.  parts: for each bucket, those of strings that are left.
+    is too large.  parts: for each bucket that the size of the texts needs, those of strings that are left.
     """
     spark = docs.sparkSession
     key, digest = row_keys(doc_id, text)
     slim = docs.select(key.alias("doc"), digest.alias("digest"), utf8(text).alias("body"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-int(total * growth) // BUCKET_BYTES))
+    sized = max(2 * spark.sparkContext.defaultParallelism, -(-int(total * growth) // BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sized)
     packets, found = slim.mapInArrow(mapper(cut, buckets, width), _SCHEMA), []
     for level, cut_again in enumerate([*again, None]):
-        out = spool(packets.groupBy("bucket").applyInArrow(reducer(covered, None if level else near, cut_again, width, buckets, most, parts * buckets), _SCHEMA), "packets")
+        out = spool(packets.groupBy("bucket").applyInArrow(reducer(covered, None if level else near, cut_again, width, buckets, most, parts * sized), _SCHEMA), "packets")
         found.append(out)
         packets = out.where(F.col("kind") == _STRINGS)
         if packets.isEmpty():
