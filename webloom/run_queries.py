@@ -28,13 +28,10 @@ def _seeds(pages: DataFrame, **columns) -> DataFrame:
     return crawl.seeds(pages.sparkSession, pages.select("url", F.col("page_id").alias("seq"), *(c.alias(n) for n, c in columns.items())))
 
 
-_CASE = F.col("meta")["case"].cast("int")
-
-
 def _signalling(responses: DataFrame) -> dict[str, DataFrame]:
     """0: nothing, 1: skip, 2: put off once, 3: an error twice, 4: an error always, 5: an item dropped."""
-    tries = F.col("tries")
-    signal = F.when(_CASE == 1, "skip").when((_CASE == 2) & (tries < 1), "reschedule").when((_CASE == 3) & (tries < 2), "error").when(_CASE == 4, "error").when(_CASE == 5, "drop")
+    tries, case = F.col("tries"), F.col("meta")["case"].cast("int")
+    signal = F.when(case == 1, "skip").when((case == 2) & (tries < 1), "reschedule").when((case == 3) & (tries < 2), "error").when(case == 4, "error").when(case == 5, "drop")
     rows = responses.select(F.col("seq").alias("page_seq"), signal.alias("signal"), F.lit(50.0).alias("defer"))
     return {"signals": rows.where("signal IS NOT NULL")}
 
