@@ -352,6 +352,7 @@ def test_bpe_of_tables(spark, monkeypatch, pattern, block):
         want.append((d, len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha((t or "").encode())))
     assert got(df, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
     assert bpe.encode(docs(spark, []), *tokenizer()).collect() == []
+    assert [(r.doc_id, r.n_tokens) for r in bpe.encode(docs(spark, [(1, None)]), *tokenizer()).collect()] == [(1, 0)]
 
 
 def test_sections_keep_pieces(monkeypatch):

@@ -284,7 +284,7 @@ def _sender(pattern: str, buckets: int):
             yield _row(block, _TEXTS, _values([ids, counts.tobytes(), of.tobytes(), _planes(place[numbers])]))
             by = np.argsort(of, kind="stable")
             cut = np.flatnonzero(np.diff(of[by], prepend=-1))
-            for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(by)], strict=True):
+            for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(by)][: len(cut)], strict=True):
                 yield _row(block, int(of[by[a]]), _values([pieces[i] for i in by[a:b].tolist()]))
 
         docs, texts, known, size = [], [], _Numbers(), 0
