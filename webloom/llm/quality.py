@@ -26,7 +26,7 @@ MEDIAN = 4.3515
 #: Share of rows that an estimate rests on, most steps, the change of a determinant's logarithm that counts as none, rows a
 #: group needs (else it joins the rest of its language, then of all), and the distance from which on texts go. That is far
 #: beyond any quantile of the chi-square distribution, as statistics of clean texts have heavier tails than a normal one.
-SHARE, STEPS, STILL, LEAST_ROWS, CUT = 0.75, 20, 0.01, 40, 13.0
+SHARE, STEPS, STILL, LEAST_ROWS, CUT = 0.75, 8, 0.01, 40, 13.0
 #: Distances of short texts shrink by words / (words + SHORT).
 SHORT = 20
 #: Distances are counted in bins, so many to a factor of e.
