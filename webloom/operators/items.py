@@ -29,7 +29,8 @@ class ItemSpec:
 
     inline: field to another spec, whose divider makes it an array.  default: values, or functions without arguments
     that give one for each item.  extra_from_meta: keys of the page's meta that
-    replace extra fields or are added to them as texts; True: those that extra has.
+    replace extra fields or are added to them as texts; True: those that extra has.  references: names of the only character
+    references that are decoded in a page, as "amp"; None: all.
     """
 
     name: str = "Item"
@@ -44,6 +45,7 @@ class ItemSpec:
     store: bool = False
     custom: Callable[[DataFrame], DataFrame] | None = None
     bound: dict[str, list[str | Processor]] = field(default_factory=dict)
+    references: list[str] | None = None
 
     def bind(self, name: str | None = None, map: bool = False) -> Callable:  # noqa: A002
         """Decorator: a processor for a field; of process_x for x. The bound ones replace those in the field's rule."""
@@ -85,7 +87,7 @@ class ItemSpec:
     def plain(self) -> dict:
         """What the Arrow function needs: data only."""
         rules = {kind: {k: r[0] if isinstance(r, list) else r for k, r in getattr(self, kind).items()} for kind in ("css", "xpath", "re")}
-        return rules | {"inline": {k: s.plain() for k, s in self.inline.items()}, "default": self.default, "extra": self.extra, "divider": self.divider}
+        return rules | {"inline": {k: s.plain() for k, s in self.inline.items()}, "default": self.default, "extra": self.extra, "divider": self.divider, "references": self.references}
 
     def from_meta(self) -> list[str]:
         """Keys that come from meta: a rule for the same field would overwrite them."""
@@ -176,7 +178,7 @@ def taker(spec: ItemSpec, divider: str | None = None) -> Callable[..., Column]:
     def items(text: str | None, meta: dict[str, str] | None) -> str:
         if text is None:
             return "[]"
-        root = parse(text)
+        root = parse(text, plain["references"])
         return json.dumps([take(s, plain, meta) for s in scopes(root, divider or plain["divider"])], ensure_ascii=False)
 
     @F.pandas_udf(T.StringType())
