@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tests.llm import brute
 from webloom.llm import packets, substring_dedup, suffix_dedup
-from webloom.llm.common import row_keys
+from webloom.llm.common import row_keys, unique_ids
 from webloom.llm.line_dedup import remove_boilerplate
 from webloom.llm.substring_dedup import remove_repeated_windows
 from webloom.llm.suffix_dedup import remove_repeated_bytes
@@ -212,3 +212,15 @@ def test_only_windows_that_may_be_shared_are_left(kmer):
         want = {(i, k) for k in range(slack + 1) if text[k : k + 50] == other[k : k + 50] for i in (0, 1)}
         assert got >= want
         assert common > 40 or got == want == set()
+
+
+def test_no_digests_in_packets_where_ids_are_unique(spark):
+    """Ids that stand in one row each need no digest beside them; null ids keep theirs (op1's disk)."""
+    rows = fixture_rows(11)
+    rows = [(d, t) for i, (d, t) in enumerate(rows) if d is None or d not in [x for x, _ in rows[:i]]]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    assert unique_ids(df, "doc_id") and not unique_ids(df.union(df), "doc_id")
+    found = df.select("doc_id", row_keys(unique=True)[1].alias("digest")).collect()
+    assert all((bytes(r.digest) == bytes(16)) == (r.doc_id is not None) for r in found)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert run(spark, rows, remove_repeated_bytes, columns) == sorted(brute.op1(rows), key=repr)
